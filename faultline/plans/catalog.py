@@ -114,3 +114,70 @@ def q_category_share(spark, sf_dir):
     df, schema = features.device_features(df, schema)
     df, schema = features.date_features(df, schema)
     return stats.category_counts(df, "failure", ["L1", "L2", "WD"], proportion=True)
+
+
+# ---- per-device windows ------------------------------------------------------
+
+def panel_no_dup(spark, sf_dir):
+    """Panel after P6 (the duplicate metric m8 removed)."""
+    df, schema = panel(spark, sf_dir)
+    return clean.drop_duplicate_columns(df, schema)
+
+
+@query
+def q_elapsed(spark, sf_dir):
+    """W1 + W2 (device-local back-fill)."""
+    df, schema = panel(spark, sf_dir)
+    return features.elapsed_days(df, schema, fill="device")
+
+
+@query
+def q_elapsed_global_fill(spark, sf_dir):
+    """W1 + W2 with the whole-frame back-fill of the study."""
+    df, schema = panel(spark, sf_dir)
+    return features.elapsed_days(df, schema, fill="global")
+
+
+@query
+def q_change(spark, sf_dir):
+    """F5 (toolkit variant): ch1, ch2, ch4..ch7 with inf replaced by 0."""
+    df, schema = panel_no_dup(spark, sf_dir)
+    return features.change_metrics(df, schema)[0]
+
+
+@query
+def q_change_inf_pct(spark, sf_dir):
+    """W3 + A3: share of infinite changes per class (notebook variant keeps all columns)."""
+    df, schema = panel_no_dup(spark, sf_dir)
+    out, schema = features.change_metrics(df, schema, keep_inf=True, drop=(), fill="global")
+    return stats.value_percentage(out, schema.chng_cols, by="failure", values=[float("inf")])
+
+
+@query
+def q_switch(spark, sf_dir):
+    """on/off switches."""
+    df, schema = panel_no_dup(spark, sf_dir)
+    return features.switch_metrics(df, schema)[0]
+
+
+@query
+def q_switch_pct(spark, sf_dir):
+    """W4 + A3: share of switches (-1 or 1) per class."""
+    df, schema = panel_no_dup(spark, sf_dir)
+    out, _ = features.switch_metrics(df, schema)
+    sw = [m.replace("m", "sw", 1) for m in schema.num_cols]
+    return stats.value_percentage(out, sw, by="failure", values=[-1, 1])
+
+
+@query
+def q_rank(spark, sf_dir):
+    """F7 (toolkit variant): sr2, sr3, sr4, sr7, sr9, srmx."""
+    df, schema = panel_no_dup(spark, sf_dir)
+    return features.rank_metrics(df, schema)[0]
+
+
+@query
+def q_rank_aggs(spark, sf_dir):
+    """F7 (notebook variant): every sr*, plus srav and srmx."""
+    df, schema = panel_no_dup(spark, sf_dir)
+    return features.rank_metrics(df, schema, drop=())[0]

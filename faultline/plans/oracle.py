@@ -88,3 +88,67 @@ LEFT JOIN (SELECT col, value, failure, count(*) AS cnt FROM lng GROUP BY col, va
   ON n.col = v.col AND n.value = v.value AND n.failure = c.failure""",
     f"""feat AS (SELECT *, {DEVICE_COLS}, {DATE_COLS} FROM panel WHERE failure IS NOT NULL),
 lng AS ({unpivot('feat', ['failure'], ['L1', 'L2', 'WD'], 'col', 'value', 'VARCHAR')})""")
+
+
+# ---- per-device windows ------------------------------------------------------
+M_NODUP = [m for m in METRICS if m != "m8"]
+NODUP_COLS = ", ".join(["device", "date"] + M_NODUP + ["failure"])
+NODUP = f"nd AS (SELECT {NODUP_COLS} FROM panel)"
+W_DEV = "PARTITION BY device ORDER BY date"
+
+ELAPSED = f"""g AS (SELECT *, CAST(date - lag(date) OVER (PARTITION BY device ORDER BY date) AS INTEGER) AS gap
+               FROM panel)"""
+sql("q_elapsed", f"""
+SELECT * EXCLUDE (gap), coalesce(gap, lead(gap) OVER ({W_DEV})) AS elapsed FROM g""", ELAPSED)
+sql("q_elapsed_global_fill", """
+SELECT * EXCLUDE (gap), first_value(gap IGNORE NULLS) OVER (ORDER BY device, date
+       ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS elapsed FROM g""", ELAPSED)
+
+
+def change_ctes(src: str, metrics: list[str], keep_inf: bool) -> str:
+    cur = ", ".join(f"last_value({m} IGNORE NULLS) OVER ({W_DEV} ROWS BETWEEN UNBOUNDED PRECEDING "
+                    f"AND CURRENT ROW) AS c_{m}" for m in metrics)
+    prev = ", ".join(f"lag(c_{m}) OVER ({W_DEV}) AS p_{m}" for m in metrics)
+    jump = "'infinity'::DOUBLE" if keep_inf else "0e0"
+    chg = ", ".join(
+        f"CASE WHEN p_{m} IS NULL OR c_{m} IS NULL THEN 0e0 WHEN p_{m} = 0 THEN "
+        f"(CASE WHEN c_{m} = 0 THEN 0e0 ELSE {jump} END) "
+        f"ELSE abs(CAST(c_{m} AS DOUBLE) / CAST(p_{m} AS DOUBLE) - 1e0) END AS {m.replace('m', 'ch', 1)}"
+        for m in metrics)
+    drop = ", ".join([f"c_{m}" for m in metrics] + [f"p_{m}" for m in metrics])
+    return (f"c1 AS (SELECT *, {cur} FROM {src}), c2 AS (SELECT *, {prev} FROM c1), "
+            f"chg AS (SELECT * EXCLUDE ({drop}), {chg} FROM c2)")
+
+
+CH_KEEP = ["ch1", "ch2", "ch4", "ch5", "ch6", "ch7"]
+sql("q_change", f"SELECT {NODUP_COLS}, {', '.join(CH_KEEP)} FROM chg",
+    NODUP + ", " + change_ctes("nd", M_NODUP, keep_inf=False))
+
+CH_ALL = ["elapsed"] + [m.replace("m", "ch", 1) for m in M_NODUP]
+sql("q_change_inf_pct", "SELECT failure, m, pct FROM (\n" + "\nUNION ALL\n".join(
+    f"SELECT failure, '{c}' AS m, "
+    f"{r2(f'avg(CAST(coalesce(CAST({c} AS DOUBLE) = {chr(39)}infinity{chr(39)}::DOUBLE, false) AS INTEGER)) * 100e0')}"
+    f" AS pct FROM chx GROUP BY failure" for c in CH_ALL) + ") t",
+    NODUP + ", " + change_ctes("nd", M_NODUP, keep_inf=True) + f""",
+chx AS (SELECT *, first_value(gap IGNORE NULLS) OVER (ORDER BY device, date
+        ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS elapsed
+        FROM (SELECT *, CAST(date - lag(date) OVER ({W_DEV}) AS INTEGER) AS gap FROM chg) x)""")
+
+SW = ", ".join(f"CAST((CAST(({m} IS DISTINCT FROM 0) AS INTEGER)) - coalesce(lag(CAST(({m} IS DISTINCT FROM 0) AS INTEGER)) "
+               f"OVER ({W_DEV}), CAST(({m} IS DISTINCT FROM 0) AS INTEGER)) AS INTEGER) AS {m.replace('m', 'sw', 1)}"
+               for m in M_NODUP)
+sql("q_switch", f"SELECT *, {SW} FROM nd", NODUP)
+SW_COLS = [m.replace("m", "sw", 1) for m in M_NODUP]
+sql("q_switch_pct", "SELECT failure, m, pct FROM (\n" + "\nUNION ALL\n".join(
+    f"SELECT failure, '{c}' AS m, {r2(f'avg(CAST(coalesce({c} IN (-1, 1), false) AS INTEGER)) * 100e0')} AS pct "
+    f"FROM sw GROUP BY failure" for c in SW_COLS) + ") t",
+    NODUP + f", sw AS (SELECT *, {SW} FROM nd)")
+
+SR = ", ".join(f"CASE WHEN {m} IS NULL THEN NULL ELSE CAST(rank() OVER (ORDER BY {m}) - 1 AS BIGINT) "
+               f"/ count(*) OVER () END AS {m.replace('m', 'sr', 1)}" for m in M_NODUP)
+SR_COLS = [m.replace("m", "sr", 1) for m in M_NODUP]
+RANKED = (NODUP + f", rk AS (SELECT *, {SR} FROM nd), "
+          f"rk2 AS (SELECT *, ({' + '.join(SR_COLS)}) / {len(SR_COLS)} AS srav FROM rk), "
+          f"rk3 AS (SELECT *, greatest({', '.join(SR_COLS)}, srav) AS srmx FROM rk2)")
+sql("q_rank", f"SELECT {NODUP_COLS}, sr2, sr3, sr4, sr7, sr9, srmx FROM rk3", RANKED)
+sql("q_rank_aggs", "SELECT * FROM rk3", RANKED)
