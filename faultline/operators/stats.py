@@ -6,8 +6,6 @@ report rows (classes x metrics) leave the executors.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,10 +63,9 @@ def class_moments(df: DataFrame, cols, by: str, nonzero: bool = True) -> DataFra
             aggs += [F.avg(pos).alias(f"mean_nz|{c}"), F.stddev_samp(pos).alias(f"std_nz|{c}")]
     wide = df.where(F.col(by).isNotNull()).groupBy(by).agg(*aggs)
     stats = ["mean", "std"] + (["mean_nz", "std_nz"] if nonzero else [])
-    parts = [wide.select(by, F.lit(s).alias("stat"), *[F.col(f"`{s}|{c}`").alias(c) for c in cols])
-             for s in stats]
-    stacked = reduce(DataFrame.unionByName, parts)
-    return stacked.unpivot([by, "stat"], list(cols), "m", "value")
+    cells = [F.struct(F.lit(s).alias("stat"), F.lit(c).alias("m"), F.col(f"`{s}|{c}`").alias("value"))
+             for s in stats for c in cols]
+    return wide.select(by, F.inline(F.array(*cells)))
 
 
 def category_counts(df: DataFrame, y: str | None, cols, proportion: bool = True) -> DataFrame:

@@ -181,3 +181,47 @@ def q_rank_aggs(spark, sf_dir):
     """F7 (notebook variant): every sr*, plus srav and srmx."""
     df, schema = panel_no_dup(spark, sf_dir)
     return features.rank_metrics(df, schema, drop=())[0]
+
+
+# ---- correlation, distributions ---------------------------------------------
+
+from faultline.operators import corr as corr_ops, density as density_ops  # noqa: E402
+
+
+@query
+def q_corr(spark, sf_dir):
+    """Pearson correlation of every metric pair (rounded to 6)."""
+    df, _ = panel(spark, sf_dir)
+    out = corr_ops.pearson_long(df, METRIC_COLS)
+    return out.withColumn("corr", r6(F.col("corr")))
+
+
+@query
+def q_corr_display(spark, sf_dir):
+    """P8 + A7 + A8: display table of correlations on rows that are not all-zero."""
+    df, schema = with_controls(spark, sf_dir)
+    c = corr_ops.pearson_long(df.where(F.col("f0") == 0), METRIC_COLS)
+    return corr_ops.corr_display(c, METRIC_COLS)
+
+
+@query
+def q_dup_columns(spark, sf_dir):
+    """Rows on which each metric pair differs (0 = duplicate column)."""
+    df, _ = panel(spark, sf_dir)
+    return corr_ops.pair_differences(df, METRIC_COLS)
+
+
+@query
+def q_dist_summary(spark, sf_dir):
+    """A11 + P9: n, mean, std per metric and class without zeros."""
+    df, _ = panel(spark, sf_dir)
+    out = stats.dist_summary(df, METRIC_COLS, "failure", remove=[0])
+    return out.withColumn("mean", r6(F.col("mean"))).withColumn("std", r6(F.col("std")))
+
+
+@query
+def q_density(spark, sf_dir):
+    """Gaussian KDE grid per metric and class (Scott bandwidth)."""
+    df, _ = panel(spark, sf_dir)
+    out = density_ops.density_grid(df, METRIC_COLS, "failure")
+    return out.withColumn("x", r6(F.col("x"))).withColumn("density", r6(F.col("density")))

@@ -152,3 +152,49 @@ RANKED = (NODUP + f", rk AS (SELECT *, {SR} FROM nd), "
           f"rk3 AS (SELECT *, greatest({', '.join(SR_COLS)}, srav) AS srmx FROM rk2)")
 sql("q_rank", f"SELECT {NODUP_COLS}, sr2, sr3, sr4, sr7, sr9, srmx FROM rk3", RANKED)
 sql("q_rank_aggs", "SELECT * FROM rk3", RANKED)
+
+
+# ---- correlation, distributions ---------------------------------------------
+
+def _corr_sql(src: str, cols: list[str]) -> str:
+    parts = []
+    for i, a in enumerate(cols):
+        for b in cols[i:]:
+            x = f"CAST(CASE WHEN {b} IS NOT NULL THEN {a} END AS DOUBLE)"
+            y = f"CAST(CASE WHEN {a} IS NOT NULL THEN {b} END AS DOUBLE)"
+            expr = (f"CASE WHEN stddev_pop({x}) * stddev_pop({y}) = 0 THEN NULL "
+                    f"ELSE covar_pop({x}, {y}) / (stddev_pop({x}) * stddev_pop({y})) END")
+            parts.append(f"SELECT '{a}' AS a, '{b}' AS b, {expr} AS corr FROM {src}")
+            if a != b:
+                parts.append(f"SELECT '{b}' AS a, '{a}' AS b, {expr} AS corr FROM {src}")
+    return "\nUNION ALL\n".join(parts)
+
+
+sql("q_corr", f"SELECT a, b, {r6('corr')} AS corr FROM ({_corr_sql('panel', METRICS)}) t")
+_pos = "CASE {c} " + " ".join(f"WHEN '{m}' THEN {i}" for i, m in enumerate(METRICS)) + " END"
+sql("q_corr_display", f"""
+SELECT a, b, CAST(trunc({r2('corr')} * 100) AS INTEGER) AS corr100,
+       abs(CAST(trunc({r2('corr')} * 100) AS INTEGER)) AS abs100
+FROM ({_corr_sql('nz', METRICS)}) t
+WHERE {_pos.format(c='a')} > {_pos.format(c='b')}""", CONTROLS + ", nz AS (SELECT * FROM ctl WHERE f0 = 0)")
+
+sql("q_dup_columns", "\nUNION ALL\n".join(
+    f"SELECT '{a}' AS a, '{b}' AS b, CAST(coalesce(sum(CAST({a} IS DISTINCT FROM {b} AS BIGINT)), 0) AS BIGINT)"
+    f" AS n_diff FROM panel" for i, a in enumerate(METRICS) for b in METRICS[i + 1:]))
+
+LONG_M = f"lm AS ({unpivot('panel', ['failure'], METRICS, 'm', 'v', 'DOUBLE')})"
+sql("q_dist_summary", f"""
+SELECT m, failure, count(v) AS n, {r6('avg(v)')} AS mean, {r6('stddev_samp(v)')} AS std,
+       CAST(sum(count(v)) OVER (PARTITION BY m) AS BIGINT) AS n_total
+FROM lm WHERE NOT coalesce(v IN (0), false) AND failure IS NOT NULL GROUP BY m, failure""", LONG_M)
+
+sql("q_density", f"""
+SELECT g.m, g.failure, g.k, {r6('g.x')} AS x,
+       {r6('sum(exp(-0.5e0 * ((g.x - l.v) / g.h) * ((g.x - l.v) / g.h)) / (g.h * g.n * sqrt(2e0 * pi())))')} AS density
+FROM grid g JOIN lm l ON l.m = g.m AND l.failure = g.failure
+GROUP BY g.m, g.failure, g.k, g.x""", LONG_M + """,
+st AS (SELECT m, failure, count(*) AS n, min(v) AS vmin, max(v) AS vmax,
+              stddev_samp(v) * pow(count(*), -0.2e0) AS h
+       FROM lm WHERE v IS NOT NULL AND failure IS NOT NULL GROUP BY m, failure),
+st2 AS (SELECT *, vmin - 3e0 * h AS lo, (vmax - vmin + 2e0 * 3e0 * h) / 199e0 AS step FROM st WHERE h > 0),
+grid AS (SELECT st2.*, r.k, lo + r.k * step AS x FROM st2, (SELECT CAST(range AS INTEGER) AS k FROM range(200)) r)""")
