@@ -225,3 +225,89 @@ def q_density(spark, sf_dir):
     df, _ = panel(spark, sf_dir)
     out = density_ops.density_grid(df, METRIC_COLS, "failure")
     return out.withColumn("x", r6(F.col("x"))).withColumn("density", r6(F.col("density")))
+
+
+# ---- sampling and splitting --------------------------------------------------
+
+from faultline.operators import sampling  # noqa: E402
+from faultline.schema import RANDOM_STATE, STRATA_P  # noqa: E402
+
+KEY = ["device", "date"]
+QUERY_BAGS = 3
+
+
+@query
+def q_undersample_counts(spark, sf_dir):
+    """M1: rows per stratum in a stratified under-sample."""
+    df, _ = with_controls(spark, sf_dir)
+    return sampling.undersample_counts(df, "strt", STRATA_P)
+
+
+@query
+def q_undersample(spark, sf_dir):
+    """Exact stratified under-sample, seeded hash order."""
+    df, _ = with_controls(spark, sf_dir)
+    counts = sampling.undersample_counts(df, "strt", STRATA_P)
+    return sampling.stratified_undersample(df, "strt", counts, RANDOM_STATE, KEY)
+
+
+@query
+def q_undersample_ratio(spark, sf_dir):
+    """M3: binary under-sample to 30 % failures."""
+    df, _ = panel(spark, sf_dir)
+    counts = sampling.ratio_counts(df, "failure", 0.3)
+    quota = counts.select(F.col("failure").cast("int").alias("failure"), "n")
+    return sampling.take_smallest(df, ["failure"], sampling.hash_order(RANDOM_STATE, *KEY), quota, ties=KEY)
+
+
+def split_controls(spark, sf_dir):
+    df, schema = with_controls(spark, sf_dir)
+    return sampling.train_test_split(df, KEY, 0.2, RANDOM_STATE), schema
+
+
+@query
+def q_split(spark, sf_dir):
+    """M4: 80/20 hash split."""
+    return sampling.train_test_split(panel(spark, sf_dir)[0], KEY, 0.2, RANDOM_STATE)
+
+
+@query
+def q_split_balance(spark, sf_dir):
+    """Target and strata balance of the split."""
+    df, _ = split_controls(spark, sf_dir)
+    return sampling.split_balance(df, "failure").unionByName(sampling.split_balance(df, "strt"))
+
+
+@query
+def q_folds(spark, sf_dir):
+    """M8: five hash folds."""
+    df, _ = with_controls(spark, sf_dir)
+    return df.withColumn("fold", sampling.fold_of(RANDOM_STATE, KEY, 5))
+
+
+def train_bags(spark, sf_dir, bags=QUERY_BAGS, strata_p=STRATA_P):
+    df, _ = split_controls(spark, sf_dir)
+    train = df.where(F.col("split") == "train")
+    counts = sampling.undersample_counts(train, "strt", strata_p)
+    return train, counts, sampling.bag_membership(train, "strt", counts, bags, RANDOM_STATE, KEY)
+
+
+@query
+def q_bags(spark, sf_dir):
+    """M7: per-bag exact stratified under-samples of the training rows."""
+    _, _, b = train_bags(spark, sf_dir)
+    return b.select("bag", "device", "date", "strt")
+
+
+@query
+def q_bag_coverage(spark, sf_dir):
+    """M6 + M7: share of each training stratum reached by the bags, and the estimator proxy."""
+    train, counts, b = train_bags(spark, sf_dir)
+    covered = b.select("strt", "device", "date").distinct().groupBy("strt").agg(
+        F.count(F.lit(1)).alias("covered"))
+    full = sampling.undersample_counts(with_controls(spark, sf_dir)[0], "strt", STRATA_P)
+    est = sampling.estimators_proxy(full, counts, "strt", 1)
+    return (counts.join(covered, "strt", "left")
+            .select("strt", "n_rows", "n", F.coalesce("covered", F.lit(0)).alias("covered"),
+                    (F.coalesce("covered", F.lit(0)) / F.col("n_rows")).alias("coverage"))
+            .join(est, "strt", "left"))

@@ -198,3 +198,61 @@ st AS (SELECT m, failure, count(*) AS n, min(v) AS vmin, max(v) AS vmax,
        FROM lm WHERE v IS NOT NULL AND failure IS NOT NULL GROUP BY m, failure),
 st2 AS (SELECT *, vmin - 3e0 * h AS lo, (vmax - vmin + 2e0 * 3e0 * h) / 199e0 AS step FROM st WHERE h > 0),
 grid AS (SELECT st2.*, r.k, lo + r.k * step AS x FROM st2, (SELECT CAST(range AS INTEGER) AS k FROM range(200)) r)""")
+
+
+# ---- sampling and splitting --------------------------------------------------
+MD5KEY = "md5('42:' || device || ':' || CAST(date AS VARCHAR))"
+PROPS = "props(strt, p) AS (VALUES (0, 0.1e0), (1, 0.6e0), (2, 0.3e0))"
+
+
+def counts_sql(src: str, name: str = "cnts") -> str:
+    return f"""{name}_c AS (SELECT strt, count(*) AS n_rows FROM {src} GROUP BY strt),
+{name}_a AS (SELECT n_rows AS n_min, strt AS s_min FROM {name}_c ORDER BY n_rows, strt LIMIT 1),
+{name} AS (SELECT c.strt, c.n_rows,
+     CAST(floor(least(p.p * a.n_min / pm.p, CAST(c.n_rows AS DOUBLE))) AS BIGINT) AS n
+   FROM {name}_c c JOIN props p ON p.strt = c.strt CROSS JOIN {name}_a a JOIN props pm ON pm.strt = a.s_min)"""
+
+
+sql("q_undersample_counts", "SELECT * FROM cnts", CONTROLS + ", " + PROPS + ", " + counts_sql("ctl"))
+sql("q_undersample", f"""
+SELECT * EXCLUDE (rn, n_rows, n) FROM (
+  SELECT ctl.*, row_number() OVER (PARTITION BY strt ORDER BY {MD5KEY}) AS rn FROM ctl) r
+JOIN cnts USING (strt) WHERE rn <= n""", CONTROLS + ", " + PROPS + ", " + counts_sql("ctl"))
+sql("q_undersample_ratio", f"""
+SELECT * EXCLUDE (rn, n) FROM (
+  SELECT panel.*, row_number() OVER (PARTITION BY failure ORDER BY {MD5KEY}) AS rn FROM panel) r
+JOIN q USING (failure) WHERE rn <= n""", """fc AS (SELECT failure, count(*) AS n_rows FROM panel GROUP BY failure),
+q AS (SELECT failure, CAST(least(CASE WHEN n_rows = min(n_rows) OVER () THEN n_rows
+        ELSE floor(min(n_rows) OVER () / (0.3e0 / (1e0 - 0.3e0))) END, n_rows) AS BIGINT) AS n FROM fc)""")
+
+SPLIT = f"CASE WHEN {MD5KEY} < '33333333' THEN 'test' ELSE 'train' END"
+sql("q_split", f"SELECT *, {SPLIT} AS split FROM panel")
+
+
+def _balance(var: str) -> str:
+    return f"""SELECT '{var}' AS var, CAST({var} AS INTEGER) AS value,
+  CAST(count_if(split = 'train') AS BIGINT) AS train_cnt, count_if(split = 'train') / count(*) AS train_pct,
+  CAST(CASE WHEN count_if(split = 'test') > 0 THEN count_if(split = 'test') END AS BIGINT) AS test_cnt,
+  CASE WHEN count_if(split = 'test') > 0 THEN count_if(split = 'test') END / count(*) AS test_pct
+FROM sp WHERE {var} IS NOT NULL GROUP BY {var} HAVING count_if(split = 'train') > 0"""
+
+
+SPLIT_CTE = CONTROLS + f", sp AS (SELECT *, {SPLIT} AS split FROM ctl)"
+sql("q_split_balance", _balance("failure") + "\nUNION ALL\n" + _balance("strt"), SPLIT_CTE)
+sql("q_folds", "SELECT *, CAST((('0x' || substr(md5('fold42:' || device || ':' || CAST(date AS VARCHAR)), 1, 8))"
+               "::BIGINT) % 5 AS INTEGER) AS fold FROM ctl", CONTROLS)
+
+BAGS = (SPLIT_CTE + ", " + PROPS + ", tr AS (SELECT * FROM sp WHERE split = 'train'), " + counts_sql("tr")
+        + """, bg AS (SELECT * EXCLUDE (rn, n_rows, n) FROM (
+  SELECT CAST(b.range AS INTEGER) AS bag, tr.*, row_number() OVER (PARTITION BY b.range, strt
+         ORDER BY md5('42:' || CAST(b.range AS VARCHAR) || ':' || device || ':' || CAST(date AS VARCHAR))) AS rn
+  FROM tr CROSS JOIN range(3) b) r JOIN cnts USING (strt) WHERE rn <= n)""")
+sql("q_bags", "SELECT bag, device, date, strt FROM bg", BAGS)
+sql("q_bag_coverage", """
+SELECT c.strt, c.n_rows, c.n, coalesce(v.covered, 0) AS covered, coalesce(v.covered, 0) / c.n_rows AS coverage,
+       CASE WHEN c.strt = 1 THEN e.estimators END AS estimators
+FROM cnts c LEFT JOIN (SELECT strt, count(*) AS covered FROM (SELECT DISTINCT strt, device, date FROM bg) d
+                       GROUP BY strt) v USING (strt)
+CROSS JOIN (SELECT CAST(round_even(f.n_rows / t.n, 0) AS INTEGER) AS estimators
+            FROM full_c f JOIN cnts t ON f.strt = t.strt WHERE f.strt = 1) e""",
+    BAGS + ", full_c AS (SELECT strt, count(*) AS n_rows FROM ctl GROUP BY strt)")
