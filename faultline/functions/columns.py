@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column
@@ -11,12 +12,22 @@ __all__ = [
     "col_of", "isin_ns", "np_round", "safe_ratio", "month_week", "weekend",
     "row_sum", "row_mean", "row_max", "abbreviate", "ratio_label", "label_at",
     "strata_to_target", "probit", "hash_order", "hash_fraction", "stamp",
-    "nan_to_null", "INF",
+    "nan_to_null", "INF", "lit_array",
 ]
 
 INF = float("inf")
 
 
+def lit_array(values, kind: str = "double") -> Column:
+    """A literal array built from one SQL expression (one call, not one per element)."""
+    if kind == "double":
+        body = ", ".join(f"CAST('{float(v)!r}' AS DOUBLE)" if not math.isfinite(float(v))
+                         else f"{float(v)!r}D" for v in values)
+    else:
+        body = ", ".join(str(int(v)) for v in values)
+    return F.expr(f"array({body})")
+
+
 def col_of(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -113,13 +124,6 @@ def strata_to_target(strt) -> Column:
     return (col_of(strt) == 2).cast("int")
 
 
-def _horner(coefs, x: Column) -> Column:
-    acc = F.lit(coefs[0])
-    for a in coefs[1:]:
-        acc = acc * x + F.lit(a)
-    return acc
-
-
 # Wichura (1988), Algorithm AS 241 (PPND16), highest power first.
 _AS241_A = [2.5090809287301226727e+3, 3.3430575583588128105e+4, 6.7265770927008700853e+4,
             4.5921953931549871457e+4, 1.3731693765509461125e+4, 1.9715909503065514427e+3,
@@ -141,18 +145,37 @@ _AS241_F = [2.04426310338993978564e-15, 1.42151175831644588870e-7, 1.84631831751
             5.99832206555887937690e-1, 1.0]
 
 
-def probit(p) -> Column:
-    """Standard normal quantile of ``p`` in (0, 1) as a Column (AS 241)."""
-    p = col_of(p).cast("double")
-    q = p - F.lit(0.5)
-    r0 = F.lit(0.180625) - q * q
-    central = q * _horner(_AS241_A, r0) / _horner(_AS241_B, r0)
-    r = F.sqrt(-F.log(F.when(q <= 0, p).otherwise(F.lit(1.0) - p)))
-    near = _horner(_AS241_C, r - F.lit(1.6)) / _horner(_AS241_D, r - F.lit(1.6))
-    far = _horner(_AS241_E, r - F.lit(5.0)) / _horner(_AS241_F, r - F.lit(5.0))
-    tail = F.when(r <= 5.0, near).otherwise(far)
-    tail = F.when(q < 0, -tail).otherwise(tail)
-    return F.when(F.abs(q) <= 0.425, central).otherwise(tail)
+def _horner_text(coefs, x: str, num) -> str:
+    acc = num(coefs[0])
+    for a in coefs[1:]:
+        acc = f"({acc} * {x} + {num(a)})"
+    return acc
+
+
+def probit_text(p: str, num=lambda v: f"{float(v)!r}D", q: str | None = None, r: str | None = None) -> str:
+    """AS 241 as SQL text over the SQL expression ``p``.
+
+    ``num`` formats a double literal (Spark: ``1.5D``; DuckDB: ``1.5e0``), so the
+    same text serves the Spark plan and the DuckDB oracle.
+    """
+    q = q or f"({p} - {num(0.5)})"
+    r0 = f"({num(0.180625)} - {q} * {q})"
+    central = f"({q} * {_horner_text(_AS241_A, r0, num)} / {_horner_text(_AS241_B, r0, num)})"
+    r = r or f"sqrt(-ln(CASE WHEN {q} <= 0 THEN {p} ELSE {num(1.0)} - {p} END))"
+    rn, rf = f"({r} - {num(1.6)})", f"({r} - {num(5.0)})"
+    near = f"({_horner_text(_AS241_C, rn, num)} / {_horner_text(_AS241_D, rn, num)})"
+    far = f"({_horner_text(_AS241_E, rf, num)} / {_horner_text(_AS241_F, rf, num)})"
+    tail = f"(CASE WHEN {r} <= {num(5.0)} THEN {near} ELSE {far} END)"
+    return (f"(CASE WHEN abs({q}) <= {num(0.425)} THEN {central} "
+            f"ELSE (CASE WHEN {q} < 0 THEN -{tail} ELSE {tail} END) END)")
+
+
+def probit(name: str) -> Column:
+    """Standard normal quantile of the double column ``name`` (values in (0, 1)), AS 241.
+
+    Built from SQL text in one call; the column is referenced, not inlined.
+    """
+    return F.expr(probit_text(f"`{name}`"))
 
 
 def hash_order(seed, *cols) -> Column:

@@ -311,3 +311,128 @@ def q_bag_coverage(spark, sf_dir):
             .select("strt", "n_rows", "n", F.coalesce("covered", F.lit(0)).alias("covered"),
                     (F.coalesce("covered", F.lit(0)) / F.col("n_rows")).alias("coverage"))
             .join(est, "strt", "left"))
+
+
+# ---- transforms -----------------------------------------------------------------
+
+from faultline.operators import transforms  # noqa: E402
+from faultline.schema import TRANSFORM_PLAN  # noqa: E402
+
+CH_COLS = ["ch1", "ch2", "ch4", "ch5", "ch6", "ch7"]
+NRM_COLS = ["m2", "m3", "m4", "m7", "m9"]
+QT_COLS = ["m1", "m5", "m6"]
+
+
+def change_table(spark, sf_dir):
+    df, schema = panel_no_dup(spark, sf_dir)
+    return features.change_metrics(df, schema)
+
+
+@query
+def q_minmax(spark, sf_dir):
+    """min-max scaling of the change metrics."""
+    df, _ = change_table(spark, sf_dir)
+    params = transforms.fit_scalers(df, minmax=CH_COLS)
+    return df.select("device", "date", *[r6(transforms.transform_expr(c, params[c])).alias(c) for c in CH_COLS])
+
+
+@query
+def q_standard(spark, sf_dir):
+    """standard scaling (population std) of the zero-dense metrics."""
+    df, _ = panel(spark, sf_dir)
+    params = transforms.fit_scalers(df, normal=NRM_COLS)
+    return df.select("device", "date", *[r6(transforms.transform_expr(c, params[c])).alias(c) for c in NRM_COLS])
+
+
+@query
+def q_quantile(spark, sf_dir):
+    """quantile transform (500 knots, normal output)."""
+    df, _ = panel(spark, sf_dir)
+    params = transforms.fit_quantiles(df, QT_COLS)
+    out = transforms.apply_transforms(df, params)
+    return out.select("device", "date", *[r6(F.col(c)).alias(c) for c in QT_COLS])
+
+
+@query
+def q_yeo_johnson(spark, sf_dir):
+    """Yeo-Johnson with max-likelihood lambda, standardised."""
+    df, _ = panel(spark, sf_dir)
+    params = transforms.fit_power(df, ["m1", "m6"])
+    return df.select("device", "date", *[transforms.transform_expr(c, params[c]).alias(c) for c in ["m1", "m6"]])
+
+
+def feature_table(spark, sf_dir):
+    df, schema = panel(spark, sf_dir)
+    return features.build_features(df, schema)
+
+
+@query
+def q_features(spark, sf_dir):
+    """F8: the full feature table (duplicate dropped, id/date parts, change, rank, f0, strata)."""
+    return feature_table(spark, sf_dir)[0]
+
+
+ENC_COLS = ["L1", "L2", "L12", "Q", "M", "D", "MW", "WD", "WE"]
+
+
+@query
+def q_one_hot(spark, sf_dir):
+    """One-hot cells equal to 1 (first category dropped), sparse long form."""
+    df, schema = panel(spark, sf_dir)
+    df, schema = features.device_features(df, schema)
+    df, schema = features.date_features(df, schema)
+    return transforms.one_hot_long(df, ENC_COLS, ["device", "date"])
+
+
+@query
+def q_transform(spark, sf_dir):
+    """the transformation plan applied to the feature table."""
+    df, schema = feature_table(spark, sf_dir)
+    params = transforms.fit_transforms(df, TRANSFORM_PLAN)
+    out = transforms.apply_transforms(df, params)
+    return out.select("device", "date", *[r6(F.col(c)).alias(c) for c in TRANSFORM_PLAN])
+
+
+@query
+def q_pca(spark, sf_dir):
+    """PCA scores of the transformed numeric features."""
+    df, schema = feature_table(spark, sf_dir)
+    t = transforms.apply_transforms(df, transforms.fit_transforms(df, TRANSFORM_PLAN))
+    model = transforms.fit_pca(t, list(schema.nnum_cols))
+    return transforms.apply_pca(t, model, keep=["device", "date"])
+
+
+@query
+def q_scree(spark, sf_dir):
+    """explained variance ratio and its running sum per component."""
+    df, schema = feature_table(spark, sf_dir)
+    t = transforms.apply_transforms(df, transforms.fit_transforms(df, TRANSFORM_PLAN))
+    return transforms.scree_table(spark, transforms.fit_pca(t, list(schema.nnum_cols)))
+
+
+def prepare(df, schema, num_transform: bool = True):
+    """one-hot categoricals ++ numerics (transformed + PCA, or raw) ++ control columns."""
+    cat = [c for c in schema.ncat_cols if c not in schema.cat_cols]
+    cats = transforms.fit_one_hot(df, cat)
+    enc = [(F.col(c).cast("string") == F.lit(v)).cast("int").alias(f"{c}_{v}")
+           for c, vals in cats.items() for v in vals[1:]]
+    if num_transform:
+        t = transforms.apply_transforms(df, transforms.fit_transforms(df, TRANSFORM_PLAN))
+        model = transforms.fit_pca(t, list(schema.nnum_cols))
+        pcs = transforms.apply_pca(t, model, keep=["device", "date"]).columns[2:]
+        scored = transforms.apply_pca(t, model, keep=[*df.columns])
+        nums = [F.col(c) for c in pcs]
+        base = scored
+        names = pcs
+    else:
+        base, nums, names = df, [F.col(c) for c in schema.nnum_cols], list(schema.nnum_cols)
+    out = base.select("device", "date", *enc, *nums, *schema.cntr_cols, schema.target_col)
+    return out, schema.with_(enc_cols=tuple(transforms.one_hot_names(cats)),
+                             pca_cols=tuple(names) if num_transform else ())
+
+
+@query
+def q_prepared(spark, sf_dir):
+    """Model table with one-hot, PCA numerics and controls."""
+    df, schema = feature_table(spark, sf_dir)
+    return prepare(df, schema, num_transform=True)[0]

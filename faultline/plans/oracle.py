@@ -256,3 +256,105 @@ FROM cnts c LEFT JOIN (SELECT strt, count(*) AS covered FROM (SELECT DISTINCT st
 CROSS JOIN (SELECT CAST(round_even(f.n_rows / t.n, 0) AS INTEGER) AS estimators
             FROM full_c f JOIN cnts t ON f.strt = t.strt WHERE f.strt = 1) e""",
     BAGS + ", full_c AS (SELECT strt, count(*) AS n_rows FROM ctl GROUP BY strt)")
+
+
+# ---- transforms -----------------------------------------------------------------
+import numpy as _np  # noqa: E402
+
+from faultline.functions import columns as _cols  # noqa: E402
+
+CH_KEEP_COLS = ["ch1", "ch2", "ch4", "ch5", "ch6", "ch7"]
+NRM = ["m2", "m3", "m4", "m7", "m9"]
+QT = ["m1", "m5", "m6"]
+REFS = [float(v) for v in _np.linspace(0, 1, 500)]
+REFS_SQL = "[" + ", ".join(f"{v!r}e0" if "e" not in repr(v) else repr(v) for v in REFS) + "]"
+
+
+def probit_sql(p: str) -> str:
+    """AS 241 as DuckDB SQL text (the text generator the Spark plan uses)."""
+    return _cols.probit_text(p, num=lambda v: f"{float(v)!r}" if "e" in repr(float(v)) else f"{float(v)!r}e0")
+
+
+def quantile_sql(src: str, cols: list[str], keep: list[str]) -> str:
+    """CTEs ``qk`` (knots), ``qu`` (uniform value), ``qz`` (normal scores) over ``src``."""
+    knots = ", ".join(f"quantile_cont(CAST({c} AS DOUBLE), {REFS_SQL}) AS k_{c}" for c in cols)
+    us = []
+    for c in cols:
+        x, q = f"CAST(s.{c} AS DOUBLE)", f"qk.k_{c}"
+        lt = f"len(list_filter({q}, lambda v: v < {x}))"
+        le = f"len(list_filter({q}, lambda v: v <= {x}))"
+        r = REFS_SQL
+        on_knot = f"(({r})[greatest({le}, 1)] + ({r})[least({lt} + 1, 500)]) / 2"
+        j = f"greatest({lt}, 1)"
+        j1 = f"least({j} + 1, 500)"
+        between = (f"({r})[{j}] + ({x} - {q}[{j}]) * ((({r})[{j1}] - ({r})[{j}]) / "
+                   f"nullif({q}[{j1}] - {q}[{j}], 0))")
+        us.append(f"CASE WHEN {x} - 1e-7 < {q}[1] THEN 0e0 WHEN {x} + 1e-7 > {q}[500] THEN 1e0 "
+                  f"WHEN {le} > {lt} THEN {on_knot} ELSE {between} END AS u_{c}")
+    zs = []
+    for c in cols:
+        z = (f"CASE WHEN u_{c} <= 0 THEN {_cols_clip('min')} WHEN u_{c} >= 1 THEN {_cols_clip('max')} "
+             f"ELSE {probit_sql(f'u_{c}')} END")
+        zs.append(f"least(greatest({z}, {_cols_clip('min')}), {_cols_clip('max')}) AS {c}")
+    keep_s = ", ".join(f"s.{k}" for k in keep)
+    return (f"qk AS (SELECT {knots} FROM {src}), "
+            f"qu AS (SELECT {keep_s}, {', '.join(us)} FROM {src} s, qk), "
+            f"qz AS (SELECT {', '.join(keep)}, {', '.join(zs)} FROM qu)")
+
+
+def _cols_clip(which: str) -> str:
+    from faultline.operators.transforms import CLIP_MAX, CLIP_MIN
+    return f"{(CLIP_MIN if which == 'min' else CLIP_MAX)!r}"
+
+
+def minmax_sql(c: str) -> str:
+    return (f"(CAST({c} AS DOUBLE) - min(CAST({c} AS DOUBLE)) OVER ()) / (CASE WHEN max({c}) OVER () - "
+            f"min({c}) OVER () = 0 THEN 1e0 ELSE max(CAST({c} AS DOUBLE)) OVER () - min(CAST({c} AS DOUBLE)) OVER () END)")
+
+
+def standard_sql(c: str) -> str:
+    return (f"(CAST({c} AS DOUBLE) - avg(CAST({c} AS DOUBLE)) OVER ()) / (CASE WHEN stddev_pop(CAST({c} AS DOUBLE)) "
+            f"OVER () = 0 THEN 1e0 ELSE stddev_pop(CAST({c} AS DOUBLE)) OVER () END)")
+
+
+sql("q_minmax", "SELECT device, date, " + ", ".join(f"{r6(minmax_sql(c))} AS {c}" for c in CH_KEEP_COLS)
+    + " FROM chg", NODUP + ", " + change_ctes("nd", M_NODUP, keep_inf=False))
+sql("q_standard", "SELECT device, date, " + ", ".join(f"{r6(standard_sql(c))} AS {c}" for c in NRM)
+    + " FROM panel")
+sql("q_quantile", "SELECT device, date, " + ", ".join(f"{r6(c)} AS {c}" for c in QT) + " FROM qz",
+    quantile_sql("panel", QT, ["device", "date"]))
+
+
+def ranked_ctes(src: str) -> str:
+    sr = ", ".join(f"CASE WHEN {m} IS NULL THEN NULL ELSE CAST(rank() OVER (ORDER BY {m}) - 1 AS BIGINT) "
+                   f"/ count(*) OVER () END AS {m.replace('m', 'sr', 1)}" for m in M_NODUP)
+    return (f"rk AS (SELECT *, {sr} FROM {src}), "
+            f"rk2 AS (SELECT *, ({' + '.join(SR_COLS)}) / {len(SR_COLS)} AS srav FROM rk), "
+            f"rk3 AS (SELECT *, greatest({', '.join(SR_COLS)}, srav) AS srmx FROM rk2)")
+
+
+FEATURE_COLS = (["device", "date"] + M_NODUP + ["failure", "L1", "L2", "L12", "Q", "M", "D", "MW", "WD", "WE"]
+                + CH_KEEP_COLS + ["sr2", "sr3", "sr4", "sr7", "sr9", "srmx", "f0", "strt"])
+FEATURES = (NODUP + f", f1 AS (SELECT *, {DEVICE_COLS}, {DATE_COLS} FROM nd), "
+            + change_ctes("f1", M_NODUP, keep_inf=False) + ", " + ranked_ctes("chg")
+            + """, fz AS (SELECT *, CAST((coalesce(m2,0) + coalesce(m3,0) + coalesce(m4,0) + coalesce(m7,0)
+                        + coalesce(m9,0)) = 0 AS INTEGER) AS f0 FROM rk3),
+fin AS (SELECT """ + ", ".join(FEATURE_COLS[:-1]) + """,
+        CASE WHEN failure = 1 THEN 2 WHEN failure = 0 AND f0 = 0 THEN 1 ELSE 0 END AS strt FROM fz)""")
+sql("q_features", "SELECT * FROM fin", FEATURES)
+
+PLAN_SR = ["sr2", "sr3", "sr4", "sr7", "sr9", "srmx"]
+sql("q_transform", "SELECT f.device, f.date, " + ", ".join(
+    [f"{r6('qz.' + c)} AS {c}" for c in QT] + [f"{r6(standard_sql('f.' + c))} AS {c}" for c in NRM]
+    + [f"{r6(minmax_sql('f.' + c))} AS {c}" for c in CH_KEEP_COLS] + [f"{r6('f.' + c)} AS {c}" for c in PLAN_SR])
+    + " FROM fin f JOIN qz ON qz.device = f.device AND qz.date = f.date",
+    FEATURES + ", " + quantile_sql("fin", QT, ["device", "date"]))
+
+_enc = ["L1", "L2", "L12", "Q", "M", "D", "MW", "WD", "WE"]
+_num_enc = {"Q", "M", "D", "MW", "WD", "WE"}
+sql("q_one_hot", """
+SELECT l.device, l.date, l.c || '_' || l.v AS feature FROM lng l JOIN firsts f ON f.c = l.c WHERE l.v <> f.first""",
+    f"fe AS (SELECT device, date, {DEVICE_COLS}, {DATE_COLS} FROM panel), "
+    f"lng AS ({unpivot('fe', ['device', 'date'], _enc, 'c', 'v', 'VARCHAR')}), "
+    "firsts AS (SELECT c, CASE WHEN c IN (" + ", ".join(f"'{c}'" for c in _num_enc) + ") "
+    "THEN CAST(min(CAST(v AS BIGINT)) AS VARCHAR) ELSE min(v) END AS first FROM lng GROUP BY c)")
