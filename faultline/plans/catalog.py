@@ -436,3 +436,60 @@ def q_prepared(spark, sf_dir):
     """Model table with one-hot, PCA numerics and controls."""
     df, schema = feature_table(spark, sf_dir)
     return prepare(df, schema, num_transform=True)[0]
+
+
+# ---- evaluation on a deterministic score ---------------------------------------
+
+from faultline.operators import evaluate  # noqa: E402
+
+
+def scored(spark, sf_dir):
+    """Panel with the fixture scores (overlapping classes, many ties)."""
+    df, _ = panel(spark, sf_dir)
+    s1 = F.least(F.lit(1.0), (2 * F.col("failure") + F.col("m5") + F.col("m2")) / F.lit(16.0))
+    s2 = F.least(F.lit(1.0), (F.col("failure") + F.col("m3") + F.col("m9")) / F.lit(8.0))
+    return df.withColumn("y_proba", s1).withColumn("y_proba2", s2)
+
+
+@query
+def q_confusion(spark, sf_dir):
+    """Confusion counts at threshold 0.5."""
+    return evaluate.confusion(scored(spark, sf_dir), "failure", "y_proba", 0.5)
+
+
+@query
+def q_scores(spark, sf_dir):
+    """F1 / recall / precision at 0.95 and AUROC for two scores."""
+    df = scored(spark, sf_dir)
+    preds = (df.select("failure", F.lit("s1").alias("model"), F.col("y_proba").alias("p"))
+             .unionByName(df.select("failure", F.lit("s2").alias("model"), F.col("y_proba2").alias("p"))))
+    out = evaluate.model_scores(preds, "failure", "p", 0.95)
+    return out.withColumn("auroc", r6(F.col("auroc")))
+
+
+@query
+def q_pr_curve(spark, sf_dir):
+    """Precision-recall curve with F1 per point."""
+    return evaluate.pr_curve(scored(spark, sf_dir), "failure", "y_proba")
+
+
+@query
+def q_best_threshold(spark, sf_dir):
+    """Best F1 threshold."""
+    return evaluate.best_threshold(evaluate.pr_curve(scored(spark, sf_dir), "failure", "y_proba"))
+
+
+@query
+def q_auc(spark, sf_dir):
+    """Exact AUROC with ties."""
+    out = evaluate.auc(scored(spark, sf_dir), "failure", "y_proba")
+    return out.withColumn("auroc", r6(F.col("auroc")))
+
+
+@query
+def q_threshold_sweep(spark, sf_dir):
+    """Confusion at the fixed thresholds and at the best-F1 threshold."""
+    df = scored(spark, sf_dir)
+    best = evaluate.best_threshold(evaluate.pr_curve(df, "failure", "y_proba")).first()["threshold"]
+    ts = evaluate.SWEEP + ([best] if best is not None else [])
+    return evaluate.threshold_sweep(df, "failure", "y_proba", ts)

@@ -357,4 +357,64 @@ SELECT l.device, l.date, l.c || '_' || l.v AS feature FROM lng l JOIN firsts f O
     f"fe AS (SELECT device, date, {DEVICE_COLS}, {DATE_COLS} FROM panel), "
     f"lng AS ({unpivot('fe', ['device', 'date'], _enc, 'c', 'v', 'VARCHAR')}), "
     "firsts AS (SELECT c, CASE WHEN c IN (" + ", ".join(f"'{c}'" for c in _num_enc) + ") "
-    "THEN CAST(min(CAST(v AS BIGINT)) AS VARCHAR) ELSE min(v) END AS first FROM lng GROUP BY c)")
+    "THEN CAST(min(TRY_CAST(v AS BIGINT)) AS VARCHAR) ELSE min(v) END AS first FROM lng GROUP BY c)")
+
+
+# ---- evaluation on a deterministic score ---------------------------------------
+SCORED = ("sc AS (SELECT *, least(1e0, (2 * failure + m5 + m2) / 16e0) AS y_proba, "
+          "least(1e0, (failure + m3 + m9) / 8e0) AS y_proba2 FROM panel)")
+
+
+def conf_sql(src: str, score: str, t: str, extra: str = "") -> str:
+    return (f"SELECT {extra}CAST(count_if(failure = 0 AND NOT ({score} >= {t})) AS BIGINT) AS TN, "
+            f"CAST(count_if(failure = 0 AND {score} >= {t}) AS BIGINT) AS FP, "
+            f"CAST(count_if(failure = 1 AND NOT ({score} >= {t})) AS BIGINT) AS FN, "
+            f"CAST(count_if(failure = 1 AND {score} >= {t}) AS BIGINT) AS TP FROM {src}")
+
+
+def curve_ctes(score: str = "y_proba", src: str = "sc") -> str:
+    return f"""g AS (SELECT {score} AS s, count_if(failure = 1) AS pos, count_if(failure <> 1) AS neg
+       FROM {src} WHERE {score} IS NOT NULL GROUP BY {score}),
+gc AS (SELECT *, coalesce(sum(pos) OVER (ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bp,
+              coalesce(sum(neg) OVER (ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bn
+       FROM g),
+tot AS (SELECT sum(pos) AS P, min(CASE WHEN pos > 0 THEN s END) AS tmin FROM g),
+pts AS (SELECT CAST(s AS DOUBLE) AS threshold,
+               coalesce((bp + pos) / nullif(bp + pos + bn + neg, 0), 0e0) AS precision,
+               (bp + pos) / nullif(P, 0) AS recall FROM gc, tot WHERE s >= tmin),
+curve AS (SELECT *, 2 * precision * recall / nullif(precision + recall, 0) AS f1 FROM pts
+          UNION ALL SELECT NULL, 1e0, 0e0, 0e0),
+best AS (SELECT threshold, f1 FROM curve WHERE f1 IS NOT NULL AND NOT isnan(f1)
+         ORDER BY f1 DESC, threshold ASC NULLS LAST LIMIT 1)"""
+
+
+sql("q_confusion", conf_sql("sc", "y_proba", "0.5e0"), SCORED)
+
+
+def auc_sql(score: str, src: str = "sc") -> str:
+    c = curve_ctes(score, src).split(",\ntot AS")[0]
+    return (c, "(SELECT sum(neg * (bp + 0.5e0 * pos)) / (CAST(sum(pos) AS DOUBLE) * sum(neg)) FROM gc)")
+
+
+_a1, _a2 = curve_ctes("y_proba").split(",\ntot AS")[0], curve_ctes("y_proba2").split(",\ntot AS")[0]
+sql("q_auc", f"SELECT {r6('sum(neg * (bp + 0.5e0 * pos)) / (CAST(sum(pos) AS DOUBLE) * sum(neg))')} AS auroc FROM gc",
+    SCORED + ", " + _a1)
+_conf_rates = """SELECT model, coalesce(2 * pr * rc / nullif(pr + rc, 0), 0e0) AS f1, rc AS recall, pr AS precision,
+       {auc} AS auroc, TN, FP, FN, TP FROM (
+  SELECT *, coalesce(TP / nullif(TP + FP, 0), 0e0) AS pr, coalesce(TP / nullif(TP + FN, 0), 0e0) AS rc FROM ({conf}) c) x"""
+sql("q_scores", "\nUNION ALL\n".join(
+    _conf_rates.format(auc=f"(SELECT {r6('sum(neg * (bp + 0.5e0 * pos)) / (CAST(sum(pos) AS DOUBLE) * sum(neg))')} FROM {gc})",
+                       conf=conf_sql("sc", s, "0.95e0", f"'{m}' AS model, "))
+    for m, s, gc in (("s1", "y_proba", "gc1"), ("s2", "y_proba2", "gc2"))),
+    SCORED + ", " + _a1.replace("g AS", "g1 AS", 1).replace("FROM g)", "FROM g1)").replace("gc AS", "gc1 AS", 1)
+    + ", " + _a2.replace("g AS", "g2 AS", 1).replace("FROM g)", "FROM g2)").replace("gc AS", "gc2 AS", 1))
+sql("q_pr_curve", "SELECT * FROM curve", SCORED + ", " + curve_ctes())
+sql("q_best_threshold", "SELECT * FROM best", SCORED + ", " + curve_ctes())
+sql("q_threshold_sweep", """
+SELECT t.threshold, CAST(count_if(failure = 0 AND NOT (y_proba >= t.threshold)) AS BIGINT) AS TN,
+       CAST(count_if(failure = 0 AND y_proba >= t.threshold) AS BIGINT) AS FP,
+       CAST(count_if(failure = 1 AND NOT (y_proba >= t.threshold)) AS BIGINT) AS FN,
+       CAST(count_if(failure = 1 AND y_proba >= t.threshold) AS BIGINT) AS TP
+FROM sc, ts t GROUP BY t.threshold, t.i""", SCORED + ", " + curve_ctes() + """,
+ts AS (SELECT * FROM (VALUES (0, 0.8e0), (1, 0.85e0), (2, 0.9e0), (3, 0.95e0), (4, 0.965e0)) v(i, threshold)
+       UNION ALL SELECT 5, threshold FROM best WHERE threshold IS NOT NULL)""")
