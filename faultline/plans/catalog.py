@@ -14,6 +14,7 @@ from faultline.operators import clean, features, stats
 from faultline.schema import METRIC_COLS, PanelSchema
 from faultline.sources import testdata_panel
 from faultline.sources.panel import dedup_by_device
+from faultline.session import cut_lineage
 
 QUERIES: dict = {}
 
@@ -388,6 +389,7 @@ def q_one_hot(spark, sf_dir):
 def q_transform(spark, sf_dir):
     """the transformation plan applied to the feature table."""
     df, schema = feature_table(spark, sf_dir)
+    df = cut_lineage(df)
     params = transforms.fit_transforms(df, TRANSFORM_PLAN)
     out = transforms.apply_transforms(df, params)
     return out.select("device", "date", *[r6(F.col(c)).alias(c) for c in TRANSFORM_PLAN])
@@ -397,6 +399,7 @@ def q_transform(spark, sf_dir):
 def q_pca(spark, sf_dir):
     """PCA scores of the transformed numeric features."""
     df, schema = feature_table(spark, sf_dir)
+    df = cut_lineage(df)
     t = transforms.apply_transforms(df, transforms.fit_transforms(df, TRANSFORM_PLAN))
     model = transforms.fit_pca(t, list(schema.nnum_cols))
     return transforms.apply_pca(t, model, keep=["device", "date"])
@@ -406,6 +409,7 @@ def q_pca(spark, sf_dir):
 def q_scree(spark, sf_dir):
     """explained variance ratio and its running sum per component."""
     df, schema = feature_table(spark, sf_dir)
+    df = cut_lineage(df)
     t = transforms.apply_transforms(df, transforms.fit_transforms(df, TRANSFORM_PLAN))
     return transforms.scree_table(spark, transforms.fit_pca(t, list(schema.nnum_cols)))
 
@@ -435,6 +439,7 @@ def prepare(df, schema, num_transform: bool = True):
 def q_prepared(spark, sf_dir):
     """Model table with one-hot, PCA numerics and controls."""
     df, schema = feature_table(spark, sf_dir)
+    df = cut_lineage(df)
     return prepare(df, schema, num_transform=True)[0]
 
 
@@ -493,3 +498,107 @@ def q_threshold_sweep(spark, sf_dir):
     best = evaluate.best_threshold(evaluate.pr_curve(df, "failure", "y_proba")).first()["threshold"]
     ts = evaluate.SWEEP + ([best] if best is not None else [])
     return evaluate.threshold_sweep(df, "failure", "y_proba", ts)
+
+
+# ---- ensembles, search, ablation (pyspark.ml; rows-only checks) ------------------
+
+from faultline.operators import ensemble  # noqa: E402
+from faultline.schema import BEST_STRATA_P  # noqa: E402
+
+ENSEMBLE_BAGS = 3
+
+
+def model_table(spark, sf_dir, num_transform: bool = False):
+    """feature table -> prepared model columns, plus the 80/20 split.
+
+    The feature table is materialised once (reliable checkpoint) because every
+    fit pass reads it; the prepared table likewise, since bags and folds scan it
+    repeatedly.
+    """
+    df, schema = feature_table(spark, sf_dir)
+    prep, pschema = prepare(cut_lineage(df), schema, num_transform=num_transform)
+    prep = cut_lineage(sampling.train_test_split(prep, KEY, 0.2, RANDOM_STATE))
+    feats = list(pschema.enc_cols) + (list(pschema.pca_cols) if num_transform else list(schema.nnum_cols))
+    return prep, feats
+
+
+def _strata_fit_predict(spark, sf_dir, base, strata_p, num_transform=False, **kw):
+    prep, feats = model_table(spark, sf_dir, num_transform)
+    train, test = prep.where(F.col("split") == "train"), prep.where(F.col("split") == "test")
+    counts = sampling.undersample_counts(train, "strt", strata_p)
+    ens = ensemble.fit_bagged(train, feats, "strt", "strt", counts, ENSEMBLE_BAGS, RANDOM_STATE,
+                              base=base, class_weight=strata_p, **kw)
+    pr = ensemble.predict_bagged(ens, test, ["device", "date", "strt", "failure"])
+    return pr.withColumn("y_proba", F.col("p2"))
+
+
+@query
+def q_bag_logistic(spark, sf_dir):
+    """L1 + L6: stratified bagging of multinomial logistic regressions, test-set scores."""
+    return _strata_fit_predict(spark, sf_dir, "logistic", STRATA_P, num_transform=True, max_iter=50)
+
+
+@query
+def q_bag_logistic_ratio(spark, sf_dir):
+    """L2: binary bagging on 30 % failure under-samples."""
+    prep, feats = model_table(spark, sf_dir, True)
+    train, test = prep.where(F.col("split") == "train"), prep.where(F.col("split") == "test")
+    counts = sampling.ratio_counts(train, "failure", 0.3).withColumnRenamed("failure", "strt_y")
+    t2 = train.withColumn("strt_y", F.col("failure"))
+    ens = ensemble.fit_bagged(t2, feats, "failure", "strt_y", counts.select("strt_y", "n_rows", "n"),
+                              ENSEMBLE_BAGS, RANDOM_STATE, base="logistic", class_weight={0: 0.7, 1: 0.3},
+                              n_classes=2, max_iter=50)
+    pr = ensemble.predict_bagged(ens, test, ["device", "date", "strt", "failure"])
+    return pr.withColumn("y_proba", F.col("p1"))
+
+
+@query
+def q_bag_forest(spark, sf_dir):
+    """L3: balanced forest — one unbootstrapped tree per stratified bag."""
+    return _strata_fit_predict(spark, sf_dir, "forest", STRATA_P, depth=12, max_features="sqrt")
+
+
+@query
+def q_bag_boost(spark, sf_dir):
+    """L4 + L5: bagging of SAMME-boosted trees with the final configuration's strata."""
+    return _strata_fit_predict(spark, sf_dir, "boost", BEST_STRATA_P, depth=40, max_features="0.5", rounds=4)
+
+
+SEARCH_GRID = {"class_weight": [{"0": 0.1, "1": 0.6, "2": 0.3}, {"0": 0.05, "1": 0.75, "2": 0.2}],
+               "depth": [4, 8], "max_features": ["0.5", "sqrt"]}
+SEARCH_SCHEMA = "class_weight map<string,double>, depth int, max_features string"
+
+
+def search_results(spark, sf_dir):
+    prep, feats = model_table(spark, sf_dir, False)
+    train = prep.where(F.col("split") == "train")
+    return ensemble.random_search(train, feats, SEARCH_GRID, n_iter=2, folds=2, seed=RANDOM_STATE,
+                                  fit_kwargs={"bags": 2, "base": "forest", "class_weight": STRATA_P})
+
+
+@query
+def q_search_table(spark, sf_dir):
+    """L15 + L16: random search over forest bagging, parsed and ranked result table."""
+    return evaluate.search_table(search_results(spark, sf_dir), SEARCH_SCHEMA)
+
+
+@query
+def q_param_marginals(spark, sf_dir):
+    """Mean F1 per parameter value of the search."""
+    t = evaluate.search_table(search_results(spark, sf_dir), SEARCH_SCHEMA)
+    return evaluate.param_marginals(t, ["class_weight", "depth", "max_features"])
+
+
+@query
+def q_ablation_table(spark, sf_dir):
+    """L18 + L19: leave-one-feature-out scores against the full model, melted."""
+    prep, feats = model_table(spark, sf_dir, False)
+    train, test = prep.where(F.col("split") == "train"), prep.where(F.col("split") == "test")
+    counts = sampling.undersample_counts(train, "strt", STRATA_P)
+    kw = {"bags": 1, "base": "logistic", "class_weight": STRATA_P, "max_iter": 30}
+    nums = [c for c in feats if "_" not in c]
+    full = ensemble.fit_bagged(train, feats, "strt", "strt", counts, seed=RANDOM_STATE, **kw)
+    pr = ensemble.predict_bagged(full, test, ["strt"]).withColumn("y", (F.col("strt") == 2).cast("int"))
+    base = evaluate.with_rates(evaluate.confusion(pr, "y", "p2", 0.5)).first().asDict()
+    ab = ensemble.ablation(train, test, nums, kw, counts, 0.5, RANDOM_STATE)
+    return evaluate.ablation_vs_baseline(ab, base)
