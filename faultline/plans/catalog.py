@@ -597,8 +597,9 @@ def q_ablation_table(spark, sf_dir):
     counts = sampling.undersample_counts(train, "strt", STRATA_P)
     kw = {"bags": 1, "base": "logistic", "class_weight": STRATA_P, "max_iter": 30}
     nums = [c for c in feats if "_" not in c]
-    full = ensemble.fit_bagged(train, feats, "strt", "strt", counts, seed=RANDOM_STATE, **kw)
+    members = ensemble.bag_table(train, "strt", counts, kw["bags"], RANDOM_STATE)
+    full = ensemble.fit_bagged(train, feats, "strt", "strt", counts, seed=RANDOM_STATE, members=members, **kw)
     pr = ensemble.predict_bagged(full, test, ["strt"]).withColumn("y", (F.col("strt") == 2).cast("int"))
     base = evaluate.with_rates(evaluate.confusion(pr, "y", "p2", 0.5)).first().asDict()
-    ab = ensemble.ablation(train, test, nums, kw, counts, 0.5, RANDOM_STATE)
+    ab = ensemble.ablation(train, test, nums, kw, counts, 0.5, RANDOM_STATE, members=members)
     return evaluate.ablation_vs_baseline(ab, base)

@@ -1,0 +1,3 @@
+from faultline.streaming.scoring import device_state_features, panel_stream
+
+__all__ = ["device_state_features", "panel_stream"]

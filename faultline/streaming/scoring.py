@@ -1,0 +1,88 @@
+"""Incremental per-device features for new panel rows (Structured Streaming).
+
+New device-day rows arrive as files; the per-device change, switch and
+elapsed-day features need each device's previous row, which is kept as
+per-device state with ``applyInPandasWithState`` (state = last date, last
+forward-filled value and last on/off flag of every metric).  Each micro-batch
+hands a device only its new rows, so a group holds a few rows whatever the
+stream's size; state survives restarts through the query checkpoint.
+
+Rows are processed in date order within a batch.  A row dated at or before
+the device's stored last date (late data) is still emitted, computed against
+the stored state, with ``late = 1`` — rows are never dropped.  The first row
+of a device has NULL ``elapsed`` (the batch operator back-fills it from the
+following row, which a stream has not seen yet).
+"""
+
+from __future__ import annotations
+
+import math
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming.state import GroupStateTimeout
+
+from faultline.schema import METRIC_COLS, PANEL_SCHEMA
+
+
+def panel_stream(spark: SparkSession, path: str, schema=PANEL_SCHEMA, files_per_trigger: int | None = None) -> DataFrame:
+    reader = spark.readStream.schema(schema)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.parquet(path)
+
+
+def _change(cur, prev, keep_inf):
+    if prev is None or cur is None or (isinstance(prev, float) and math.isnan(prev)):
+        return 0.0
+    if prev == 0:
+        return 0.0 if cur == 0 else (math.inf if keep_inf else 0.0)
+    return abs(cur / prev - 1.0)
+
+
+def device_state_features(stream: DataFrame, num_cols=None, keep_inf: bool = False) -> DataFrame:
+    """Streaming ``device, date, elapsed, late, ch*, sw*`` for each new row."""
+    num_cols = list(num_cols or [m for m in METRIC_COLS if m in stream.columns])
+    ch = [m.replace("m", "ch", 1) for m in num_cols]
+    sw = [m.replace("m", "sw", 1) for m in num_cols]
+    out_schema = ("device string, date date, elapsed int, late int, "
+                  + ", ".join(f"{c} double" for c in ch) + ", " + ", ".join(f"{c} int" for c in sw))
+    state_schema = ("last_date date, " + ", ".join(f"v_{m} double" for m in num_cols) + ", "
+                    + ", ".join(f"on_{m} int" for m in num_cols))
+
+    def step(key, batches, state):
+        rows = pd.concat(list(batches), ignore_index=True).sort_values("date", kind="stable")
+        if state.exists:
+            st = state.get
+            last_date = st[0]
+            vals = {m: st[1 + i] for i, m in enumerate(num_cols)}
+            ons = {m: st[1 + len(num_cols) + i] for i, m in enumerate(num_cols)}
+        else:
+            last_date, vals, ons = None, {m: None for m in num_cols}, {m: None for m in num_cols}
+        out = []
+        for rec in rows.itertuples(index=False):
+            d = rec.date
+            late = int(last_date is not None and d <= last_date)
+            elapsed = None if last_date is None else int((d - last_date).days)
+            rec_out = {"device": key[0], "date": d, "elapsed": elapsed, "late": late}
+            for m, c, s in zip(num_cols, ch, sw):
+                raw = getattr(rec, m)
+                raw = None if raw is None or (isinstance(raw, float) and math.isnan(raw)) else float(raw)
+                cur = raw if raw is not None else vals[m]
+                rec_out[c] = _change(cur, vals[m], keep_inf)
+                on = 1 if raw is None or raw != 0 else 0
+                rec_out[s] = 0 if ons[m] is None else on - ons[m]
+                vals[m], ons[m] = cur, on
+            if not late:
+                last_date = d
+            out.append(rec_out)
+        state.update(tuple([last_date] + [vals[m] for m in num_cols]
+                           + [None if ons[m] is None else int(ons[m]) for m in num_cols]))
+        frame = pd.DataFrame(out, columns=["device", "date", "elapsed", "late"] + ch + sw)
+        frame["elapsed"] = frame["elapsed"].astype("Int32")
+        for s in sw:
+            frame[s] = frame[s].astype("int32")
+        yield frame
+
+    return (stream.select("device", "date", *num_cols).groupBy("device")
+            .applyInPandasWithState(step, out_schema, state_schema, "append", GroupStateTimeout.NoTimeout))
