@@ -38,11 +38,13 @@ def rank_table(df: DataFrame, cols, buckets: int = DEFAULT_BUCKETS) -> DataFrame
     """
     cnt = _long_values(df, cols).groupBy("metric", "v").agg(F.count(F.lit(1)).alias("cnt"))
     fracs = [i / buckets for i in range(1, buckets)]
-    bounds = (cnt.where(F.col("v").isNotNull()).groupBy("metric")
-              .agg(F.percentile_approx("v", fracs, 10000).alias("bounds")))
-    nonnull = cnt.where(F.col("v").isNotNull()).join(F.broadcast(bounds), "metric")
-    nonnull = nonnull.withColumn(
-        "bucket", F.size(F.filter("bounds", lambda b: b < F.col("v")))).drop("bounds")
+    nonnull = cnt.where(F.col("v").isNotNull())
+    if fracs:
+        bounds = nonnull.groupBy("metric").agg(F.percentile_approx("v", fracs, 10000).alias("bounds"))
+        nonnull = nonnull.join(F.broadcast(bounds), "metric").withColumn(
+            "bucket", F.size(F.filter("bounds", lambda b: b < F.col("v")))).drop("bounds")
+    else:
+        nonnull = nonnull.withColumn("bucket", F.lit(0))
     per_bucket = nonnull.groupBy("metric", "bucket").agg(F.sum("cnt").alias("bcnt"))
     wb = Window.partitionBy("metric").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     per_bucket = per_bucket.withColumn("boff", F.coalesce(F.sum("bcnt").over(wb), F.lit(0)))
