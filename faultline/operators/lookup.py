@@ -39,3 +39,30 @@ def value_lookup(df: DataFrame, col: str, table: DataFrame, key: str, out_cols:
                  .drop(*out_cols)
                  .join(cold, F.col(col) == F.col("__k"), "left").drop("__k"))
     return hot_rows.unionByName(cold_rows).drop("__hot")
+
+
+def skew_safe_lookup(df: DataFrame, col: str, table: DataFrame, key: str, out_cols: list[str],
+                     count_col: str, total_col: str, salt_from: list[str],
+                     hot_parts: int = HOT_PARTS, salts: int = 1024) -> DataFrame:
+    """Lazy left lookup with no driver-side size check and no skewed partition.
+
+    Values holding at least ``1/hot_parts`` of all rows (``count_col * hot_parts
+    >= total_col``) are at most ``hot_parts`` rows: that part is broadcast.  The
+    remaining (cold) values each hold fewer rows; rows whose value is hot get a
+    salted, non-matching key for the cold join, so they spread over ``salts``
+    hash buckets instead of landing in one partition.  The cold join itself is
+    planned by Spark (AQE broadcasts it at run time when it is small).
+    """
+    t = table.select(F.col(key).alias("__k"), *out_cols, F.col(count_col).alias("__cnt"),
+                     F.col(total_col).alias("__tot"))
+    is_hot = F.col("__cnt") * F.lit(hot_parts) >= F.col("__tot")
+    hot = t.where(is_hot).select("__k", *[F.col(c).alias(f"__h_{c}") for c in out_cols])
+    cold = t.where(~is_hot).select(F.struct(F.col("__k").alias("v"), F.lit(0).alias("s")).alias("__ck"),
+                                   *[F.col(c).alias(f"__c_{c}") for c in out_cols])
+    x = df.join(F.broadcast(hot), F.col(col) == F.col("__k"), "left").drop("__k")
+    hot_hit = F.col(f"__h_{out_cols[0]}").isNotNull()
+    salt = (F.pmod(F.xxhash64(*salt_from), F.lit(salts)) + 1).cast("int")
+    x = x.withColumn("__ck", F.struct(F.col(col).alias("v"), F.when(hot_hit, salt).otherwise(F.lit(0)).alias("s")))
+    x = x.join(cold, "__ck", "left").drop("__ck")
+    return x.select(*[c for c in df.columns],
+                    *[F.coalesce(F.col(f"__h_{c}"), F.col(f"__c_{c}")).alias(c) for c in out_cols])

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultline.operators.lookup import value_lookup
+from faultline.operators.lookup import skew_safe_lookup
 from faultline.session import cut_lineage
 
 DEFAULT_BUCKETS = 64
@@ -36,7 +36,8 @@ def rank_table(df: DataFrame, cols, buckets: int = DEFAULT_BUCKETS) -> DataFrame
 
     NULL values get one row with ``below`` NULL.  ``n`` counts all rows of ``df``.
     """
-    cnt = _long_values(df, cols).groupBy("metric", "v").agg(F.count(F.lit(1)).alias("cnt"))
+    # Materialised once: every later step reads the (much smaller) count table.
+    cnt = cut_lineage(_long_values(df, cols).groupBy("metric", "v").agg(F.count(F.lit(1)).alias("cnt")))
     fracs = [i / buckets for i in range(1, buckets)]
     nonnull = cnt.where(F.col("v").isNotNull())
     if fracs:
@@ -64,19 +65,20 @@ def min_rank(df: DataFrame, cols, prefix_from: str = "m", prefix_to: str = "sr",
              buckets: int = DEFAULT_BUCKETS, table: DataFrame | None = None) -> DataFrame:
     """Add ``sr*`` = (min-rank - 1) / N for each column of ``cols``.
 
-    The rank table is materialised once (reliable checkpoint) and looked up per
-    column with a broadcast only where its size is checked.
+    The rank table (one row per distinct value) is materialised once with a
+    reliable checkpoint — it is read by two lookups per column — and each
+    column is looked up with ``skew_safe_lookup``: hot values (a bounded
+    number) by broadcast, the rest by a salted join that Spark may broadcast
+    at run time when small.
     """
     table = cut_lineage(table if table is not None else rank_table(df, cols, buckets))
-    sizes = {r["metric"]: (r["d"], r["n"]) for r in
-             table.groupBy("metric").agg(F.count(F.lit(1)).alias("d"), F.max("n").alias("n")).collect()}
+    salt_from = [c for c in df.columns][:4]
     out = df
     for c in cols:
         name = c.replace(prefix_from, prefix_to, 1)
-        d, n = sizes.get(c, (0, 0))
-        t = (table.where(F.col("metric") == c).where(F.col("v").isNotNull())
-             .select("v", "cnt", (F.col("below") / F.col("n")).alias(name)))
-        out = value_lookup(out, c, t, "v", [name], table_rows=d, total_rows=n)
+        t = (table.where((F.col("metric") == c) & F.col("v").isNotNull())
+             .select("v", "cnt", "n", (F.col("below") / F.col("n")).alias(name)))
+        out = skew_safe_lookup(out, c, t, "v", [name], "cnt", "n", salt_from)
     return out
 
 

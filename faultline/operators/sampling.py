@@ -176,3 +176,51 @@ def bag_membership(df: DataFrame, strt: str, counts: DataFrame, bags: int, seed:
                 .join(F.broadcast(redo), ["bag", strt]))
         cand = cand.join(F.broadcast(redo), ["bag", strt], "left_anti").unionByName(full)
     return take_smallest(cand, ["bag", strt], order, quota, ties=key_cols)
+
+
+def rug_sample(df: DataFrame, cols: list[str], y: str, n: int, seed: int, key_cols: list[str]) -> DataFrame:
+    """At most ``n`` seeded rows per (metric, class), long ``(m, y, keys.., x)``.
+
+    Groups smaller than ``n`` keep every row (the study samples only when the
+    group is larger).  The per-group quota table has metrics x classes rows.
+    """
+    long = (df.select(*key_cols, y, *[F.col(c).cast("double").alias(c) for c in cols])
+            .unpivot([*key_cols, y], list(cols), "m", "x").where(F.col(y).isNotNull()))
+    classes = [r[0] for r in df.select(y).where(F.col(y).isNotNull()).distinct().limit(1001).collect()]
+    if len(classes) > 1000:
+        raise ValueError("too many classes for a per-class sample")
+    spark = df.sparkSession
+    ytype = df.schema[y].dataType.simpleString()
+    quota = spark.createDataFrame([(c, v, int(n)) for c in cols for v in classes], f"m string, {y} {ytype}, n long")
+    return take_smallest(long, ["m", y], hash_order(seed, F.col("m"), *key_cols), quota, ties=list(key_cols))
+
+
+# Poisson(1) cumulative probabilities P(K <= k) = e^-1 * sum_{i<=k} 1/i!, from the formula.
+def _poisson1_cdf(kmax: int = 12) -> list:
+    acc, term, out = 0.0, 1.0, []
+    for i in range(kmax + 1):
+        if i:
+            term /= i
+        acc += term
+        out.append(acc * math.exp(-1.0))
+    return out
+
+
+def bootstrap_weights(df: DataFrame, bags: int, seed: int, key_cols: list[str]) -> DataFrame:
+    """M9: sampling with replacement as a Poisson(1) count per (bag, row).
+
+    The count is the inverse CDF of a seeded hash fraction, so each bag is a
+    pure function of (seed, bag, key); rows with count 0 are not emitted.
+    """
+    cdf = _poisson1_cdf()
+    def count_of(u):
+        k = F.lit(0)
+        for c in cdf[:-1]:
+            k = k + (u > F.lit(c)).cast("int")
+        return k
+    x = df.withColumn("bag", F.explode(F.sequence(F.lit(0), F.lit(bags - 1))))
+    parts = [F.lit(f"boot{seed}:"), F.col("bag").cast("string")]
+    for c in key_cols:
+        parts += [F.lit(":"), F.col(c).cast("string")]
+    u = hash_fraction(F.md5(F.concat(*parts)))
+    return x.withColumn("weight", count_of(u)).where(F.col("weight") > 0)

@@ -166,47 +166,52 @@ def yeo_johnson_expr(x: Column, lam: float) -> Column:
     return F.when(x >= 0, pos).otherwise(neg)
 
 
-def _yj_llf(df: DataFrame, c: str, lams: list) -> list:
-    """Log-likelihood of every lambda in ``lams``, one aggregate pass."""
-    x = F.col(c).cast("double")
-    aggs = [F.count(x).alias("n"), F.sum(F.signum(x) * F.log1p(F.abs(x))).alias("s")]
-    for i, lam in enumerate(lams):
-        y = yeo_johnson_expr(x, lam)
-        aggs += [F.var_pop(y).alias(f"v{i}")]
-    row = df.agg(*aggs).first()
-    n, s = row["n"], row["s"] or 0.0
-    out = []
-    for i, lam in enumerate(lams):
-        v = row[f"v{i}"]
-        out.append(-math.inf if not v or v <= 0 else -n / 2 * math.log(v) + (lam - 1) * s)
+def _yj_llf(df: DataFrame, grids: dict) -> dict:
+    """Log-likelihood of every (column, lambda) in ``grids``: one aggregate pass."""
+    aggs = []
+    for c, lams in grids.items():
+        x = F.col(c).cast("double")
+        aggs += [F.count(x).alias(f"n|{c}"), F.sum(F.signum(x) * F.log1p(F.abs(x))).alias(f"s|{c}")]
+        aggs += [F.var_pop(yeo_johnson_expr(x, lam)).alias(f"v{i}|{c}") for i, lam in enumerate(lams)]
+    row = df.agg(*aggs).first().asDict()
+    out = {}
+    for c, lams in grids.items():
+        n, s = row[f"n|{c}"], row[f"s|{c}"] or 0.0
+        out[c] = [-math.inf if not row[f"v{i}|{c}"] or row[f"v{i}|{c}"] <= 0
+                  else -n / 2 * math.log(row[f"v{i}|{c}"]) + (lam - 1) * s for i, lam in enumerate(lams)]
     return out
 
 
-def fit_yeo_johnson(df: DataFrame, c: str, lo: float = -4.0, hi: float = 4.0,
-                    points: int = 41, rounds: int = 4) -> float:
-    """Max-likelihood lambda by successive grid refinement (each round one pass)."""
-    best = 0.0
+def fit_yeo_johnson(df: DataFrame, cols, lo: float = -4.0, hi: float = 4.0,
+                    points: int = 41, rounds: int = 4) -> dict:
+    """Max-likelihood lambda per column by successive grid refinement; each
+    round is one aggregate pass for all columns."""
+    cols = [cols] if isinstance(cols, str) else list(cols)
+    span = {c: (lo, hi) for c in cols}
+    best = {c: 0.0 for c in cols}
     for _ in range(rounds):
-        lams = [float(v) for v in np.linspace(lo, hi, points)]
-        llf = _yj_llf(df, c, lams)
-        i = int(np.argmax(llf))
-        best = lams[i]
-        step = (hi - lo) / (points - 1)
-        lo, hi = best - step, best + step
+        grids = {c: [float(v) for v in np.linspace(a, b, points)] for c, (a, b) in span.items()}
+        llf = _yj_llf(df, grids)
+        for c in cols:
+            i = int(np.argmax(llf[c]))
+            best[c] = grids[c][i]
+            step = (span[c][1] - span[c][0]) / (points - 1)
+            span[c] = (best[c] - step, best[c] + step)
     return best
 
 
 def fit_power(df: DataFrame, cols, standardize: bool = True) -> dict:
-    params = {}
-    for c in cols:
-        lam = fit_yeo_johnson(df, c)
-        mean = std = None
-        if standardize:
-            y = yeo_johnson_expr(F.col(c).cast("double"), lam)
-            row = df.agg(F.avg(y).alias("m"), F.stddev_pop(y).alias("s")).first()
-            mean, std = row["m"], row["s"]
-        params[c] = ("yj", lam, mean, std)
-    return params
+    cols = list(cols)
+    lams = fit_yeo_johnson(df, cols)
+    stats = {}
+    if standardize:
+        aggs = []
+        for c in cols:
+            y = yeo_johnson_expr(F.col(c).cast("double"), lams[c])
+            aggs += [F.avg(y).alias(f"m|{c}"), F.stddev_pop(y).alias(f"s|{c}")]
+        row = df.agg(*aggs).first().asDict()
+        stats = {c: (row[f"m|{c}"], row[f"s|{c}"]) for c in cols}
+    return {c: ("yj", lams[c], *(stats.get(c, (None, None)))) for c in cols}
 
 
 def power_expr(c: str, lam: float, mean, std) -> Column:

@@ -358,6 +358,7 @@ def q_quantile(spark, sf_dir):
 def q_yeo_johnson(spark, sf_dir):
     """Yeo-Johnson with max-likelihood lambda, standardised."""
     df, _ = panel(spark, sf_dir)
+    df = cut_lineage(df.select("device", "date", "m1", "m6"))      # five fit passes read it
     params = transforms.fit_power(df, ["m1", "m6"])
     return df.select("device", "date", *[transforms.transform_expr(c, params[c]).alias(c) for c in ["m1", "m6"]])
 
@@ -603,3 +604,20 @@ def q_ablation_table(spark, sf_dir):
     base = evaluate.with_rates(evaluate.confusion(pr, "y", "p2", 0.5)).first().asDict()
     ab = ensemble.ablation(train, test, nums, kw, counts, 0.5, RANDOM_STATE, members=members)
     return evaluate.ablation_vs_baseline(ab, base)
+
+
+# ---- rug sample, bootstrap -------------------------------------------------------
+
+@query
+def q_rug_sample(spark, sf_dir):
+    """Up to 250 seeded rows per metric and class (distribution rug data)."""
+    df, _ = panel(spark, sf_dir)
+    return sampling.rug_sample(df, list(METRIC_COLS), "failure", 250, RANDOM_STATE, KEY)
+
+
+@query
+def q_bootstrap(spark, sf_dir):
+    """M9: Poisson(1) bootstrap counts of the training rows for three bags."""
+    df, _ = split_controls(spark, sf_dir)
+    train = df.where(F.col("split") == "train")
+    return sampling.bootstrap_weights(train, 3, RANDOM_STATE, KEY).select("bag", "device", "date", "strt", "weight")

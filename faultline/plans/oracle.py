@@ -418,3 +418,22 @@ SELECT t.threshold, CAST(count_if(failure = 0 AND NOT (y_proba >= t.threshold))
 FROM sc, ts t GROUP BY t.threshold, t.i""", SCORED + ", " + curve_ctes() + """,
 ts AS (SELECT * FROM (VALUES (0, 0.8e0), (1, 0.85e0), (2, 0.9e0), (3, 0.95e0), (4, 0.965e0)) v(i, threshold)
        UNION ALL SELECT 5, threshold FROM best WHERE threshold IS NOT NULL)""")
+
+
+# ---- rug sample, bootstrap -------------------------------------------------------
+from faultline.operators.sampling import _poisson1_cdf  # noqa: E402
+
+sql("q_rug_sample", """
+SELECT device, date, failure, m, x FROM (
+  SELECT *, row_number() OVER (PARTITION BY m, failure
+         ORDER BY md5('42:' || m || ':' || device || ':' || CAST(date AS VARCHAR))) AS rn
+  FROM lk WHERE failure IS NOT NULL) r WHERE rn <= 250""",
+    f"lk AS ({unpivot('panel', ['device', 'date', 'failure'], METRICS, 'm', 'x', 'DOUBLE')})")
+
+_u = ("(('0x' || substr(md5('boot42:' || CAST(b.range AS VARCHAR) || ':' || device || ':' || CAST(date AS VARCHAR)), 1, 13))"
+      "::BIGINT / 4503599627370496e0)")
+_w = " + ".join(f"CAST({_u} > {c!r} AS INTEGER)" for c in _poisson1_cdf()[:-1])
+sql("q_bootstrap", f"""
+SELECT bag, device, date, strt, weight FROM (
+  SELECT CAST(b.range AS INTEGER) AS bag, device, date, strt, CAST({_w} AS INTEGER) AS weight
+  FROM sp CROSS JOIN range(3) b WHERE split = 'train') t WHERE weight > 0""", SPLIT_CTE)

@@ -20,12 +20,21 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def read_panel_csv(spark: SparkSession, path: str, date_format: str = "yyyy-MM-dd") -> DataFrame:
-    """Header CSV, Latin-1, explicit schema (no inference pass over the data)."""
-    return (spark.read.schema(RAW_CSV_SCHEMA)
+    """Header CSV, Latin-1, explicit types (no inference pass over the data).
+
+    The file's column order is not fixed, so only the header line is read
+    first; the declared types are then laid out in that order.
+    """
+    from pyspark.sql import types as T
+    header = (spark.read.option("header", True).option("encoding", "ISO-8859-1")
+              .option("inferSchema", False).csv(path).columns)
+    declared = {f.name: f for f in RAW_CSV_SCHEMA.fields}
+    schema = T.StructType([declared.get(c, T.StructField(c, T.StringType())) for c in header])
+    return (spark.read.schema(schema)
             .option("header", True)
             .option("encoding", "ISO-8859-1")
             .option("dateFormat", date_format)
-            .option("enforceSchema", False)      # map columns by header name
+            .option("mode", "FAILFAST")
             .csv(path))
 
 

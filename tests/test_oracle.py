@@ -15,7 +15,8 @@ FAST = ["q_panel", "q_target_share", "q_strata_share", "q_zero_pct", "q_full_zer
         "q_dup_columns", "q_dist_summary", "q_density", "q_undersample_counts", "q_undersample",
         "q_undersample_ratio", "q_split", "q_split_balance", "q_folds", "q_bags", "q_bag_coverage",
         "q_minmax", "q_standard", "q_quantile", "q_features", "q_one_hot", "q_transform",
-        "q_confusion", "q_scores", "q_pr_curve", "q_best_threshold", "q_auc", "q_threshold_sweep"]
+        "q_confusion", "q_scores", "q_pr_curve", "q_best_threshold", "q_auc", "q_threshold_sweep",
+        "q_rug_sample", "q_bootstrap"]
 
 
 def _norm(v):

@@ -86,7 +86,7 @@ def test_yeo_johnson_lambda_near_numpy_grid(spark):
     rng = np.random.default_rng(11)
     x = rng.exponential(3.0, 500)
     df = spark.createDataFrame([(float(v),) for v in x], "v double")
-    lam = transforms.fit_yeo_johnson(df, "v")
+    lam = transforms.fit_yeo_johnson(df, ["v"])["v"]
 
     def llf(lmb):
         y = np.log1p(x) if abs(lmb) < 1e-12 else ((x + 1) ** lmb - 1) / lmb
