@@ -82,13 +82,40 @@ def min_rank(df: DataFrame, cols, prefix_from: str = "m", prefix_to: str = "sr",
     return out
 
 
+MAX_LOOKUP_VALUES = 1_000_000
+
+
 def apply_rank(df: DataFrame, table: DataFrame, c: str, name: str) -> DataFrame:
-    """Rank new rows against a stored rank table (left-closed range lookup).
+    """Rank new rows against a stored rank table (the fitted rows), F7 fit/apply.
 
-    A value not seen at fit time gets the share of fitted rows strictly below
-    it: offset of the largest fitted value < v plus that value's count.
+    ``name`` = (fitted rows with a value strictly below v) / fitted N: an exact
+    hit uses its ``below``; an unseen value uses the largest fitted value below
+    it (``below + cnt``).  The fitted distinct values become ``Bucketizer``
+    splits (a binary search per row) after a size check.
     """
-    t = table.where((F.col("metric") == c) & F.col("v").isNotNull())
-    hit = t.select(F.col("v").alias("__v"), (F.col("below") / F.col("n")).alias("__exact"))
-    j = df.join(F.broadcast(hit), F.col(c) == F.col("__v"), "left")
-    return j.withColumn(name, F.col("__exact")).drop("__v", "__exact")
+    import math
+    from pyspark.ml.feature import Bucketizer
+    t = table.where((F.col("metric") == c) & F.col("v").isNotNull()).select("v", "cnt", "below", "n")
+    rows = t.orderBy("v").limit(MAX_LOOKUP_VALUES + 1).collect()
+    if len(rows) > MAX_LOOKUP_VALUES:
+        raise ValueError(f"{c}: too many fitted values for an in-row lookup")
+    if not rows:
+        return df.withColumn(name, F.lit(None).cast("double"))
+    n = float(rows[0]["n"])
+    vals = [float(r["v"]) for r in rows]
+    at = [r["below"] / n for r in rows]                       # v equal to a fitted value
+    after = [(r["below"] + r["cnt"]) / n for r in rows]       # v above it, below the next
+    splits = [-math.inf] + vals + [math.inf]
+    tmp, b = f"__x_{name}", f"__b_{name}"
+    x = df.withColumn(tmp, F.coalesce(F.col(c).cast("double"), F.lit(0.0)))
+    x = Bucketizer(splits=splits, inputCol=tmp, outputCol=b).transform(x)
+    k = F.col(b).cast("int")                                  # v in [vals[k-1], vals[k])
+    at_a = F.expr("array(" + ", ".join(f"{v!r}D" for v in at) + ")")
+    after_a = F.expr("array(" + ", ".join(f"{v!r}D" for v in after) + ")")
+    vals_a = F.expr("array(" + ", ".join(f"{v!r}D" for v in vals) + ")")
+    hit = F.element_at(vals_a, F.greatest(k, F.lit(1))) == F.col(c).cast("double")
+    val = (F.when(F.col(c).isNull(), F.lit(None).cast("double"))
+           .when(k == 0, F.lit(0.0))
+           .when(hit, F.element_at(at_a, k))
+           .otherwise(F.element_at(after_a, k)))
+    return x.withColumn(name, val).drop(tmp, b)

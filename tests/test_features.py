@@ -105,3 +105,12 @@ def test_duplicate_column_detection(spark):
     df = spark.createDataFrame([(1, 1, 2), (2, 2, 2), (None, None, 1)], "m7 long, m8 long, m9 long")
     _, schema = clean.drop_duplicate_columns(df, PanelSchema(num_cols=("m7", "m8", "m9")), detect=True)
     assert schema.num_cols == ("m7", "m9")
+
+
+def test_apply_rank_to_new_values(spark):
+    from faultline.operators.rank import apply_rank
+    fit = spark.createDataFrame([(i, v) for i, v in enumerate([0, 0, 0, 3, 3, 7])], "k int, m1 long")
+    table = rank_table(fit, ["m1"], buckets=2)
+    new = spark.createDataFrame([(0, 0), (1, 2), (2, 3), (3, 9), (4, -1), (5, None)], "k int, m1 long")
+    got = {r.k: r.sr1 for r in apply_rank(new, table, "m1", "sr1").collect()}
+    assert got == {0: 0.0, 1: 3 / 6, 2: 3 / 6, 3: 1.0, 4: 0.0, 5: None}
