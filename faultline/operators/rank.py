@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultline.operators.lookup import skew_safe_lookup
+from faultline.operators.lookup import skew_safe_lookups_sql
 from faultline.session import cut_lineage
 
 DEFAULT_BUCKETS = 64
@@ -36,8 +36,7 @@ def rank_table(df: DataFrame, cols, buckets: int = DEFAULT_BUCKETS) -> DataFrame
 
     NULL values get one row with ``below`` NULL.  ``n`` counts all rows of ``df``.
     """
-    # Materialised once: every later step reads the (much smaller) count table.
-    cnt = cut_lineage(_long_values(df, cols).groupBy("metric", "v").agg(F.count(F.lit(1)).alias("cnt")))
+    cnt = _long_values(df, cols).groupBy("metric", "v").agg(F.count(F.lit(1)).alias("cnt"))
     fracs = [i / buckets for i in range(1, buckets)]
     nonnull = cnt.where(F.col("v").isNotNull())
     if fracs:
@@ -73,13 +72,8 @@ def min_rank(df: DataFrame, cols, prefix_from: str = "m", prefix_to: str = "sr",
     """
     table = cut_lineage(table if table is not None else rank_table(df, cols, buckets))
     salt_from = [c for c in df.columns][:4]
-    out = df
-    for c in cols:
-        name = c.replace(prefix_from, prefix_to, 1)
-        t = (table.where((F.col("metric") == c) & F.col("v").isNotNull())
-             .select("v", "cnt", "n", (F.col("below") / F.col("n")).alias(name)))
-        out = skew_safe_lookup(out, c, t, "v", [name], "cnt", "n", salt_from)
-    return out
+    specs = [(c, c, "below / n", c.replace(prefix_from, prefix_to, 1)) for c in cols]
+    return skew_safe_lookups_sql(df, table, specs, salt_from)
 
 
 MAX_LOOKUP_VALUES = 1_000_000
