@@ -26,9 +26,15 @@ EXACT_QUANTILE_MAX_DISTINCT = 5_000_000
 
 # ---- F9, F10 -------------------------------------------------------------------
 
-def fit_scalers(df: DataFrame, minmax=(), normal=()) -> dict:
-    """One aggregate for every scaled column: min/max, mean/population std."""
+def fit_scalers(df: DataFrame, minmax=(), normal=(), extra=()) -> dict:
+    """One aggregate for every scaled column: min/max, mean/population std.
+
+    ``extra`` columns get (approximate distinct, non-null count) in the same
+    pass, returned under the key ``"__stats"`` (the quantile fit uses them).
+    """
     aggs = []
+    for c in extra:
+        aggs += [F.approx_count_distinct(c).alias(f"d|{c}"), F.count(c).alias(f"n|{c}")]
     for c in minmax:
         aggs += [F.min(F.col(c).cast("double")).alias(f"min|{c}"), F.max(F.col(c).cast("double")).alias(f"max|{c}")]
     for c in normal:
@@ -42,6 +48,8 @@ def fit_scalers(df: DataFrame, minmax=(), normal=()) -> dict:
         params[c] = ("mnmx", row[f"min|{c}"], row[f"max|{c}"])
     for c in normal:
         params[c] = ("nrm", row[f"mean|{c}"], row[f"std|{c}"])
+    if extra:
+        params["__stats"] = {c: (row[f"d|{c}"], row[f"n|{c}"]) for c in extra}
     return params
 
 
@@ -59,38 +67,30 @@ def standard_expr(c: str, mean: float, std: float) -> Column:
 
 # ---- F11 -------------------------------------------------------------------------
 
-def fit_quantiles(df: DataFrame, cols, n_quantiles: int = N_QUANTILES) -> dict:
-    """Linear-interpolation quantiles at ``linspace(0, 1, n)`` per column.
+def fit_quantiles(df: DataFrame, cols, n_quantiles: int = N_QUANTILES, stats: dict | None = None) -> dict:
+    """Linear-interpolation quantiles at ``linspace(0, 1, k)`` per column, k = min(n, 500).
 
-    Exact: rows are first collapsed to ``(column, value, count)`` and the exact
-    ``percentile`` aggregate runs on that with frequencies; when a column has
-    more distinct values than ``EXACT_QUANTILE_MAX_DISTINCT`` (checked first)
-    ``percentile_approx`` with a high accuracy is used instead.
+    ``stats`` maps column -> (approximate distinct count, non-null count); when
+    not given, one aggregate computes it.  Columns under
+    ``EXACT_QUANTILE_MAX_DISTINCT`` distinct values (the exact aggregate keeps
+    one count per distinct value) get exact quantiles, all in one aggregate;
+    the others ``percentile_approx`` with a high accuracy.
     """
     cols = list(cols)
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "c", "v")
-    cnt = long.where(F.col("v").isNotNull() & ~F.isnan("v")).groupBy("c", "v").agg(
-        F.count(F.lit(1)).alias("w"))
-    stats = {r["c"]: (r["d"], r["n"]) for r in
-             cnt.groupBy("c").agg(F.count(F.lit(1)).alias("d"), F.sum("w").alias("n")).collect()}
-    params, exact, approx = {}, {}, []
-    for c in cols:
-        d, n = stats.get(c, (0, 0))
-        k = max(1, min(n_quantiles, n))
-        refs = [float(x) for x in np.linspace(0, 1, k)]
-        params[c] = refs
-        (exact.setdefault(k, []) if d <= EXACT_QUANTILE_MAX_DISTINCT else approx).append(c)
-    knots = {}
-    for k, cs in exact.items():                       # one aggregate for all exact columns
-        refs = lit_array(params[cs[0]])
-        for r in (cnt.where(F.col("c").isin(cs)).groupBy("c")
-                  .agg(F.percentile("v", refs, F.col("w")).alias("q")).collect()):
-            knots[r["c"]] = r["q"]
-    if approx:
-        row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), params[c], 1_000_000).alias(c)
-                       for c in approx]).first()
-        knots.update({c: row[c] for c in approx})
-    return {c: ("qt", [float(x) for x in knots[c]], params[c]) for c in cols}
+    if stats is None:
+        row = df.agg(*[x for c in cols for x in (F.approx_count_distinct(c).alias(f"d|{c}"),
+                                                 F.count(c).alias(f"n|{c}"))]).first().asDict()
+        stats = {c: (row[f"d|{c}"], row[f"n|{c}"]) for c in cols}
+    refs = {c: [float(x) for x in np.linspace(0, 1, max(1, min(n_quantiles, stats[c][1])))] for c in cols}
+    exact = [c for c in cols if stats[c][0] <= EXACT_QUANTILE_MAX_DISTINCT]
+    approx = [c for c in cols if c not in exact]
+    def clean(c):
+        x = F.col(c).cast("double")
+        return F.when(~F.isnan(x), x)
+    aggs = [F.percentile(clean(c), lit_array(refs[c])).alias(c) for c in exact]
+    aggs += [F.percentile_approx(clean(c), refs[c], 1_000_000).alias(c) for c in approx]
+    row = df.agg(*aggs).first().asDict()
+    return {c: ("qt", [float(x) for x in row[c]], refs[c]) for c in cols}
 
 
 def quantile_uniform(df: DataFrame, c: str, knots: list, refs: list, out: str) -> DataFrame:
@@ -228,9 +228,10 @@ def fit_transforms(df: DataFrame, plan: dict) -> dict:
     for c, code in plan.items():
         by.setdefault(code, []).append(c)
     params = {}
-    params.update(fit_scalers(df, minmax=by.get("mnmx", ()), normal=by.get("nrm", ())))
+    params.update(fit_scalers(df, minmax=by.get("mnmx", ()), normal=by.get("nrm", ()), extra=by.get("qt", ())))
+    stats = params.pop("__stats", None)
     if by.get("qt"):
-        params.update(fit_quantiles(df, by["qt"]))
+        params.update(fit_quantiles(df, by["qt"], stats=stats))
     if by.get("yj"):
         params.update(fit_power(df, by["yj"]))
     for c in by.get("none", ()):
