@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 DEFAULT_BUCKETS = 64
 
+from faultline.operators.rank import count_below  # noqa: E402
+
 
 def running_sums(df: DataFrame, order: str, cols: list[str], descending: bool = False,
                  buckets: int = DEFAULT_BUCKETS, prefix: str = "before_") -> DataFrame:
@@ -28,8 +30,11 @@ def running_sums(df: DataFrame, order: str, cols: list[str], descending: bool =
     # ``buckets - 1`` numbers come back to the driver and return as a literal.
     bvals = x.agg(F.percentile_approx("__o", fracs, 10000).alias("b")).first()["b"] or []
     bvals = sorted(set(bvals))
-    arr = F.expr("array(" + ", ".join(f"{float(v)!r}D" for v in bvals) + ")") if bvals else None
-    x = x.withColumn("__bk", F.size(F.filter(arr, lambda b: b < F.col("__o"))) if arr is not None else F.lit(0))
+    if bvals:
+        x = x.withColumn("__bounds", F.expr("array(" + ", ".join(f"{float(v)!r}D" for v in bvals) + ")"))
+        x = x.withColumn("__bk", F.expr(count_below("__bounds", "__o", 1, len(bvals)))).drop("__bounds")
+    else:
+        x = x.withColumn("__bk", F.lit(0))
     per = x.groupBy("__bk").agg(*[F.sum(c).alias(f"__t_{c}") for c in cols])
     wb = Window.orderBy("__bk").rowsBetween(Window.unboundedPreceding, -1)   # buckets rows only
     per = per.select("__bk", *[F.coalesce(F.sum(f"__t_{c}").over(wb), F.lit(0)).alias(f"__o_{c}") for c in cols])

@@ -31,6 +31,18 @@ def _long_values(df: DataFrame, cols) -> DataFrame:
     return df.select(*sel).unpivot([], list(cols), "metric", "v")
 
 
+def count_below(arr: str, v: str, lo: int, hi: int) -> str:
+    """SQL text: number of sorted ``arr`` elements (1-based ``lo..hi``) below ``v``,
+    by binary search (log2 comparisons, codegen-friendly)."""
+    def rec(a: int, b: int) -> str:        # the answer lies in [a - 1, b] as a count
+        if a > b:
+            return str(b)
+        m = (a + b) // 2
+        return (f"CASE WHEN element_at({arr}, {m}) < {v} THEN {rec(m + 1, b)} "
+                f"ELSE {rec(a, m - 1)} END")
+    return rec(lo, hi)
+
+
 def rank_table(df: DataFrame, cols, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
     """``(metric, v, cnt, below, n)``: rows per value, rows with a smaller value, rows in all.
 
@@ -42,7 +54,7 @@ def rank_table(df: DataFrame, cols, buckets: int = DEFAULT_BUCKETS) -> DataFrame
     if fracs:
         bounds = nonnull.groupBy("metric").agg(F.percentile_approx("v", fracs, 10000).alias("bounds"))
         nonnull = nonnull.join(F.broadcast(bounds), "metric").withColumn(
-            "bucket", F.size(F.filter("bounds", lambda b: b < F.col("v")))).drop("bounds")
+            "bucket", F.expr(count_below("bounds", "v", 1, len(fracs)))).drop("bounds")
     else:
         nonnull = nonnull.withColumn("bucket", F.lit(0))
     per_bucket = nonnull.groupBy("metric", "bucket").agg(F.sum("cnt").alias("bcnt"))
