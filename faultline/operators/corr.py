@@ -16,23 +16,26 @@ from faultline.operators.clean import value_filter
 def pearson_long(df: DataFrame, cols, remove_values=(None,)) -> DataFrame:
     """P7 filter, then corr for every ordered pair (diagonal included).
 
+    Each row is expanded to one ``(a, b, x, y)`` cell per unordered pair, masked
+    to pairwise-complete values, and a grouped aggregate with three moments
+    runs per pair: a map-side partial aggregate leaves one row per pair and
+    partition, and the code per row stays small (one wide aggregate with
+    hundreds of moment buffers compiles to methods the JIT will not compile).
     A constant column gives NULL (no division error under ANSI).
     """
     cols = list(cols)
     kept = value_filter(df, cols, list(remove_values))
-    aggs, pairs = [], []
-    for i, a in enumerate(cols):
-        for b in cols[i:]:
-            x = F.when(F.col(b).isNotNull(), F.col(a)).cast("double")
-            y = F.when(F.col(a).isNotNull(), F.col(b)).cast("double")
-            k = len(pairs)
-            aggs.append(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)).alias(f"c{k}"))
-            pairs.append((a, b))
-    wide = kept.agg(*aggs)
-    cells = [(a, b, k) for k, (a, b) in enumerate(pairs)]
-    cells += [(b, a, k) for k, (a, b) in enumerate(pairs) if a != b]
-    return explode_cells(wide, [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"),
-                                         F.col(f"c{k}").alias("corr")) for a, b, k in cells])
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
+    cells = ", ".join(
+        f"named_struct('a', '{a}', 'b', '{b}', "
+        f"'x', CAST(CASE WHEN `{b}` IS NOT NULL THEN `{a}` END AS DOUBLE), "
+        f"'y', CAST(CASE WHEN `{a}` IS NOT NULL THEN `{b}` END AS DOUBLE))" for a, b in pairs)
+    long = kept.select(F.expr(f"inline(array({cells}))"))
+    per_pair = long.groupBy("a", "b").agg(
+        F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y")).alias("corr"))
+    return per_pair.select(F.expr(
+        "inline(CASE WHEN a = b THEN array(named_struct('a', a, 'b', b, 'corr', corr)) "
+        "ELSE array(named_struct('a', a, 'b', b, 'corr', corr), named_struct('a', b, 'b', a, 'corr', corr)) END)"))
 
 
 def explode_cells(wide: DataFrame, structs) -> DataFrame:
