@@ -1,11 +1,11 @@
-"""Size-checked value lookups (equi-join of a big table to a per-value table).
+"""Skew-safe value lookups (equi-join of a big table to a per-value table).
 
-A lookup table keyed by a value column is broadcast only when its row count is
-known to be under ``BROADCAST_MAX_ROWS``.  Beyond that, values whose row
-frequency is at least ``hot_min_rows`` (there can be at most N / hot_min_rows
-of them, so that part has a proven size bound) are broadcast, and only rows
-with the remaining, cold values go through a shuffle join.  A value holding a
-third of all rows therefore never lands in one shuffle partition.
+Values whose row frequency is at least 1 / ``hot_parts`` of all rows are
+"hot": there can be at most ``hot_parts`` of them, so that part of the table
+has a proven size bound and is broadcast.  Rows carrying a hot value get a
+salted key that cannot match the cold part, so the cold join (which the
+planner broadcasts only when its file-backed size is small) never puts a
+value holding a third of all rows into one shuffle partition.
 """
 
 from __future__ import annotations
@@ -13,34 +13,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_MAX_ROWS = 2_000_000
 HOT_PARTS = 20_000          # values with > N / HOT_PARTS rows are hot
 
 
-def value_lookup(df: DataFrame, col: str, table: DataFrame, key: str, out_cols: list[str],
-                 table_rows: int, total_rows: int, count_col: str = "cnt",
-                 broadcast_max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Left-join ``table[out_cols]`` onto ``df`` where ``df[col] == table[key]``.
-
-    ``table_rows`` and ``total_rows`` are driver-side counts the caller already
-    holds (the size check); ``count_col`` is the number of ``df`` rows per key.
-    """
-    t = table.select(F.col(key).alias("__k"), *out_cols, F.col(count_col).alias("__n"))
-    if table_rows <= broadcast_max_rows:
-        return (df.join(F.broadcast(t.drop("__n")), F.col(col) == F.col("__k"), "left")
-                .drop("__k"))
-    hot_min = max(1, total_rows // HOT_PARTS)
-    hot = t.where(F.col("__n") >= hot_min).drop("__n")          # <= HOT_PARTS rows
-    cold = t.where(F.col("__n") < hot_min).drop("__n")
-    flagged = df.join(F.broadcast(hot.withColumn("__hot", F.lit(True))),
-                      F.col(col) == F.col("__k"), "left").drop("__k")
-    hot_rows = flagged.where(F.col("__hot").isNotNull() | F.col(col).isNull())
-    cold_rows = (flagged.where(F.col("__hot").isNull() & F.col(col).isNotNull())
-                 .drop(*out_cols)
-                 .join(cold, F.col(col) == F.col("__k"), "left").drop("__k"))
-    return hot_rows.unionByName(cold_rows).drop("__hot")
-
-
 def skew_safe_lookup(df: DataFrame, col: str, table: DataFrame, key: str, out_cols: list[str],
                      count_col: str, total_col: str, salt_from: list[str],
                      hot_parts: int = HOT_PARTS, salts: int = 1024) -> DataFrame:

@@ -10,7 +10,7 @@ value.  The plan:
 3. prefix-sum the per-bucket totals (``metrics x buckets`` rows) and, inside
    each ``(metric, bucket)``, the per-value counts (a window partitioned by the
    bucket, so no task sorts more than ~1/buckets of a metric's values);
-4. look the offsets up per metric with a size-checked join (``value_lookup``).
+4. look the offsets up per metric with skew-safe joins (``lookup``).
 """
 
 from __future__ import annotations

@@ -114,3 +114,29 @@ def test_apply_rank_to_new_values(spark):
     new = spark.createDataFrame([(0, 0), (1, 2), (2, 3), (3, 9), (4, -1), (5, None)], "k int, m1 long")
     got = {r.k: r.sr1 for r in apply_rank(new, table, "m1", "sr1").collect()}
     assert got == {0: 0.0, 1: 3 / 6, 2: 3 / 6, 3: 1.0, 4: 0.0, 5: None}
+
+
+def test_skew_safe_lookups_hot_and_cold_paths(spark):
+    from faultline.operators.lookup import skew_safe_lookup, skew_safe_lookups_sql
+    vals = [0] * 60 + [1] * 25 + list(range(2, 17))          # 0 and 1 hot at hot_parts=4
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "k int, m1 long")
+    n = len(vals)
+    table = spark.createDataFrame(
+        [("m1", v, vals.count(v), n, sum(1 for w in vals if w < v)) for v in sorted(set(vals))],
+        "metric string, v long, cnt long, n long, below long")
+    want = {i: sum(1 for w in vals if w < v) / n for i, v in enumerate(vals)}
+    out = skew_safe_lookups_sql(df, table, [("m1", "m1", "below / n", "sr1")], ["k"], hot_parts=4, salts=8)
+    assert {r.k: r.sr1 for r in out.collect()} == want
+    t1 = table.select("v", "cnt", "n", (F.col("below") / F.col("n")).alias("sr1"))
+    out1 = skew_safe_lookup(df, "m1", t1, "v", ["sr1"], "cnt", "n", ["k"], hot_parts=4, salts=8)
+    assert {r.k: r.sr1 for r in out1.collect()} == want
+
+
+def test_small_cleaning_helpers(spark):
+    df = spark.createDataFrame([(1, "a", 2)], "attribute1 int, device string, attribute2 int")
+    r = clean.rename_substring(df, "attribute", "m")
+    assert r.columns == ["m1", "device", "m2"]
+    ins = clean.insert_columns(r, 1, f0=F.lit(0))
+    assert ins.columns == ["m1", "f0", "device", "m2"]
+    keys = spark.createDataFrame([("a",), ("a",)], "device string")
+    assert clean.rows_for_keys(r, keys, ["device"]).count() == 1
