@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultline.functions import col_of, hash_fraction, hash_order
+from faultline.functions import hash_fraction, hash_order
 
 PREFIX_DIGITS = 5
 
