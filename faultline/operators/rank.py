@@ -50,26 +50,27 @@ def rank_table(df: DataFrame, cols, buckets: int = DEFAULT_BUCKETS) -> DataFrame
     """
     cnt = _long_values(df, cols).groupBy("metric", "v").agg(F.count(F.lit(1)).alias("cnt"))
     fracs = [i / buckets for i in range(1, buckets)]
-    nonnull = cnt.where(F.col("v").isNotNull())
+    null_bucket = F.lit(len(fracs) + 1)            # after every value bucket
     if fracs:
-        bounds = nonnull.groupBy("metric").agg(F.percentile_approx("v", fracs, 10000).alias("bounds"))
-        nonnull = nonnull.join(F.broadcast(bounds), "metric").withColumn(
-            "bucket", F.expr(count_below("bounds", "v", 1, len(fracs)))).drop("bounds")
+        bounds = (cnt.where(F.col("v").isNotNull()).groupBy("metric")
+                  .agg(F.percentile_approx("v", fracs, 10000).alias("bounds")))
+        keyed = cnt.join(F.broadcast(bounds), "metric", "left").withColumn(
+            "bucket", F.when(F.col("v").isNull(), null_bucket)
+                       .otherwise(F.expr(count_below("bounds", "v", 1, len(fracs))))).drop("bounds")
     else:
-        nonnull = nonnull.withColumn("bucket", F.lit(0))
-    per_bucket = nonnull.groupBy("metric", "bucket").agg(F.sum("cnt").alias("bcnt"))
+        keyed = cnt.withColumn("bucket", F.when(F.col("v").isNull(), null_bucket).otherwise(F.lit(0)))
+    # metrics x buckets rows: bucket offsets and the metric's row total in one window pass.
+    per_bucket = keyed.groupBy("metric", "bucket").agg(F.sum("cnt").alias("bcnt"))
     wb = Window.partitionBy("metric").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    per_bucket = per_bucket.withColumn("boff", F.coalesce(F.sum("bcnt").over(wb), F.lit(0)))
+    per_bucket = per_bucket.select(
+        "metric", "bucket", F.coalesce(F.sum("bcnt").over(wb), F.lit(0)).alias("boff"),
+        F.sum("bcnt").over(Window.partitionBy("metric")).alias("n"))
     wv = (Window.partitionBy("metric", "bucket").orderBy("v")
           .rowsBetween(Window.unboundedPreceding, -1))
-    ranked = (nonnull.withColumn("inb", F.coalesce(F.sum("cnt").over(wv), F.lit(0)))
-              .join(F.broadcast(per_bucket.select("metric", "bucket", "boff")), ["metric", "bucket"])
-              .select("metric", "v", "cnt", (F.col("boff") + F.col("inb")).alias("below")))
-    nulls = cnt.where(F.col("v").isNull()).select("metric", "v", "cnt",
-                                                  F.lit(None).cast("long").alias("below"))
-    allv = ranked.unionByName(nulls)
-    totals = allv.groupBy("metric").agg(F.sum("cnt").alias("n"))
-    return allv.join(F.broadcast(totals), "metric")
+    return (keyed.withColumn("inb", F.coalesce(F.sum("cnt").over(wv), F.lit(0)))
+            .join(F.broadcast(per_bucket), ["metric", "bucket"])
+            .select("metric", "v", "cnt",
+                    F.when(F.col("v").isNotNull(), F.col("boff") + F.col("inb")).alias("below"), "n"))
 
 
 def min_rank(df: DataFrame, cols, prefix_from: str = "m", prefix_to: str = "sr",
