@@ -53,19 +53,22 @@ def value_percentage(df: DataFrame, cols, by: str | None = None, values=(0,),
 
 def class_moments(df: DataFrame, cols, by: str, nonzero: bool = True) -> DataFrame:
     """A4 + A5 + R1: long ``(by, stat, m, value)`` of mean / sample std per class,
-    and (``nonzero``) mean_nz / std_nz over values > 0."""
-    aggs = []
-    for c in cols:
-        x = F.col(c).cast("double")
-        aggs += [F.avg(x).alias(f"mean|{c}"), F.stddev_samp(x).alias(f"std|{c}")]
-        if nonzero:
-            pos = F.when(x > 0, x)
-            aggs += [F.avg(pos).alias(f"mean_nz|{c}"), F.stddev_samp(pos).alias(f"std_nz|{c}")]
-    wide = df.where(F.col(by).isNotNull()).groupBy(by).agg(*aggs)
+    and (``nonzero``) mean_nz / std_nz over values > 0.
+
+    Rows are unpivoted to ``(by, m, x)`` and one grouped aggregate with four
+    moments runs per (class, metric): small per-row code, one partial row per
+    group and partition.
+    """
+    long = (df.where(F.col(by).isNotNull())
+            .select(by, *[F.col(c).cast("double").alias(c) for c in cols])
+            .unpivot([by], list(cols), "m", "x"))
+    pos = F.when(F.col("x") > 0, F.col("x"))
+    aggs = [F.avg("x").alias("mean"), F.stddev_samp("x").alias("std")]
+    if nonzero:
+        aggs += [F.avg(pos).alias("mean_nz"), F.stddev_samp(pos).alias("std_nz")]
     stats = ["mean", "std"] + (["mean_nz", "std_nz"] if nonzero else [])
-    cells = [F.struct(F.lit(s).alias("stat"), F.lit(c).alias("m"), F.col(f"`{s}|{c}`").alias("value"))
-             for s in stats for c in cols]
-    return wide.select(by, F.inline(F.array(*cells)))
+    g = long.groupBy(by, "m").agg(*aggs)
+    return g.unpivot([by, "m"], stats, "stat", "value").select(by, "stat", "m", "value")
 
 
 def category_counts(df: DataFrame, y: str | None, cols, proportion: bool = True) -> DataFrame:
