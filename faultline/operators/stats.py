@@ -36,19 +36,21 @@ def value_percentage(df: DataFrame, cols, by: str | None = None, values=(0,),
     """A3: per class of ``by`` (or one class ``total``), 100 x share of rows whose
     cell is in ``values``; the denominator counts every row, NULL cells included.
 
-    ``long=True`` returns ``(by, m, pct)``; otherwise one column per metric.
+    ``long=True`` returns ``(by, m, pct)`` from one grouped aggregate over the
+    unpivoted 0/1 flags; otherwise one column per metric (one wide aggregate).
     """
     key = by or "total"
     base = df if by else df.withColumn("total", F.lit("total"))
 
-    def pct(c):
-        v = F.avg(isin_ns(c, list(values)).cast("int")) * 100
+    def pct(v):
+        v = F.avg(v) * 100
         return np_round(v, digits) if digits is not None else v
 
-    wide = base.groupBy(key).agg(*[pct(c).alias(c) for c in cols])
+    flags = base.select(key, *[isin_ns(c, list(values)).cast("int").alias(c) for c in cols])
     if not long:
-        return wide
-    return wide.unpivot([key], list(cols), "m", "pct")
+        return flags.groupBy(key).agg(*[pct(F.col(c)).alias(c) for c in cols])
+    return (flags.unpivot([key], list(cols), "m", "hit")
+            .groupBy(key, "m").agg(pct(F.col("hit")).alias("pct")))
 
 
 def class_moments(df: DataFrame, cols, by: str, nonzero: bool = True) -> DataFrame:
