@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from faultline.llm.packed_matrix import pack_matrix
 from faultline.llm.packing import pack_concat
 from faultline.llm.token_counts import count_tokens
+from faultline.llm.toxicity import fit_toxicity, held_out, score_toxicity
 from faultline.sources.panel import read_table
 
 
@@ -14,6 +15,12 @@ def op4_token_counts(spark, sf_dir):
     return count_tokens(read_table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    scored = score_toxicity(docs, fit_toxicity(docs, read_table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op6_packing(spark, sf_dir):
     pieces = pack_concat(read_table(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"),
@@ -24,5 +31,5 @@ def op7_packed_matrix(spark, sf_dir):
     return pack_matrix(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_token_counts, op6_packing, op7_packed_matrix)}
+QUERIES = {f.__name__: f for f in (op4_token_counts, op5_toxicity, op6_packing, op7_packed_matrix)}
 ORACLE: dict[str, str] = {}
