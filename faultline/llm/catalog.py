@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from faultline.llm.near_dedup import near_duplicates
 from faultline.llm.packed_matrix import pack_matrix
 from faultline.llm.packing import pack_concat
 from faultline.llm.token_counts import count_tokens
@@ -11,6 +12,10 @@ from faultline.llm.toxicity import fit_toxicity, held_out, score_toxicity
 from faultline.sources.panel import read_table
 
 
+def op1_minhash_near_dedup(spark, sf_dir):
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark, sf_dir):
     return count_tokens(read_table(spark, sf_dir, "documents"))
 
@@ -31,5 +36,5 @@ def op7_packed_matrix(spark, sf_dir):
     return pack_matrix(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_token_counts, op5_toxicity, op6_packing, op7_packed_matrix)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op4_token_counts, op5_toxicity, op6_packing, op7_packed_matrix)}
 ORACLE: dict[str, str] = {}
