@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from faultline.llm import licenses, mixing
 from faultline.llm.near_dedup import near_duplicates
 from faultline.llm.packed_matrix import pack_matrix
 from faultline.llm.packing import pack_concat
@@ -16,6 +17,15 @@ def op1_minhash_near_dedup(spark, sf_dir):
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark, sf_dir):
+    return licenses.scan_licenses(read_table(spark, sf_dir, "documents")).drop("found")
+
+
+def op3_source_mixing(spark, sf_dir):
+    mix = mixing.mix_sources(read_table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return mix.select("row.doc_id", "size", "source_size", "target", "taken")
+
+
 def op4_token_counts(spark, sf_dir):
     return count_tokens(read_table(spark, sf_dir, "documents"))
 
@@ -36,5 +46,5 @@ def op7_packed_matrix(spark, sf_dir):
     return pack_matrix(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op4_token_counts, op5_toxicity, op6_packing, op7_packed_matrix)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_license_scan, op3_source_mixing, op4_token_counts, op5_toxicity, op6_packing, op7_packed_matrix)}
+ORACLE: dict[str, str] = {"op2_license_scan": licenses.sql(), "op3_source_mixing": mixing.SQL}
