@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from faultline.llm import licenses, mixing
+from faultline.llm.fingerprints import compare_with_next
 from faultline.llm.near_dedup import near_duplicates
 from faultline.llm.packed_matrix import pack_matrix
 from faultline.llm.packing import pack_concat
@@ -46,5 +47,10 @@ def op7_packed_matrix(spark, sf_dir):
     return pack_matrix(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_license_scan, op3_source_mixing, op4_token_counts, op5_toxicity, op6_packing, op7_packed_matrix)}
+def op8_fingerprints(spark, sf_dir):
+    return compare_with_next(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_license_scan, op3_source_mixing, op4_token_counts,
+                                   op5_toxicity, op6_packing, op7_packed_matrix, op8_fingerprints)}
 ORACLE: dict[str, str] = {"op2_license_scan": licenses.sql(), "op3_source_mixing": mixing.SQL}
