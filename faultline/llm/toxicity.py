@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from faultline.llm import subwords
 
-SAMPLE = (4500, 1500)             # labelled rows of class 0 and 1 that are learnt from, at most
+SAMPLE = (3000, 1000)             # labelled rows of class 0 and 1 that are learnt from, at most
 
 
 @dataclass
@@ -60,12 +60,12 @@ def labelled_bags(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
             got = [subwords.bag(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([
                 b.column(0), pa.array([x.astype("<i4").tobytes() for x, _ in got], pa.binary()),
-                pa.array([c.astype("<f4").tobytes() for _, c in got], pa.binary())], names=["y", "b", "c"])
+                pa.array([np.minimum(c, 65535).astype("<u2").tobytes() for _, c in got], pa.binary())], names=["y", "b", "c"])
 
     out = rows.mapInArrow(bags, T.StructType([
         T.StructField("y", T.IntegerType()), T.StructField("b", T.BinaryType()), T.StructField("c", T.BinaryType())])).collect()
     out = sorted((r.y, bytes(r.b), bytes(r.c)) for r in out)      # one order, however the tasks ended
-    return [(y, np.frombuffer(b, "<i4"), np.frombuffer(c, "<f4")) for y, b, c in out]
+    return [(y, np.frombuffer(b, "<i4"), np.frombuffer(c, "<u2")) for y, b, c in out]
 
 
 def train(bags: list, prior: float | None = None, dim: int = 4, steps: int = 400, rate: float = 0.1, gain: float = 50.0,
@@ -88,7 +88,7 @@ def train(bags: list, prior: float | None = None, dim: int = 4, steps: int = 400
     for _, b, _ in bags:
         seen[b] += 1
     kept = np.flatnonzero(seen >= least)
-    place = np.full(n_bucket, -1)
+    place = np.full(n_bucket, -1, np.int32)
     place[kept] = np.arange(len(kept))
     sets = []
     order = rng.permutation(len(bags))
@@ -97,10 +97,10 @@ def train(bags: list, prior: float | None = None, dim: int = 4, steps: int = 400
         own = order[lo:lo + batch]
         for k, i in enumerate(own):
             _, b, c = bags[i]
-            p, share = place[b], c * np.float32(gain / max(c.sum(), 1))
-            col.append(p[p >= 0]), val.append(share[p >= 0]), row.append(np.full((p >= 0).sum(), k))
+            p, share = place[b], c * np.float32(gain / max(c.sum(dtype=np.int64), 1))
+            col.append(p[p >= 0]), val.append(share[p >= 0]), row.append(np.full((p >= 0).sum(), k, np.int32))
         col, row, val = np.concatenate(col), np.concatenate(row), np.concatenate(val)
-        by = np.argsort(col, kind="stable")
+        by = np.argsort(col, kind="stable").astype(np.int32)
         edge = np.flatnonzero(np.append(True, col[by][1:] != col[by][:-1])) if len(col) else np.empty(0, np.int64)
         sets.append((col, row, val, by, edge, col[by][edge], y[own], len(own)))
     vec = rng.normal(0, 0.01, (len(kept), dim)).astype(np.float32)
