@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from faultline.llm import licenses, mixing
+from faultline.llm.embedding_dedup import near_embeddings
 from faultline.llm.fingerprints import compare_with_next
 from faultline.llm.near_dedup import near_duplicates
 from faultline.llm.packed_matrix import pack_matrix
@@ -51,6 +52,11 @@ def op8_fingerprints(spark, sf_dir):
     return compare_with_next(read_table(spark, sf_dir, "documents"))
 
 
+def op9_embedding_near_dedup(spark, sf_dir):
+    return near_embeddings(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_license_scan, op3_source_mixing, op4_token_counts,
-                                   op5_toxicity, op6_packing, op7_packed_matrix, op8_fingerprints)}
+                                   op5_toxicity, op6_packing, op7_packed_matrix, op8_fingerprints,
+                                   op9_embedding_near_dedup)}
 ORACLE: dict[str, str] = {"op2_license_scan": licenses.sql(), "op3_source_mixing": mixing.SQL}
