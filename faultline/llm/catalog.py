@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from faultline.llm import licenses, mixing
 from faultline.llm.embedding_dedup import near_embeddings
 from faultline.llm.fingerprints import compare_with_next
+from faultline.llm.html_text import extract_text
 from faultline.llm.near_dedup import near_duplicates
 from faultline.llm.packed_matrix import pack_matrix
 from faultline.llm.packing import pack_concat
@@ -56,7 +57,11 @@ def op9_embedding_near_dedup(spark, sf_dir):
     return near_embeddings(read_table(spark, sf_dir, "embeddings"))
 
 
+def op10_html_extraction(spark, sf_dir):
+    return extract_text(read_table(spark, sf_dir, "pages"))
+
+
 QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_license_scan, op3_source_mixing, op4_token_counts,
                                    op5_toxicity, op6_packing, op7_packed_matrix, op8_fingerprints,
-                                   op9_embedding_near_dedup)}
+                                   op9_embedding_near_dedup, op10_html_extraction)}
 ORACLE: dict[str, str] = {"op2_license_scan": licenses.sql(), "op3_source_mixing": mixing.SQL}
