@@ -149,17 +149,18 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
     """
     keep = [id_col] if keep is None else keep
     shared = docs.sparkSession.sparkContext.broadcast(model)      # 1 MB, whatever the input
-    inner = [f"c{i}" for i in range(len(keep))]
-    schema = T.StructType([T.StructField(n, docs.schema[c].dataType) for n, c in zip(inner, keep, strict=True)]
+    read = keep if text_col in keep else [*keep, text_col]
+    at, inner = read.index(text_col), [f"c{i}" for i in range(len(read))]
+    schema = T.StructType([T.StructField(n, docs.schema[c].dataType) for n, c in zip(inner, keep, strict=False)]
                           + [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def score(batches):
         import pyarrow as pa
         m = shared.value
         for b in batches:
-            s = m.score([t or "" for t in b.column(len(keep)).to_pylist()])
+            s = m.score([t or "" for t in b.column(at).to_pylist()])
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[:-1], pa.array(s), pa.array((s >= m.threshold).astype(np.int32))], names=schema.names)
+                [*b.columns[:len(keep)], pa.array(s), pa.array((s >= m.threshold).astype(np.int32))], names=schema.names)
 
-    out = docs.select(*[F.col(c).alias(n) for n, c in zip(inner, keep, strict=True)], F.col(text_col).alias("t")).mapInArrow(score, schema)
-    return out.withColumnsRenamed(dict(zip(inner, keep, strict=True)))
+    out = docs.select(*[F.col(f"`{c}`").alias(n) for n, c in zip(inner, read, strict=True)]).mapInArrow(score, schema)
+    return out.select(*[F.col(n).alias(c) for n, c in zip(inner, keep, strict=False)], "score", "predicted")
