@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 __all__ = [
-    "col_of", "isin_ns", "np_round", "safe_ratio", "month_week", "weekend",
+    "col_of", "isin_ns", "np_round", "month_week", "weekend",
     "row_sum", "row_mean", "row_max", "abbreviate", "ratio_label", "label_at",
     "strata_to_target", "probit", "hash_order", "hash_fraction", "stamp",
     "nan_to_null", "INF", "lit_array",
@@ -50,11 +50,6 @@ def np_round(c, digits: int = 2) -> Column:
     return F.rint(col_of(c) * F.lit(scale)) / F.lit(scale)
 
 
-def safe_ratio(num, den) -> Column:
-    """``num / den``; NULL when ``den`` is 0 or NULL (never raises under ANSI)."""
-    return F.try_divide(col_of(num), col_of(den))
-
-
 def month_week(day) -> Column:
     """Week of month as floor(D / 8) + 1 (1-7 -> 1, 8-15 -> 2, 16-23 -> 3, 24-31 -> 4)."""
     return (F.floor(col_of(day) / F.lit(8)) + F.lit(1)).cast("int")
@@ -179,10 +174,10 @@ def probit(name: str) -> Column:
 
 
 def hash_order(seed, *cols) -> Column:
-    """Seeded random order key: hex md5 of ``seed:c1:c2..`` (same text in DuckDB)."""
+    """Seeded random order key: hex md5 of ``seed:c1:c2..`` (same text in DuckDB); a NULL part counts as ``\\N``."""
     parts = [F.lit(str(seed))]
     for c in cols:
-        parts += [F.lit(":"), col_of(c).cast("string")]
+        parts += [F.lit(":"), F.coalesce(col_of(c).cast("string"), F.lit("\\N"))]
     return F.md5(F.concat(*parts))
 
 

@@ -89,17 +89,6 @@ def duplicate_columns(df: DataFrame, cols) -> list[str]:
     return dup
 
 
-def fill_zero(df: DataFrame, cols) -> DataFrame:
-    """NULL -> 0."""
-    return df.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in cols})
-
-
-def inf_to_zero(c) -> Column:
-    """+-inf -> 0."""
-    col = F.col(c) if isinstance(c, str) else c
-    return F.when(col.isin(float("inf"), float("-inf")), F.lit(0.0)).otherwise(col)
-
-
 def rows_for_keys(df: DataFrame, keys: DataFrame, key_cols) -> DataFrame:
     """Rows of ``df`` whose key appears in ``keys`` (a semi join, no duplication)."""
     return df.join(keys.select(*key_cols), list(key_cols), "left_semi")

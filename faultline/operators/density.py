@@ -3,8 +3,8 @@
 Bandwidth follows Scott's rule (sample std x n^-1/5); the grid spans
 [min - 3h, max + 3h] in ``points`` steps.  Rows are first collapsed to
 ``(metric, class, value, count)``; each distinct value then adds its weight to
-the grid points within ``tail`` bandwidths (the Gaussian beyond 8 sigma is
-below 1e-14 of its peak), so the work per value is bounded by ``points``.
+the grid points, to all of them unless the caller gives a ``tail`` in
+bandwidths, so the work per value is bounded by ``points``.
 ``bins`` optionally rounds values to a fixed number of bins per metric first,
 bounding the work by ``bins x points`` regardless of the data size.
 """
@@ -20,11 +20,10 @@ from faultline.operators.clean import exclude_values
 
 GRID_POINTS = 200
 CUT = 3.0
-TAIL = 8.0
 
 
 def density_grid(df: DataFrame, cols, y: str | None = None, remove=(None,),
-                 points: int = GRID_POINTS, bins: int | None = None) -> DataFrame:
+                 points: int = GRID_POINTS, bins: int | None = None, tail: float | None = None) -> DataFrame:
     """``(m, y, k, x, density)`` for k in 0..points-1."""
     ycol = y or "total"
     base = df if y else df.withColumn("total", F.lit("total"))
@@ -48,8 +47,10 @@ def density_grid(df: DataFrame, cols, y: str | None = None, remove=(None,),
                 .groupBy("m", ycol, "v").agg(F.sum("w").alias("w")))
     # metrics x classes rows: bounded, broadcast.
     j = vals.join(F.broadcast(st), ["m", ycol])
-    k0 = F.greatest(F.lit(0), F.ceil((F.col("v") - TAIL * F.col("h") - F.col("lo")) / F.col("step")))
-    k1 = F.least(F.lit(points - 1), F.floor((F.col("v") + TAIL * F.col("h") - F.col("lo")) / F.col("step")))
+    k0, k1 = F.lit(0), F.lit(points - 1)
+    if tail is not None:
+        k0 = F.greatest(k0, F.ceil((F.col("v") - tail * F.col("h") - F.col("lo")) / F.col("step")))
+        k1 = F.least(k1, F.floor((F.col("v") + tail * F.col("h") - F.col("lo")) / F.col("step")))
     contrib = (j.withColumn("k", F.explode(F.sequence(k0.cast("int"), k1.cast("int"))))
                .withColumn("g", F.col("lo") + F.col("k") * F.col("step"))
                .withColumn("z", (F.col("g") - F.col("v")) / F.col("h"))

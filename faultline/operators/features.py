@@ -16,6 +16,7 @@ from faultline.operators.clean import drop_duplicate_columns, present
 from faultline.operators.rank import min_rank
 from faultline.schema import (CHANGE_DROP, DEVICE_LEVELS, METRIC_COLS, RANK_DROP, TARGET_COL,
                               ZERO_DENSE_COLS, PanelSchema)
+from faultline.session import cut_lineage
 
 
 def device_window(df: DataFrame, schema: PanelSchema) -> Window:
@@ -85,9 +86,15 @@ def elapsed_days(df: DataFrame, schema: PanelSchema, fill: str = "device",
     if fill != "global":
         raise ValueError(f"unknown fill {fill!r}")
     per_device = out.groupBy("device").agg(F.first(name, ignorenulls=True).alias("__own"))
-    # One row per device; the only unpartitioned window, over the device table.
-    nxt = Window.orderBy("device").rowsBetween(1, Window.unboundedFollowing)
-    carried = per_device.withColumn("__next", F.first("__own", ignorenulls=True).over(nxt))
+    # Ranges of devices are filled each on their own; what is open at a range's end
+    # takes the first gap of a later range (one row per range, a bounded table).
+    ranges = cut_lineage(per_device.repartitionByRange("device").withColumn("__r", F.spark_partition_id()))
+    nxt = Window.partitionBy("__r").orderBy("device").rowsBetween(1, Window.unboundedFollowing)
+    later = Window.orderBy("__r").rowsBetween(1, Window.unboundedFollowing)
+    firsts = (ranges.groupBy("__r").agg(F.min_by("__own", F.when(F.col("__own").isNotNull(), F.col("device"))).alias("__f"))
+              .select("__r", F.first("__f", ignorenulls=True).over(later).alias("__after")))
+    carried = (ranges.withColumn("__in", F.first("__own", ignorenulls=True).over(nxt)).join(F.broadcast(firsts), "__r")
+               .withColumn("__next", F.coalesce("__in", "__after")))
     fill_tab = carried.where(F.col("__own").isNull()).select("device", "__next")
     return (out.join(fill_tab, "device", "left")
             .withColumn(name, F.coalesce(F.col(name), F.col("__next")))
@@ -136,12 +143,10 @@ def switch_metrics(df: DataFrame, schema: PanelSchema) -> tuple[DataFrame, Panel
     return df.withColumns(sw), schema
 
 
-def rank_metrics(df: DataFrame, schema: PanelSchema, drop=RANK_DROP,
-                 buckets: int | None = None) -> tuple[DataFrame, PanelSchema]:
+def rank_metrics(df: DataFrame, schema: PanelSchema, drop=RANK_DROP) -> tuple[DataFrame, PanelSchema]:
     """sr* = standardised min-rank per metric, srav = row mean, srmx = row max."""
     nums = list(schema.num_cols)
-    kw = {"buckets": buckets} if buckets else {}
-    out = min_rank(df, nums, **kw)
+    out = min_rank(df, nums)
     srs = [m.replace("m", "sr", 1) for m in nums]
     out = out.withColumns({"srav": row_mean(srs)})
     out = out.withColumn("srmx", row_max(srs + ["srav"]))

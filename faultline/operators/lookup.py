@@ -37,7 +37,7 @@ def skew_safe_lookup(df: DataFrame, col: str, table: DataFrame, key: str, out_co
     x = df.join(F.broadcast(hot), F.col(col) == F.col("__k"), "left").drop("__k")
     hot_hit = F.col(f"__h_{out_cols[0]}").isNotNull()
     salt = (F.pmod(F.xxhash64(*salt_from), F.lit(salts)) + 1).cast("int")
-    x = x.withColumn("__ck", F.struct(F.col(col).alias("v"), F.when(hot_hit, salt).otherwise(F.lit(0)).alias("s")))
+    x = x.withColumn("__ck", F.struct(F.col(col).alias("v"), F.when(hot_hit | F.col(col).isNull(), salt).otherwise(F.lit(0)).alias("s")))
     x = x.join(cold, "__ck", "left").drop("__ck")
     return x.select(*[c for c in df.columns],
                     *[F.coalesce(F.col(f"__h_{c}"), F.col(f"__c_{c}")).alias(c) for c in out_cols])
@@ -67,7 +67,7 @@ def skew_safe_lookups_sql(df: DataFrame, table: DataFrame, specs: list[tuple[str
                      f"WHERE metric = '{metric}' AND v IS NOT NULL AND {hot}) h{i} ON s.`{col}` = h{i}.k")
         joins.append(f"LEFT JOIN (SELECT named_struct('v', v, 's', 0) AS ck, {value_expr} AS x FROM {tab} "
                      f"WHERE metric = '{metric}' AND v IS NOT NULL AND NOT ({hot})) c{i} "
-                     f"ON named_struct('v', s.`{col}`, 's', CASE WHEN h{i}.k IS NOT NULL THEN {salt} ELSE 0 END) = c{i}.ck")
+                     f"ON named_struct('v', s.`{col}`, 's', CASE WHEN h{i}.k IS NOT NULL OR s.`{col}` IS NULL THEN {salt} ELSE 0 END) = c{i}.ck")
         sel.append(f"coalesce(h{i}.x, c{i}.x) AS `{out}`")
     text = (f"SELECT /*+ BROADCAST({', '.join(hints)}) */ {', '.join(sel)} FROM {src} s " + " ".join(joins))
     try:

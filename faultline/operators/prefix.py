@@ -1,11 +1,11 @@
 """Ordered running sums without a single-task window.
 
 ``running_sums`` adds, for each row of a table keyed by an order column, the
-sums of some count columns over all rows *before* it in that order.  A window
-``ORDER BY`` without ``PARTITION BY`` would sort the whole table in one task;
-instead the order range is cut into buckets by ``percentile_approx`` (one
-aggregate), bucket totals are prefix-summed (a table of ``buckets`` rows), and
-each bucket is prefix-summed in its own window partition.
+sums of some count columns over all rows *before* it in that order (within its
+group).  A window ``ORDER BY`` over everything would sort the table in one task;
+instead Spark deals the rows into ranges of the order, as many as the table
+needs, each range is summed in its own window, and the totals of a group's
+earlier ranges (one row per group and range) are added.
 """
 
 from __future__ import annotations
@@ -13,32 +13,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 64
-
-from faultline.operators.rank import count_below  # noqa: E402
+from faultline.session import cut_lineage
 
 
 def running_sums(df: DataFrame, order: str, cols: list[str], descending: bool = False,
-                 buckets: int = DEFAULT_BUCKETS, prefix: str = "before_") -> DataFrame:
-    """Add ``before_<c>`` = sum of ``c`` over rows strictly earlier in ``order``.
+                 by: list[str] | None = None, prefix: str = "before_") -> DataFrame:
+    """Add ``before_<c>`` = sum of ``c`` over rows strictly earlier in ``order`` (within ``by``).
 
-    ``order`` must be unique per row (aggregate to one row per order value first).
+    ``order`` must be unique per row and group (aggregate to one row per order
+    value first).  It is compared in its own type.  The ranges are written
+    before they are used, so that all sums see the same ones.
     """
-    key = F.col(order) if not descending else -F.col(order)
-    x = df.withColumn("__o", key.cast("double"))
-    fracs = [i / buckets for i in range(1, buckets)]
-    # ``buckets - 1`` numbers come back to the driver and return as a literal.
-    bvals = x.agg(F.percentile_approx("__o", fracs, 10000).alias("b")).first()["b"] or []
-    bvals = sorted(set(bvals))
-    if bvals:
-        x = x.withColumn("__bounds", F.expr("array(" + ", ".join(f"{float(v)!r}D" for v in bvals) + ")"))
-        x = x.withColumn("__bk", F.expr(count_below("__bounds", "__o", 1, len(bvals)))).drop("__bounds")
-    else:
-        x = x.withColumn("__bk", F.lit(0))
-    per = x.groupBy("__bk").agg(*[F.sum(c).alias(f"__t_{c}") for c in cols])
-    wb = Window.orderBy("__bk").rowsBetween(Window.unboundedPreceding, -1)   # buckets rows only
-    per = per.select("__bk", *[F.coalesce(F.sum(f"__t_{c}").over(wb), F.lit(0)).alias(f"__o_{c}") for c in cols])
-    wi = Window.partitionBy("__bk").orderBy("__o").rowsBetween(Window.unboundedPreceding, -1)
-    inner = x.select("*", *[F.coalesce(F.sum(c).over(wi), F.lit(0)).alias(f"__i_{c}") for c in cols])
-    out = inner.join(F.broadcast(per), "__bk")
+    by = list(by or [])
+    key = F.col(order).desc() if descending else F.col(order).asc()
+    x = cut_lineage(df.repartitionByRange(*[F.col(c) for c in by], key).withColumn("__r", F.spark_partition_id()))
+    earlier = Window.partitionBy(*by).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    base = x.groupBy(*by, "__r").agg(*[F.sum(c).alias(f"__t_{c}") for c in cols]).select(
+        *by, "__r", *[F.coalesce(F.sum(f"__t_{c}").over(earlier), F.lit(0)).alias(f"__o_{c}") for c in cols])
+    inside = Window.partitionBy(*by, "__r").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    inner = x.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"__i_{c}") for c in cols])
+    # A row per group and range; groups are a few columns or none, ranges are shuffle partitions.
+    out = inner.join(F.broadcast(base), [*by, "__r"])
     return out.select(*df.columns, *[(F.col(f"__o_{c}") + F.col(f"__i_{c}")).alias(f"{prefix}{c}") for c in cols])

@@ -5,12 +5,9 @@ value.  The plan:
 
 1. unpivot the metrics and count rows per ``(metric, value)`` (map-side
    partial aggregation: a value held by a third of all rows becomes one row);
-2. cut each metric's distinct values into ``buckets`` ranges with
-   ``percentile_approx`` boundaries (one aggregate, a few hundred numbers);
-3. prefix-sum the per-bucket totals (``metrics x buckets`` rows) and, inside
-   each ``(metric, bucket)``, the per-value counts (a window partitioned by the
-   bucket, so no task sorts more than ~1/buckets of a metric's values);
-4. look the offsets up per metric with skew-safe joins (``lookup``).
+2. running sums of the counts by value (``prefix``): ranges of (metric, value),
+   as many as the counts need, each summed in its own window;
+3. look the offsets up per metric with skew-safe joins (``lookup``).
 """
 
 from __future__ import annotations
@@ -19,62 +16,32 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.operators.lookup import skew_safe_lookups_sql
+from faultline.operators.prefix import running_sums
 from faultline.session import cut_lineage
 
-DEFAULT_BUCKETS = 64
-
 
 def _long_values(df: DataFrame, cols) -> DataFrame:
-    types = {df.schema[c].dataType.simpleString() for c in cols}
-    cast = None if len(types) == 1 else "double"
+    """Unpivoted values; columns of different whole-number types meet as bigint, others as double."""
+    types = {df.schema[c].dataType.typeName() for c in cols}
+    cast = None if len(types) == 1 else "bigint" if types <= {"byte", "short", "integer", "long"} else "double"
     sel = [F.col(c).cast(cast).alias(c) if cast else F.col(c) for c in cols]
     return df.select(*sel).unpivot([], list(cols), "metric", "v")
 
 
-def count_below(arr: str, v: str, lo: int, hi: int) -> str:
-    """SQL text: number of sorted ``arr`` elements (1-based ``lo..hi``) below ``v``,
-    by binary search (log2 comparisons, codegen-friendly)."""
-    def rec(a: int, b: int) -> str:        # the answer lies in [a - 1, b] as a count
-        if a > b:
-            return str(b)
-        m = (a + b) // 2
-        return (f"CASE WHEN element_at({arr}, {m}) < {v} THEN {rec(m + 1, b)} "
-                f"ELSE {rec(a, m - 1)} END")
-    return rec(lo, hi)
-
-
-def rank_table(df: DataFrame, cols, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+def rank_table(df: DataFrame, cols) -> DataFrame:
     """``(metric, v, cnt, below, n)``: rows per value, rows with a smaller value, rows in all.
 
     NULL values get one row with ``below`` NULL.  ``n`` counts all rows of ``df``.
     """
-    cnt = _long_values(df, cols).groupBy("metric", "v").agg(F.count(F.lit(1)).alias("cnt"))
-    fracs = [i / buckets for i in range(1, buckets)]
-    null_bucket = F.lit(len(fracs) + 1)            # after every value bucket
-    if fracs:
-        bounds = (cnt.where(F.col("v").isNotNull()).groupBy("metric")
-                  .agg(F.percentile_approx("v", fracs, 10000).alias("bounds")))
-        keyed = cnt.join(F.broadcast(bounds), "metric", "left").withColumn(
-            "bucket", F.when(F.col("v").isNull(), null_bucket)
-                       .otherwise(F.expr(count_below("bounds", "v", 1, len(fracs))))).drop("bounds")
-    else:
-        keyed = cnt.withColumn("bucket", F.when(F.col("v").isNull(), null_bucket).otherwise(F.lit(0)))
-    # metrics x buckets rows: bucket offsets and the metric's row total in one window pass.
-    per_bucket = keyed.groupBy("metric", "bucket").agg(F.sum("cnt").alias("bcnt"))
-    wb = Window.partitionBy("metric").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    per_bucket = per_bucket.select(
-        "metric", "bucket", F.coalesce(F.sum("bcnt").over(wb), F.lit(0)).alias("boff"),
-        F.sum("bcnt").over(Window.partitionBy("metric")).alias("n"))
-    wv = (Window.partitionBy("metric", "bucket").orderBy("v")
-          .rowsBetween(Window.unboundedPreceding, -1))
-    return (keyed.withColumn("inb", F.coalesce(F.sum("cnt").over(wv), F.lit(0)))
-            .join(F.broadcast(per_bucket), ["metric", "bucket"])
-            .select("metric", "v", "cnt",
-                    F.when(F.col("v").isNotNull(), F.col("boff") + F.col("inb")).alias("below"), "n"))
+    cnt = cut_lineage(_long_values(df, cols).groupBy("metric", "v").agg(F.count(F.lit(1)).alias("cnt")))
+    total = cnt.groupBy("metric").agg(F.sum("cnt").alias("n"))       # one row per metric
+    ranked = running_sums(cnt.where(F.col("v").isNotNull()), "v", ["cnt"], by=["metric"]).withColumnRenamed("before_cnt", "below")
+    missing = cnt.where(F.col("v").isNull()).withColumn("below", F.lit(None).cast("long"))
+    return ranked.unionByName(missing).join(F.broadcast(total), "metric").select("metric", "v", "cnt", "below", "n")
 
 
 def min_rank(df: DataFrame, cols, prefix_from: str = "m", prefix_to: str = "sr",
-             buckets: int = DEFAULT_BUCKETS, table: DataFrame | None = None) -> DataFrame:
+             table: DataFrame | None = None) -> DataFrame:
     """Add ``sr*`` = (min-rank - 1) / N for each column of ``cols``.
 
     The rank table (one row per distinct value) is materialised once with a
@@ -83,46 +50,35 @@ def min_rank(df: DataFrame, cols, prefix_from: str = "m", prefix_to: str = "sr",
     number) by broadcast, the rest by a salted join that Spark may broadcast
     at run time when small.
     """
-    table = cut_lineage(table if table is not None else rank_table(df, cols, buckets))
+    table = cut_lineage(table if table is not None else rank_table(df, cols))
     salt_from = [c for c in df.columns][:4]
     specs = [(c, c, "below / n", c.replace(prefix_from, prefix_to, 1)) for c in cols]
     return skew_safe_lookups_sql(df, table, specs, salt_from)
 
 
-MAX_LOOKUP_VALUES = 1_000_000
-
-
 def apply_rank(df: DataFrame, table: DataFrame, c: str, name: str) -> DataFrame:
     """Rank new rows against a stored rank table (the fitted rows), F7 fit/apply.
 
     ``name`` = (fitted rows with a value strictly below v) / fitted N: an exact
     hit uses its ``below``; an unseen value uses the largest fitted value below
-    it (``below + cnt``).  The fitted distinct values become ``Bucketizer``
-    splits (a binary search per row) after a size check.
+    it (``below + cnt``).  The distinct asked and fitted values are laid out in
+    ranges, each range carries the last fitted value on, and one that begins
+    without takes the last one of an earlier range.
     """
-    import math
-    from pyspark.ml.feature import Bucketizer
-    t = table.where((F.col("metric") == c) & F.col("v").isNotNull()).select("v", "cnt", "below", "n")
-    rows = t.orderBy("v").limit(MAX_LOOKUP_VALUES + 1).collect()
-    if len(rows) > MAX_LOOKUP_VALUES:
-        raise ValueError(f"{c}: too many fitted values for an in-row lookup")
-    if not rows:
+    fit = F.struct("v", "cnt", "below", "n").alias("fit")
+    fitted = table.where((F.col("metric") == c) & F.col("v").isNotNull()).select("v", fit)
+    if fitted.isEmpty():
         return df.withColumn(name, F.lit(None).cast("double"))
-    n = float(rows[0]["n"])
-    vals = [float(r["v"]) for r in rows]
-    at = [r["below"] / n for r in rows]                       # v equal to a fitted value
-    after = [(r["below"] + r["cnt"]) / n for r in rows]       # v above it, below the next
-    splits = [-math.inf] + vals + [math.inf]
-    tmp, b = f"__x_{name}", f"__b_{name}"
-    x = df.withColumn(tmp, F.coalesce(F.col(c).cast("double"), F.lit(0.0)))
-    x = Bucketizer(splits=splits, inputCol=tmp, outputCol=b).transform(x)
-    k = F.col(b).cast("int")                                  # v in [vals[k-1], vals[k])
-    at_a = F.expr("array(" + ", ".join(f"{v!r}D" for v in at) + ")")
-    after_a = F.expr("array(" + ", ".join(f"{v!r}D" for v in after) + ")")
-    vals_a = F.expr("array(" + ", ".join(f"{v!r}D" for v in vals) + ")")
-    hit = F.element_at(vals_a, F.greatest(k, F.lit(1))) == F.col(c).cast("double")
-    val = (F.when(F.col(c).isNull(), F.lit(None).cast("double"))
-           .when(k == 0, F.lit(0.0))
-           .when(hit, F.element_at(at_a, k))
-           .otherwise(F.element_at(after_a, k)))
-    return x.withColumn(name, val).drop(tmp, b)
+    asked = df.where(F.col(c).isNotNull()).select(F.col(c).alias("v")).distinct()
+    both = fitted.unionByName(asked, allowMissingColumns=True).groupBy("v").agg(F.max("fit").alias("fit"))
+    x = cut_lineage(both.repartitionByRange("v").withColumn("__r", F.spark_partition_id()))
+    upto = Window.partitionBy("__r").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)          # one row per range
+    carry = (x.groupBy("__r").agg(F.max("fit").alias("f"))
+             .select("__r", F.last("f", ignorenulls=True).over(earlier).alias("carry")))
+    at = F.coalesce(F.last("fit", ignorenulls=True).over(upto), F.col("carry"))
+    rank = (F.when(F.col("at").isNull(), F.lit(0.0))
+            .when(F.col("at.v") == F.col("v"), F.col("at.below") / F.col("at.n"))
+            .otherwise((F.col("at.below") + F.col("at.cnt")) / F.col("at.n")))
+    ranks = x.join(F.broadcast(carry), "__r").withColumn("at", at).select(F.col("v").alias("__v"), rank.alias(name))
+    return df.join(ranks, F.col(c) == F.col("__v"), "left").drop("__v")

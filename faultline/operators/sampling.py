@@ -33,7 +33,7 @@ def undersample_counts(df: DataFrame, strt: str, strata_p: dict, cv: bool = Fals
 
     The smallest stratum anchors: ``n_s = int(min(p_s * n_min / p_min, n_s))``
     (float product, then division, then truncation); ``cv`` keeps 80 %.
-    A stratum absent from ``strata_p`` gets NULL.
+    A stratum that is present but absent from ``strata_p`` fails the query.
     """
     pmap = F.create_map(*[x for k, v in strata_p.items() for x in (F.lit(int(k)), F.lit(float(v)))])
     counts = df.where(F.col(strt).isNotNull()).groupBy(strt).agg(F.count(F.lit(1)).alias("n_rows"))
@@ -41,7 +41,12 @@ def undersample_counts(df: DataFrame, strt: str, strata_p: dict, cv: bool = Fals
     key = F.struct(F.col("n_rows"), F.col(strt))
     j = counts.withColumn("__a", F.min(key).over(Window.partitionBy())).select(
         "*", F.col("__a.n_rows").alias("n_min"), F.col(f"__a.{strt}").alias("s_min"))
-    p, p_min = pmap[F.col(strt)], pmap[F.col("s_min")]
+    def share(s):
+        p = F.try_element_at(pmap, s.cast("int"))
+        return F.when(p.isNotNull(), p).otherwise(
+            F.raise_error(F.concat(F.lit("no proportion is given for stratum "), s.cast("string"))).cast("double"))
+
+    p, p_min = share(F.col(strt)), share(F.col("s_min"))
     n = F.floor(F.least(p * F.col("n_min") / p_min, F.col("n_rows").cast("double")))
     if cv:
         n = F.floor(n * F.lit(0.8))
@@ -58,24 +63,29 @@ def ratio_counts(df: DataFrame, y: str, p: float) -> DataFrame:
     return counts.select(y, "n_rows", F.least(n, F.col("n_rows")).cast("long").alias("n"))
 
 
-def take_smallest(df: DataFrame, groups: list[str], order: Column, quota: DataFrame,
+def take_smallest(df: DataFrame, groups: list[str], order: Column, quota: DataFrame | int,
                   ties: list[str] | None = None) -> DataFrame:
     """Exactly ``quota.n`` rows per group with the smallest hex ``order`` key.
 
     ``quota`` has one row per group (its size is the number of groups, chosen by
-    the caller), so it is broadcast.  Groups with n >= rows keep every row.
+    the caller), so it is broadcast; a number is the same quota for all groups
+    of the data, however many.  Groups with n >= rows keep every row.
     """
     ties = ties or []
     x = df.withColumn("__h", order).withColumn(
         "__b", F.conv(F.substring("__h", 1, PREFIX_DIGITS), 16, 10).cast("long"))
     hist = x.groupBy(*groups, "__b").agg(F.count(F.lit(1)).alias("__c"))
     w = Window.partitionBy(*groups).orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
-    h2 = hist.join(F.broadcast(quota), groups).withColumn("__cum", F.sum("__c").over(w))
+    if isinstance(quota, int):
+        quota, small = hist.select(*groups).distinct().withColumn("n", F.lit(quota).cast("long")), lambda t: t
+    else:
+        small = F.broadcast
+    h2 = hist.join(small(quota), groups).withColumn("__cum", F.sum("__c").over(w))
     cut = h2.where((F.col("__cum") - F.col("__c") < F.col("n")) & (F.col("__cum") >= F.col("n"))) \
             .select(*groups, F.col("__b").alias("__cut"),
                     (F.col("n") - (F.col("__cum") - F.col("__c"))).alias("__need"))
     plan = quota.join(cut, groups, "left")            # one row per group
-    j = x.join(F.broadcast(plan), groups)
+    j = x.join(small(plan), groups)
     take_all = F.col("__cut").isNull() & (F.col("n") > 0)
     sure = j.where(take_all | (F.col("__b") < F.col("__cut")))
     we = Window.partitionBy(*groups).orderBy("__h", *ties)
@@ -155,10 +165,7 @@ def bag_membership(df: DataFrame, strt: str, counts: DataFrame, bags: int, seed:
     x = df.withColumn(strt, F.col(strt).cast("int"))
 
     def bag_hash(b):
-        parts = [F.lit(f"{seed}:"), b.cast("string")]
-        for c in key_cols:
-            parts += [F.lit(":"), F.col(c).cast("string")]
-        return F.md5(F.concat(*parts))
+        return hash_order(seed, b, *key_cols)
 
     keep = F.filter(F.sequence(F.lit(0), F.lit(bags - 1)),
                     lambda b: hash_fraction(bag_hash(b)) < qmap[F.col(strt)])
@@ -182,26 +189,18 @@ def rug_sample(df: DataFrame, cols: list[str], y: str, n: int, seed: int, key_co
     """At most ``n`` seeded rows per (metric, class), long ``(m, y, keys.., x)``.
 
     Groups smaller than ``n`` keep every row (the study samples only when the
-    group is larger).  The per-group quota table has metrics x classes rows.
+    group is larger).
     """
     long = (df.select(*key_cols, y, *[F.col(c).cast("double").alias(c) for c in cols])
             .unpivot([*key_cols, y], list(cols), "m", "x").where(F.col(y).isNotNull()))
-    classes = [r[0] for r in df.select(y).where(F.col(y).isNotNull()).distinct().limit(1001).collect()]
-    if len(classes) > 1000:
-        raise ValueError("too many classes for a per-class sample")
-    spark = df.sparkSession
-    ytype = df.schema[y].dataType.simpleString()
-    quota = spark.createDataFrame([(c, v, int(n)) for c in cols for v in classes], f"m string, {y} {ytype}, n long")
-    return take_smallest(long, ["m", y], hash_order(seed, F.col("m"), *key_cols), quota, ties=list(key_cols))
-
-
-# Poisson(1) cumulative probabilities P(K <= k) = e^-1 * sum_{i<=k} 1/i!, from the formula.
-def _poisson1_cdf(kmax: int = 12) -> list:
-    acc, term, out = 0.0, 1.0, []
-    for i in range(kmax + 1):
-        if i:
-            term /= i
-        acc += term
+    return take_smallest(long, ["m", y], hash_order(seed, F.col("m"), *key_cols), int(n), ties=list(key_cols))
+
+
+def _poisson1_cdf() -> list:
+    """P(K <= k) = e^-1 * sum_{i<=k} 1/i! for k = 0, 1, ... as far as a double differs from 1."""
+    acc, out = 0.0, []
+    while not out or out[-1] < 1.0 and len(out) < 18:
+        acc += 1.0 / math.factorial(len(out))
         out.append(acc * math.exp(-1.0))
     return out
 
@@ -215,12 +214,9 @@ def bootstrap_weights(df: DataFrame, bags: int, seed: int, key_cols: list[str])
     cdf = _poisson1_cdf()
     def count_of(u):
         k = F.lit(0)
-        for c in cdf[:-1]:
+        for c in cdf:
             k = k + (u > F.lit(c)).cast("int")
         return k
     x = df.withColumn("bag", F.explode(F.sequence(F.lit(0), F.lit(bags - 1))))
-    parts = [F.lit(f"boot{seed}:"), F.col("bag").cast("string")]
-    for c in key_cols:
-        parts += [F.lit(":"), F.col(c).cast("string")]
-    u = hash_fraction(F.md5(F.concat(*parts)))
+    u = hash_fraction(hash_order(f"boot{seed}", "bag", *key_cols))
     return x.withColumn("weight", count_of(u)).where(F.col("weight") > 0)

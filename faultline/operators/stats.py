@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 from faultline.functions import isin_ns, np_round
 from faultline.operators.clean import exclude_values
 
-MAX_CLASSES = 1000
-
 
 def value_share(df: DataFrame, col: str, name_cnt: str = "cnt", name_pct: str = "pct") -> DataFrame:
     """A1: rows per value (NULL dropped) and the value's share of rows, by count desc.
@@ -87,23 +85,20 @@ def category_counts(df: DataFrame, y: str | None, cols, proportion: bool = True)
         [ycol], list(cols), "col", "value")
     counts = long.groupBy("col", "value", ycol).agg(F.count(F.lit(1)).alias("cnt"))
     classes = base.groupBy(ycol).agg(F.count(F.lit(1)).alias("ycnt"))   # one row per class
-    # Class labels are few (checked): pivoting on them completes the (value x class) grid.
-    labels = [r[0] for r in classes.select(ycol).orderBy(ycol).limit(MAX_CLASSES + 1).collect()]
-    if len(labels) > MAX_CLASSES:
-        raise ValueError(f"{ycol} has more than {MAX_CLASSES} classes")
-    out = counts.groupBy("col", "value").pivot(ycol, labels).agg(F.first("cnt"))
-    ylabels = [c for c in out.columns if c not in ("col", "value")]
-    out = out.na.fill(0, subset=ylabels).unpivot(["col", "value"], ylabels, ycol, "cnt")
-    out = out.withColumn(ycol, F.col(ycol).cast(base.schema[ycol].dataType))
+    # The (value x class) grid of each column: an equi-join of two small grouped tables.
+    by_col = classes.withColumn("col", F.explode(F.array(*[F.lit(c) for c in cols])))
+    grid = counts.select("col", "value").distinct().join(by_col, "col")
+    same = (F.col("g.col") == F.col("c.col")) & F.col("g.value").eqNullSafe(F.col("c.value")) & (F.col(f"g.{ycol}") == F.col(f"c.{ycol}"))
+    out = (grid.alias("g").join(counts.alias("c"), same, "left")
+           .select("g.col", "g.value", f"g.{ycol}", F.coalesce("c.cnt", F.lit(0)).cast("long").alias("cnt"), "g.ycnt"))
     if not proportion:
-        return out
-    return (out.join(F.broadcast(classes), ycol)
-            .withColumn("pct", F.col("cnt") / F.col("ycnt")).drop("ycnt", "cnt"))
+        return out.drop("ycnt")
+    return out.withColumn("pct", F.col("cnt") / F.col("ycnt")).drop("ycnt", "cnt")
 
 
 def distinct_values(df: DataFrame, col: str) -> DataFrame:
-    """Distinct values, sorted."""
-    return df.select(col).distinct().orderBy(col)
+    """Distinct values (sort the result where its order matters)."""
+    return df.select(col).distinct()
 
 
 def dist_summary(df: DataFrame, cols, y: str | None = None, remove=(None,)) -> DataFrame:
@@ -133,6 +128,6 @@ def arg_best(df: DataFrame, score: str, key: str, largest: bool = True) -> DataF
     return ok.agg(F.max_by(F.col(key), order).alias(key), F.max_by(s, order).alias(score))
 
 
-def shape(df: DataFrame) -> tuple[int, int]:
-    """(rows, columns)."""
-    return df.count(), len(df.columns)
+def shape(df: DataFrame) -> DataFrame:
+    """One row (rows, columns)."""
+    return df.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_cols", F.lit(len(df.columns)).cast("long"))

@@ -13,28 +13,22 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.functions import lit_array
 from faultline.functions.columns import probit_text
+from faultline.operators.rank import rank_table
+from faultline.session import cut_lineage
 
 N_QUANTILES = 500
 BOUNDS = 1e-7
 # Normal-output clip bounds, ppf(1e-7 - eps) and ppf(1 - (1e-7 - eps)).
 CLIP_MIN = -5.199337582605575
 CLIP_MAX = 5.19933758270342
-EXACT_QUANTILE_MAX_DISTINCT = 5_000_000
 
 
 # ---- F9, F10 -------------------------------------------------------------------
 
-def fit_scalers(df: DataFrame, minmax=(), normal=(), extra=()) -> dict:
-    """One aggregate for every scaled column: min/max, mean/population std.
-
-    ``extra`` columns get (approximate distinct, non-null count) in the same
-    pass, returned under the key ``"__stats"`` (the quantile fit uses them).
-    """
+def fit_scalers(df: DataFrame, minmax=(), normal=()) -> dict:
+    """One aggregate for every scaled column: min/max, mean/population std."""
     aggs = []
-    for c in extra:
-        aggs += [F.approx_count_distinct(c).alias(f"d|{c}"), F.count(c).alias(f"n|{c}")]
     for c in minmax:
         aggs += [F.min(F.col(c).cast("double")).alias(f"min|{c}"), F.max(F.col(c).cast("double")).alias(f"max|{c}")]
     for c in normal:
@@ -48,8 +42,6 @@ def fit_scalers(df: DataFrame, minmax=(), normal=(), extra=()) -> dict:
         params[c] = ("mnmx", row[f"min|{c}"], row[f"max|{c}"])
     for c in normal:
         params[c] = ("nrm", row[f"mean|{c}"], row[f"std|{c}"])
-    if extra:
-        params["__stats"] = {c: (row[f"d|{c}"], row[f"n|{c}"]) for c in extra}
     return params
 
 
@@ -67,30 +59,43 @@ def standard_expr(c: str, mean: float, std: float) -> Column:
 
 # ---- F11 -------------------------------------------------------------------------
 
-def fit_quantiles(df: DataFrame, cols, n_quantiles: int = N_QUANTILES, stats: dict | None = None) -> dict:
-    """Linear-interpolation quantiles at ``linspace(0, 1, k)`` per column, k = min(n, 500).
+def fit_quantiles(df: DataFrame, cols, n_quantiles: int = N_QUANTILES) -> dict:
+    """Exact linear-interpolation quantiles at ``linspace(0, 1, k)`` per column, k = min(n, 500).
 
-    ``stats`` maps column -> (approximate distinct count, non-null count); when
-    not given, one aggregate computes it.  Columns under
-    ``EXACT_QUANTILE_MAX_DISTINCT`` distinct values (the exact aggregate keeps
-    one count per distinct value) get exact quantiles, all in one aggregate;
-    the others ``percentile_approx`` with a high accuracy.
+    Values are counted and ranked once (``rank_table``); a value with ``below``
+    smaller ones holds the sorted places below .. below + cnt - 1, so each value
+    tells on its own which of the k quantiles lie between its places.  Only
+    those values, two for each quantile at most, come to the driver.
     """
     cols = list(cols)
-    if stats is None:
-        row = df.agg(*[x for c in cols for x in (F.approx_count_distinct(c).alias(f"d|{c}"),
-                                                 F.count(c).alias(f"n|{c}"))]).first().asDict()
-        stats = {c: (row[f"d|{c}"], row[f"n|{c}"]) for c in cols}
-    refs = {c: [float(x) for x in np.linspace(0, 1, max(1, min(n_quantiles, stats[c][1])))] for c in cols}
-    exact = [c for c in cols if stats[c][0] <= EXACT_QUANTILE_MAX_DISTINCT]
-    approx = [c for c in cols if c not in exact]
-    def clean(c):
-        x = F.col(c).cast("double")
-        return F.when(~F.isnan(x), x)
-    aggs = [F.percentile(clean(c), lit_array(refs[c])).alias(c) for c in exact]
-    aggs += [F.percentile_approx(clean(c), refs[c], 1_000_000).alias(c) for c in approx]
-    row = df.agg(*aggs).first().asDict()
-    return {c: ("qt", [float(x) for x in row[c]], refs[c]) for c in cols}
+    clean = df.select(*[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c) for c in cols])
+    table = cut_lineage(rank_table(clean, cols).where(F.col("v").isNotNull()).select("metric", "v", "cnt", "below"))
+    n = {r.metric: r.n for r in table.groupBy("metric").agg(F.sum("cnt").alias("n")).collect()}
+    refs = {c: [float(x) for x in np.linspace(0, 1, max(1, min(n_quantiles, n.get(c, 0))))] for c in cols}
+    place = [(c, i, (n[c] - 1) * q) for c in n for i, q in enumerate(refs[c])]
+    spark = df.sparkSession
+    # k rows per column; every ranked value meets only those whose number its places can have.
+    want = spark.createDataFrame([(c, i, math.floor(p), math.ceil(p)) for c, i, p in place] or [("", 0, 0, 0)],
+                                 "metric string, i int, lo long, hi long")
+    step = spark.createDataFrame([(c, float(len(refs[c]) - 1) / max(n[c] - 1, 1), len(refs[c]) - 1) for c in n] or [("", 0.0, 0)],
+                                 "metric string, step double, last int")
+    first = F.greatest(F.floor((F.col("below") - 1) * F.col("step")) - 1, F.lit(0)).cast("int")
+    last = F.least(F.ceil((F.col("below") + F.col("cnt")) * F.col("step")) + 1, F.col("last")).cast("int")
+    near = table.join(F.broadcast(step), "metric").withColumn("i", F.explode(F.sequence(first, F.greatest(first, last))))
+    holds = lambda x: (F.col(x) >= F.col("below")) & (F.col(x) < F.col("below") + F.col("cnt"))
+    got = (near.join(F.broadcast(want), ["metric", "i"]).where(holds("lo") | holds("hi"))
+           .select("metric", "i", F.when(holds("lo"), F.col("v")).alias("a"), F.when(holds("hi"), F.col("v")).alias("b"))
+           .groupBy("metric", "i").agg(F.max("a").alias("a"), F.max("b").alias("b")).collect())
+    value = {(r.metric, r.i): (r.a, r.b) for r in got}
+    out = {}
+    for c in cols:
+        knots = []
+        for i, q in enumerate(refs[c]):
+            p = (n.get(c, 1) - 1) * q
+            a, b = value.get((c, i), (math.nan, math.nan))
+            knots.append(a if math.floor(p) == math.ceil(p) or a == b else (math.ceil(p) - p) * a + (p - math.floor(p)) * b)
+        out[c] = ("qt", knots, refs[c])
+    return out
 
 
 def quantile_uniform(df: DataFrame, c: str, knots: list, refs: list, out: str) -> DataFrame:
@@ -177,7 +182,7 @@ def _yj_llf(df: DataFrame, grids: dict) -> dict:
     out = {}
     for c, lams in grids.items():
         n, s = row[f"n|{c}"], row[f"s|{c}"] or 0.0
-        out[c] = [-math.inf if not row[f"v{i}|{c}"] or row[f"v{i}|{c}"] <= 0
+        out[c] = [-math.inf if not row[f"v{i}|{c}"] or not 0 < row[f"v{i}|{c}"] < math.inf
                   else -n / 2 * math.log(row[f"v{i}|{c}"]) + (lam - 1) * s for i, lam in enumerate(lams)]
     return out
 
@@ -185,18 +190,35 @@ def _yj_llf(df: DataFrame, grids: dict) -> dict:
 def fit_yeo_johnson(df: DataFrame, cols, lo: float = -4.0, hi: float = 4.0,
                     points: int = 41, rounds: int = 4) -> dict:
     """Max-likelihood lambda per column by successive grid refinement; each
-    round is one aggregate pass for all columns."""
+    round is one aggregate pass for all columns.
+
+    A column whose best lambda is at an end of the first grid gets a grid twice
+    as wide, again and again, until the best one lies inside.  A constant
+    column keeps lambda 1.
+    """
     cols = [cols] if isinstance(cols, str) else list(cols)
     span = {c: (lo, hi) for c in cols}
     best = {c: 0.0 for c in cols}
-    for _ in range(rounds):
+    inside, left = set(), dict.fromkeys(cols, rounds)
+    while span:
         grids = {c: [float(v) for v in np.linspace(a, b, points)] for c, (a, b) in span.items()}
         llf = _yj_llf(df, grids)
-        for c in cols:
+        for c, (a, b) in list(span.items()):
             i = int(np.argmax(llf[c]))
+            if not max(llf[c]) > -math.inf:
+                best[c] = 1.0
+                del span[c]
+                continue
             best[c] = grids[c][i]
-            step = (span[c][1] - span[c][0]) / (points - 1)
+            if c not in inside and i in (0, points - 1) and b - a < 1 << 12:
+                span[c] = (2 * a, 2 * b)
+                continue
+            inside.add(c)
+            step = (b - a) / (points - 1)
             span[c] = (best[c] - step, best[c] + step)
+            left[c] -= 1
+            if not left[c]:
+                del span[c]
     return best
 
 
@@ -228,10 +250,9 @@ def fit_transforms(df: DataFrame, plan: dict) -> dict:
     for c, code in plan.items():
         by.setdefault(code, []).append(c)
     params = {}
-    params.update(fit_scalers(df, minmax=by.get("mnmx", ()), normal=by.get("nrm", ()), extra=by.get("qt", ())))
-    stats = params.pop("__stats", None)
+    params.update(fit_scalers(df, minmax=by.get("mnmx", ()), normal=by.get("nrm", ())))
     if by.get("qt"):
-        params.update(fit_quantiles(df, by["qt"], stats=stats))
+        params.update(fit_quantiles(df, by["qt"]))
     if by.get("yj"):
         params.update(fit_power(df, by["yj"]))
     for c in by.get("none", ()):
@@ -327,20 +348,17 @@ def scree_table(spark, model: dict) -> DataFrame:
 
 # ---- F16, F17 ----------------------------------------------------------------
 
-MAX_CATEGORIES = 10_000
-
-
 def fit_one_hot(df: DataFrame, cols) -> dict:
     """F16 fit: sorted categories per column (one unpivot + distinct pass).
 
     Numeric columns sort numerically, strings lexically; the first is dropped.
+    Every category becomes a column name, so the fitted list is as large as the
+    plan that uses it; ``one_hot_long`` needs no such list.
     """
     cols = list(cols)
     long = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot([], cols, "c", "v")
     cats = long.where(F.col("v").isNotNull()).distinct()
-    rows = cats.limit(MAX_CATEGORIES + 1).collect()
-    if len(rows) > MAX_CATEGORIES:
-        raise ValueError("too many categories to one-hot encode")
+    rows = cats.collect()
     numeric = {c for c in cols if df.schema[c].dataType.typeName() in ("integer", "long", "short", "byte")}
     out = {c: [] for c in cols}
     for r in rows:
@@ -354,13 +372,6 @@ def one_hot_names(cats: dict) -> list[str]:
     return [f"{c}_{v}" for c, vals in cats.items() for v in vals[1:]]
 
 
-def apply_one_hot(df: DataFrame, cats: dict, keep=()) -> DataFrame:
-    """F16 apply: 0/1 columns ``col_value`` for every category but the first."""
-    cols = [(F.col(c).cast("string") == F.lit(v)).cast("int").alias(f"{c}_{v}")
-            for c, vals in cats.items() for v in vals[1:]]
-    return df.select(*keep, *cols)
-
-
 def one_hot_long(df: DataFrame, cols, key_cols) -> DataFrame:
     """F16 as sparse long rows ``(key.., feature)`` for cells equal to 1.
 

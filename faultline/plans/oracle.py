@@ -2,10 +2,30 @@
 
 from __future__ import annotations
 
-from faultline.sources.panel import PANEL_SQL
+import math
 
 ORACLE: dict = {}
 
+# The panel view on `events`, written for DuckDB on its own (not taken from the code that it checks).
+PANEL_SQL = """
+SELECT concat('S', CAST(user_id % 3 AS VARCHAR), 'F', CAST(user_id % 4 AS VARCHAR),
+              CASE WHEN user_id < 1000 THEN right(concat('000', CAST(user_id AS VARCHAR)), 4)
+                   ELSE CAST(user_id AS VARCHAR) END) AS device,
+       CAST(ts AS DATE) AS date,
+       CAST(sum(c) AS BIGINT) AS m1,
+       count(*) FILTER (event_type = 'signup') AS m2,
+       count(*) FILTER (event_type = 'purchase') AS m3,
+       count(*) FILTER (event_type = 'view' AND c > 5000) AS m4,
+       count(*) AS m5,
+       max(c) AS m6,
+       CAST(coalesce(sum(c) FILTER (event_type = 'click' AND c > 5000), 0) AS BIGINT) AS m7,
+       CAST(coalesce(sum(c) FILTER (event_type = 'click' AND c > 5000), 0) AS BIGINT) AS m8,
+       count(*) FILTER (event_type = 'view' AND c <= 2000) AS m9,
+       CASE WHEN count(*) FILTER (event_type = 'error') >= 3 THEN 1 ELSE 0 END AS failure
+FROM (SELECT user_id, ts, event_type, CAST(round(value * 100) AS BIGINT) AS c FROM events) e
+GROUP BY user_id, CAST(ts AS DATE)
+"""
+
 PANEL_CTE = f"panel AS (SELECT DISTINCT * FROM ({PANEL_SQL}) p)"
 
 
@@ -421,7 +441,8 @@ ts AS (SELECT * FROM (VALUES (0, 0.8e0), (1, 0.85e0), (2, 0.9e0), (3, 0.95e0), (
 
 
 # ---- rug sample, bootstrap -------------------------------------------------------
-from faultline.operators.sampling import _poisson1_cdf  # noqa: E402
+# Poisson(1): P(K <= k) for k = 0, 1, ... while a double tells it from 1.
+POISSON_CDF = [math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1)) for k in range(18)]
 
 sql("q_rug_sample", """
 SELECT device, date, failure, m, x FROM (
@@ -432,7 +453,7 @@ SELECT device, date, failure, m, x FROM (
 
 _u = ("(('0x' || substr(md5('boot42:' || CAST(b.range AS VARCHAR) || ':' || device || ':' || CAST(date AS VARCHAR)), 1, 13))"
       "::BIGINT / 4503599627370496e0)")
-_w = " + ".join(f"CAST({_u} > {c!r} AS INTEGER)" for c in _poisson1_cdf()[:-1])
+_w = " + ".join(f"CAST({_u} > {c!r} AS INTEGER)" for c in POISSON_CDF)
 sql("q_bootstrap", f"""
 SELECT bag, device, date, strt, weight FROM (
   SELECT CAST(b.range AS INTEGER) AS bag, device, date, strt, CAST({_w} AS INTEGER) AS weight

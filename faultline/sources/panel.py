@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from faultline.functions import nan_to_null
 from faultline.schema import KEY_COLS, METRIC_COLS, RAW_CSV_SCHEMA, TARGET_COL, PanelSchema
 
 
@@ -39,11 +40,12 @@ def read_panel_csv(spark: SparkSession, path: str, date_format: str = "yyyy-MM-d
 
 
 def tidy_panel(raw: DataFrame) -> tuple[DataFrame, PanelSchema]:
-    """S2 minus the scan: whole-row dedup, ``attribute``->``m`` rename, reorder."""
+    """S2 minus the scan: whole-row dedup, ``attribute``->``m`` rename, reorder, NaN metrics to NULL."""
     renamed = raw.withColumnsRenamed(
         {c: c.replace("attribute", "m") for c in raw.columns if c != TARGET_COL})
     cols = list(KEY_COLS) + list(METRIC_COLS) + [TARGET_COL]
-    return dedup_by_device(renamed.select(*cols)), PanelSchema()
+    floats = {f.name for f in renamed.schema.fields if f.dataType.typeName() in ("double", "float")} & set(METRIC_COLS)
+    return dedup_by_device(renamed.select(*[nan_to_null(c).alias(c) if c in floats else c for c in cols])), PanelSchema()
 
 
 def dedup_by_device(df: DataFrame) -> DataFrame:
@@ -95,31 +97,12 @@ def panel_from_events(events: DataFrame) -> DataFrame:
         F.when(F.sum(F.when(et == "error", 1).otherwise(0)) >= 3, 1).otherwise(0).alias(TARGET_COL),
     )
     device = F.concat(F.lit("S"), (uid % 3).cast("string"), F.lit("F"),
-                      (uid % 4).cast("string"), F.lpad(uid.cast("string"), 4, "0"))
+                      (uid % 4).cast("string"),
+                      F.when(F.length(uid.cast("string")) >= 4, uid.cast("string"))
+                      .otherwise(F.lpad(uid.cast("string"), 4, "0")))       # padded, never cut
     return agg.select(device.alias("device"), "date", *METRIC_COLS, TARGET_COL)
 
 
 def testdata_panel(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, PanelSchema]:
     """Panel view over ``{sf_dir}/events.parquet`` with its starting schema."""
     return panel_from_events(read_table(spark, sf_dir, "events")), PanelSchema()
-
-
-# Same derivation as SQL text; runs unchanged in Spark SQL and DuckDB.
-PANEL_SQL = """
-SELECT concat('S', cast(user_id % 3 AS string), 'F', cast(user_id % 4 AS string),
-              lpad(cast(user_id AS string), 4, '0'))                                AS device,
-       cast(ts AS date)                                                              AS date,
-       cast(sum(c) AS bigint)                                                        AS m1,
-       cast(sum(CASE WHEN event_type = 'signup'   THEN 1 ELSE 0 END) AS bigint)      AS m2,
-       cast(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS bigint)      AS m3,
-       cast(sum(CASE WHEN event_type = 'view'  AND c > 5000  THEN 1 ELSE 0 END) AS bigint) AS m4,
-       cast(count(*) AS bigint)                                                      AS m5,
-       cast(max(c) AS bigint)                                                        AS m6,
-       cast(sum(CASE WHEN event_type = 'click' AND c > 5000  THEN c ELSE 0 END) AS bigint) AS m7,
-       cast(sum(CASE WHEN event_type = 'click' AND c > 5000  THEN c ELSE 0 END) AS bigint) AS m8,
-       cast(sum(CASE WHEN event_type = 'view'  AND c <= 2000 THEN 1 ELSE 0 END) AS bigint) AS m9,
-       CASE WHEN sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) >= 3
-            THEN 1 ELSE 0 END                                                        AS failure
-FROM (SELECT user_id, ts, event_type, cast(round(value * 100) AS bigint) AS c FROM events) e
-GROUP BY user_id, cast(ts AS date)
-"""
