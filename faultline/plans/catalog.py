@@ -406,6 +406,18 @@ def q_pca(spark, sf_dir):
     return transforms.apply_pca(t, model, keep=["device", "date"])
 
 
+@query
+def q_pca_trace(spark, sf_dir):
+    """Number of components and their total variance (the trace of the covariance)."""
+    df, schema = feature_table(spark, sf_dir)
+    df = cut_lineage(df)
+    t = transforms.apply_transforms(df, transforms.fit_transforms(df, TRANSFORM_PLAN))
+    model = transforms.fit_pca(t, list(schema.nnum_cols))
+    return spark.createDataFrame([(len(model["variance"]), sum(model["variance"]), sum(model["ratio"]))],
+                                 "components int, total double, share double").select(
+        "components", r6(F.col("total")).alias("total"), r6(F.col("share")).alias("share"))
+
+
 @query
 def q_scree(spark, sf_dir):
     """explained variance ratio and its running sum per component."""
@@ -506,6 +518,9 @@ def q_threshold_sweep(spark, sf_dir):
 from faultline.operators import ensemble  # noqa: E402
 from faultline.schema import BEST_STRATA_P  # noqa: E402
 
+# Budget of the registered model queries: bags of each ensemble.  The study sizes an
+# ensemble by ``sampling.estimators_proxy`` (about 280 there) or takes 200; the queries
+# take any number as ``bags``.
 ENSEMBLE_BAGS = 3
 
 
@@ -523,46 +538,62 @@ def model_table(spark, sf_dir, num_transform: bool = False):
     return prep, feats
 
 
-def _strata_fit_predict(spark, sf_dir, base, strata_p, num_transform=False, **kw):
+def _strata_fit_predict(spark, sf_dir, base, strata_p, num_transform=False, bags=ENSEMBLE_BAGS, **kw):
     prep, feats = model_table(spark, sf_dir, num_transform)
     train, test = prep.where(F.col("split") == "train"), prep.where(F.col("split") == "test")
     counts = sampling.undersample_counts(train, "strt", strata_p)
-    ens = ensemble.fit_bagged(train, feats, "strt", "strt", counts, ENSEMBLE_BAGS, RANDOM_STATE,
+    ens = ensemble.fit_bagged(train, feats, "strt", "strt", counts, bags, RANDOM_STATE,
                               base=base, class_weight=strata_p, **kw)
     pr = ensemble.predict_bagged(ens, test, ["device", "date", "strt", "failure"])
     return pr.withColumn("y_proba", F.col("p2"))
 
 
-@query
-def q_bag_logistic(spark, sf_dir):
-    """L1 + L6: stratified bagging of multinomial logistic regressions, test-set scores."""
-    return _strata_fit_predict(spark, sf_dir, "logistic", STRATA_P, num_transform=True, max_iter=50)
-
-
-@query
-def q_bag_logistic_ratio(spark, sf_dir):
-    """L2: binary bagging on 30 % failure under-samples."""
-    prep, feats = model_table(spark, sf_dir, True)
+def _ratio_fit_predict(spark, sf_dir, base, num_transform=False, bags=ENSEMBLE_BAGS, **kw):
+    """Binary bagging on 30 % failure under-samples."""
+    prep, feats = model_table(spark, sf_dir, num_transform)
     train, test = prep.where(F.col("split") == "train"), prep.where(F.col("split") == "test")
     counts = sampling.ratio_counts(train, "failure", 0.3).withColumnRenamed("failure", "strt_y")
     t2 = train.withColumn("strt_y", F.col("failure"))
     ens = ensemble.fit_bagged(t2, feats, "failure", "strt_y", counts.select("strt_y", "n_rows", "n"),
-                              ENSEMBLE_BAGS, RANDOM_STATE, base="logistic", class_weight={0: 0.7, 1: 0.3},
-                              n_classes=2, max_iter=50)
+                              bags, RANDOM_STATE, base=base, class_weight={0: 0.7, 1: 0.3}, n_classes=2, **kw)
     pr = ensemble.predict_bagged(ens, test, ["device", "date", "strt", "failure"])
     return pr.withColumn("y_proba", F.col("p1"))
 
 
 @query
-def q_bag_forest(spark, sf_dir):
-    """L3: balanced forest — one unbootstrapped tree per stratified bag."""
-    return _strata_fit_predict(spark, sf_dir, "forest", STRATA_P, depth=12, max_features="sqrt")
+def q_bag_logistic(spark, sf_dir, bags=ENSEMBLE_BAGS):
+    """L1 + L6: stratified bagging of multinomial logistic regressions, test-set scores."""
+    return _strata_fit_predict(spark, sf_dir, "logistic", STRATA_P, num_transform=True, bags=bags)
+
+
+@query
+def q_bag_logistic_ratio(spark, sf_dir, bags=ENSEMBLE_BAGS):
+    """L2: binary bagging of logistic regressions on 30 % failure under-samples."""
+    return _ratio_fit_predict(spark, sf_dir, "logistic", num_transform=True, bags=bags)
 
 
 @query
-def q_bag_boost(spark, sf_dir):
-    """L4 + L5: bagging of SAMME-boosted trees with the final configuration's strata."""
-    return _strata_fit_predict(spark, sf_dir, "boost", BEST_STRATA_P, depth=40, max_features="0.5", rounds=4)
+def q_bag_forest(spark, sf_dir, bags=ENSEMBLE_BAGS, depth=30):
+    """L3: balanced forest — one unbootstrapped tree per stratified bag, as deep as MLlib goes."""
+    return _strata_fit_predict(spark, sf_dir, "forest", STRATA_P, bags=bags, depth=depth, max_features="sqrt")
+
+
+@query
+def q_bag_forest_ratio(spark, sf_dir, bags=ENSEMBLE_BAGS, depth=30):
+    """L3, fourth candidate: binary balanced forest on 30 % failure under-samples."""
+    return _ratio_fit_predict(spark, sf_dir, "forest", bags=bags, depth=depth, max_features="sqrt")
+
+
+@query
+def q_bag_boost(spark, sf_dir, bags=ENSEMBLE_BAGS, rounds=10):
+    """L4 + L5: bagging of SAMME-boosted trees with the final configuration's strata (the final model has 20 rounds)."""
+    return _strata_fit_predict(spark, sf_dir, "boost", BEST_STRATA_P, bags=bags, depth=30, max_features="0.5", rounds=rounds)
+
+
+@query
+def q_bag_boost_ratio(spark, sf_dir, bags=ENSEMBLE_BAGS, rounds=10):
+    """L4, sixth candidate: binary bagging of boosted trees on 30 % failure under-samples."""
+    return _ratio_fit_predict(spark, sf_dir, "boost", bags=bags, depth=30, max_features="0.5", rounds=rounds)
 
 
 SEARCH_GRID = {"class_weight": [{"0": 0.1, "1": 0.6, "2": 0.3}, {"0": 0.05, "1": 0.75, "2": 0.2}],
@@ -570,11 +601,12 @@ SEARCH_GRID = {"class_weight": [{"0": 0.1, "1": 0.6, "2": 0.3}, {"0": 0.05, "1":
 SEARCH_SCHEMA = "class_weight map<string,double>, depth int, max_features string"
 
 
-def search_results(spark, sf_dir):
+def search_results(spark, sf_dir, draws=2, folds=2, bags=2):
+    """The study draws 500 and 750 configurations and has 5 folds; ``draws``, ``folds`` and ``bags`` are the budget."""
     prep, feats = model_table(spark, sf_dir, False)
     train = prep.where(F.col("split") == "train")
-    return ensemble.random_search(train, feats, SEARCH_GRID, n_iter=2, folds=2, seed=RANDOM_STATE,
-                                  fit_kwargs={"bags": 2, "base": "forest", "class_weight": STRATA_P})
+    return ensemble.random_search(train, feats, SEARCH_GRID, n_iter=draws, folds=folds, seed=RANDOM_STATE,
+                                  fit_kwargs={"bags": bags, "base": "forest", "class_weight": STRATA_P})
 
 
 @query
@@ -596,7 +628,7 @@ def q_ablation_table(spark, sf_dir):
     prep, feats = model_table(spark, sf_dir, False)
     train, test = prep.where(F.col("split") == "train"), prep.where(F.col("split") == "test")
     counts = sampling.undersample_counts(train, "strt", STRATA_P)
-    kw = {"bags": 1, "base": "logistic", "class_weight": STRATA_P, "max_iter": 30}
+    kw = {"bags": 1, "base": "logistic", "class_weight": STRATA_P}
     nums = [c for c in feats if "_" not in c]
     members = ensemble.bag_table(train, "strt", counts, kw["bags"], RANDOM_STATE)
     full = ensemble.fit_bagged(train, feats, "strt", "strt", counts, seed=RANDOM_STATE, members=members, **kw)
@@ -606,13 +638,42 @@ def q_ablation_table(spark, sf_dir):
     return evaluate.ablation_vs_baseline(ab, base)
 
 
+# ---- small report aggregates -------------------------------------------------------
+
+@query
+def q_distinct_levels(spark, sf_dir):
+    """Distinct device families."""
+    df, schema = panel(spark, sf_dir)
+    return stats.distinct_values(features.device_features(df, schema)[0], "L12")
+
+
+@query
+def q_score_range(spark, sf_dir):
+    """Largest and smallest score, and their difference."""
+    return stats.score_range(scored(spark, sf_dir), "y_proba")
+
+
+@query
+def q_best_day_metric(spark, sf_dir):
+    """The operation count with the best failure share (ties: the smallest)."""
+    df, _ = panel(spark, sf_dir)
+    share = df.groupBy("m5").agg(F.avg(F.col("failure").cast("double")).alias("share"))
+    return stats.arg_best(share, "share", "m5")
+
+
+@query
+def q_shape(spark, sf_dir):
+    """Rows and columns of the panel."""
+    return stats.shape(panel(spark, sf_dir)[0])
+
+
 # ---- rug sample, bootstrap -------------------------------------------------------
 
 @query
 def q_rug_sample(spark, sf_dir):
-    """Up to 250 seeded rows per metric and class (distribution rug data)."""
+    """Up to 2500 seeded rows per metric and class (distribution rug data)."""
     df, _ = panel(spark, sf_dir)
-    return sampling.rug_sample(df, list(METRIC_COLS), "failure", 250, RANDOM_STATE, KEY)
+    return sampling.rug_sample(df, list(METRIC_COLS), "failure", 2500, RANDOM_STATE, KEY)
 
 
 @query

@@ -370,6 +370,14 @@ sql("q_transform", "SELECT f.device, f.date, " + ", ".join(
     + " FROM fin f JOIN qz ON qz.device = f.device AND qz.date = f.date",
     FEATURES + ", " + quantile_sql("fin", QT, ["device", "date"]))
 
+# A principal component analysis keeps the trace: all variances add up to those of its columns.
+_PCA_COLS = ([(c, f"qz.{c}") for c in QT] + [(c, standard_sql(f"f.{c}")) for c in NRM]
+             + [(c, minmax_sql(f"f.{c}")) for c in CH_KEEP_COLS] + [(c, f"f.{c}") for c in PLAN_SR])
+sql("q_pca_trace", f"SELECT CAST({len(_PCA_COLS)} AS INTEGER) AS components, "
+    + r6(" + ".join(f"var_samp({c})" for c, _ in _PCA_COLS)) + " AS total, 1e0 AS share FROM (SELECT "
+    + ", ".join(f"{e} AS {c}" for c, e in _PCA_COLS) + " FROM fin f JOIN qz ON qz.device = f.device AND qz.date = f.date) t",
+    FEATURES + ", " + quantile_sql("fin", QT, ["device", "date"]))
+
 _enc = ["L1", "L2", "L12", "Q", "M", "D", "MW", "WD", "WE"]
 _num_enc = {"Q", "M", "D", "MW", "WD", "WE"}
 sql("q_one_hot", """
@@ -440,6 +448,14 @@ ts AS (SELECT * FROM (VALUES (0, 0.8e0), (1, 0.85e0), (2, 0.9e0), (3, 0.95e0), (
        UNION ALL SELECT 5, threshold FROM best WHERE threshold IS NOT NULL)""")
 
 
+# ---- small report aggregates -----------------------------------------------------
+sql("q_distinct_levels", f"SELECT DISTINCT L12 FROM (SELECT {DEVICE_COLS} FROM panel) d")
+sql("q_score_range", 'SELECT max(y_proba) AS "max", min(y_proba) AS "min", max(y_proba) - min(y_proba) AS "range" FROM sc', SCORED)
+sql("q_best_day_metric", """SELECT m5, share FROM (SELECT m5, avg(CAST(failure AS DOUBLE)) AS share FROM panel GROUP BY m5)
+ORDER BY share DESC, m5 LIMIT 1""")
+sql("q_shape", "SELECT count(*) AS n_rows, CAST(12 AS BIGINT) AS n_cols FROM panel")
+
+
 # ---- rug sample, bootstrap -------------------------------------------------------
 # Poisson(1): P(K <= k) for k = 0, 1, ... while a double tells it from 1.
 POISSON_CDF = [math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1)) for k in range(18)]
@@ -448,7 +464,7 @@ sql("q_rug_sample", """
 SELECT device, date, failure, m, x FROM (
   SELECT *, row_number() OVER (PARTITION BY m, failure
          ORDER BY md5('42:' || m || ':' || device || ':' || CAST(date AS VARCHAR))) AS rn
-  FROM lk WHERE failure IS NOT NULL) r WHERE rn <= 250""",
+  FROM lk WHERE failure IS NOT NULL) r WHERE rn <= 2500""",
     f"lk AS ({unpivot('panel', ['device', 'date', 'failure'], METRICS, 'm', 'x', 'DOUBLE')})")
 
 _u = ("(('0x' || substr(md5('boot42:' || CAST(b.range AS VARCHAR) || ':' || device || ':' || CAST(date AS VARCHAR)), 1, 13))"

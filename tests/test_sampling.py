@@ -1,5 +1,6 @@
 """Exact sampling against brute force; stratum count arithmetic."""
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -51,3 +52,25 @@ def test_split_is_stable_and_near_share(spark):
     assert abs(share - 0.2) < 0.015
     b = sampling.train_test_split(df.repartition(7), ["k"], 0.2, 42)
     assert a.where("split = 'test'").select("k").subtract(b.where("split = 'test'").select("k")).count() == 0
+
+
+def test_a_stratum_without_proportion_fails(spark):
+    df = spark.createDataFrame([(0,)] * 50 + [(1,)] * 20 + [(2,)] * 5, "strt int")
+    for listed in ({0: 0.5, 2: 0.5}, {0: 0.5, 1: 0.5}):
+        with pytest.raises(Exception, match="no proportion is given for stratum"):
+            sampling.undersample_counts(df, "strt", listed).collect()
+
+
+def test_rows_with_a_null_key_part_are_sampled(spark):
+    df = spark.createDataFrame([(None if i % 4 == 0 else f"d{i}", i, 0) for i in range(100)], "device string, date int, strt int")
+    quota = spark.createDataFrame([(0, 100, 33)], "strt int, n_rows long, n long")
+    assert sampling.stratified_undersample(df, "strt", quota, 1, ["device", "date"]).count() == 33
+    sides = {(r.device is None, r.split) for r in sampling.train_test_split(df, ["device", "date"]).collect()}
+    assert (True, "test") in sides and (True, "train") in sides
+    bags = sampling.bag_membership(df, "strt", quota, 2, 1, ["device", "date"])
+    assert [r["count"] for r in bags.groupBy("bag").count().collect()] == [33, 33]
+
+
+def test_rug_takes_any_number_of_classes(spark):
+    df = spark.createDataFrame([(i, i // 3, float(i)) for i in range(3600)], "k int, y int, m1 double")
+    assert sampling.rug_sample(df, ["m1"], "y", 2, 1, ["k"]).count() == 2400

@@ -3,6 +3,8 @@
 import os
 import tempfile
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from conftest import SF001
@@ -41,3 +43,47 @@ def test_number_abbreviation(spark):
     assert got == ["5", "999", "1.23K", "-5000", "2.50M"]
     dbl = spark.createDataFrame([(5.0,), (1234.5,)], "n double")
     assert [r[0] for r in dbl.select(abbreviate("n", False)).collect()] == ["5.00", "1.23K"]
+
+
+def test_long_ids_stay_apart(spark):
+    import datetime
+
+    import duckdb
+    from faultline.plans.oracle import PANEL_SQL
+    from faultline.sources.panel import panel_from_events
+    day = datetime.datetime(2024, 1, 1)
+    users = [7, 1000, 9999, 10000, 123456]
+    events = spark.createDataFrame([(u, day, "view", 60.0) for u in users], "user_id long, ts timestamp, event_type string, value double")
+    got = sorted(r.device for r in panel_from_events(events).collect())
+    con = duckdb.connect()
+    con.execute("CREATE TABLE events AS SELECT unnest([7, 1000, 9999, 10000, 123456])::BIGINT AS user_id, "
+                "TIMESTAMP '2024-01-01' AS ts, 'view' AS event_type, 60e0 AS value")
+    assert got == sorted(r[0] for r in con.execute(f"SELECT device FROM ({PANEL_SQL})").fetchall())
+    assert got == ["S0F0123456", "S0F39999", "S1F01000", "S1F010000", "S1F30007"]
+
+
+def test_nan_metrics_become_null(spark):
+    from faultline.sources.panel import tidy_panel
+    row = spark.createDataFrame([("d", None, float("nan"), *[1.0] * 8, 0)],
+                                "device string, date date, " + ", ".join(f"attribute{i} double" for i in range(1, 10)) + ", failure int")
+    assert tidy_panel(row)[0].first().m1 is None
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    import faultline.session as session
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Conf:
+        def get(self, *a):
+            return None
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(Session())
