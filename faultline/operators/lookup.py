@@ -43,35 +43,19 @@ def skew_safe_lookup(df: DataFrame, col: str, table: DataFrame, key: str, out_co
                     *[F.coalesce(F.col(f"__h_{c}"), F.col(f"__c_{c}")).alias(c) for c in out_cols])
 
 
-def skew_safe_lookups_sql(df: DataFrame, table: DataFrame, specs: list[tuple[str, str, str]],
-                          salt_from: list[str], hot_parts: int = HOT_PARTS, salts: int = 1024) -> DataFrame:
-    """``skew_safe_lookup`` for many columns at once, as one SQL statement.
+def skew_safe_metric_lookup(long: DataFrame, table: DataFrame, out_cols: list[str], salt_from: str,
+                            hot_parts: int = HOT_PARTS, salts: int = 1024) -> DataFrame:
+    """``skew_safe_lookup`` for all metrics at once: ``long (.., metric, v)`` meets
+    ``table (metric, v, cnt, n, out_cols..)`` in one hot and one cold join.
 
-    ``table`` is long ``(metric, v, cnt, n, <value columns>)``; each spec is
-    ``(column in df, metric name, value expression over the table)`` and adds a
-    column named like the metric's output.  One statement is analysed once,
-    instead of re-analysing a plan that grows with every chained join.
+    Of each metric at most ``hot_parts`` values are hot; rows that carry one, or
+    a NULL, get a salted key that matches no cold value.
     """
-    import uuid
-    spark = df.sparkSession
-    tag = uuid.uuid4().hex[:12]
-    src, tab = f"__fl_src_{tag}", f"__fl_tab_{tag}"
-    df.createOrReplaceTempView(src)
-    table.createOrReplaceTempView(tab)
-    salt = f"pmod(xxhash64({', '.join(f's.`{c}`' for c in salt_from)}), {salts}) + 1"
-    sel, joins, hints = ["s.*"], [], []
-    for i, (col, metric, value_expr, out) in enumerate(specs):
-        hot = f"cnt * {hot_parts} >= n"
-        hints.append(f"h{i}")
-        joins.append(f"LEFT JOIN (SELECT v AS k, {value_expr} AS x FROM {tab} "
-                     f"WHERE metric = '{metric}' AND v IS NOT NULL AND {hot}) h{i} ON s.`{col}` = h{i}.k")
-        joins.append(f"LEFT JOIN (SELECT named_struct('v', v, 's', 0) AS ck, {value_expr} AS x FROM {tab} "
-                     f"WHERE metric = '{metric}' AND v IS NOT NULL AND NOT ({hot})) c{i} "
-                     f"ON named_struct('v', s.`{col}`, 's', CASE WHEN h{i}.k IS NOT NULL OR s.`{col}` IS NULL THEN {salt} ELSE 0 END) = c{i}.ck")
-        sel.append(f"coalesce(h{i}.x, c{i}.x) AS `{out}`")
-    text = (f"SELECT /*+ BROADCAST({', '.join(hints)}) */ {', '.join(sel)} FROM {src} s " + " ".join(joins))
-    try:
-        return spark.sql(text)
-    finally:
-        spark.catalog.dropTempView(src)
-        spark.catalog.dropTempView(tab)
+    hot = table.where(F.col("cnt") * hot_parts >= F.col("n")).select("metric", "v", *[F.col(c).alias(f"__h_{c}") for c in out_cols])
+    cold = table.where(F.col("cnt") * hot_parts < F.col("n")).select(
+        "metric", "v", F.lit(0).alias("__s"), *[F.col(c).alias(f"__c_{c}") for c in out_cols])
+    x = long.join(F.broadcast(hot), ["metric", "v"], "left")
+    salt = (F.pmod(F.xxhash64(salt_from), F.lit(salts)) + 1).cast("int")
+    off = F.col(f"__h_{out_cols[0]}").isNotNull() | F.col("v").isNull()
+    x = x.withColumn("__s", F.when(off, salt).otherwise(F.lit(0))).join(cold, ["metric", "v", "__s"], "left")
+    return x.select(*long.columns, *[F.coalesce(F.col(f"__h_{c}"), F.col(f"__c_{c}")).alias(c) for c in out_cols])

@@ -7,7 +7,7 @@ value.  The plan:
    partial aggregation: a value held by a third of all rows becomes one row);
 2. running sums of the counts by value (``prefix``): ranges of (metric, value),
    as many as the counts need, each summed in its own window;
-3. look the offsets up per metric with skew-safe joins (``lookup``).
+3. look the offsets up in one skew-safe join for all metrics (``lookup``).
 """
 
 from __future__ import annotations
@@ -15,17 +15,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultline.operators.lookup import skew_safe_lookups_sql
+from faultline.operators.lookup import skew_safe_metric_lookup
 from faultline.operators.prefix import running_sums
 from faultline.session import cut_lineage
 
 
-def _long_values(df: DataFrame, cols) -> DataFrame:
+def _long_values(df: DataFrame, cols, ids=()) -> DataFrame:
     """Unpivoted values; columns of different whole-number types meet as bigint, others as double."""
     types = {df.schema[c].dataType.typeName() for c in cols}
     cast = None if len(types) == 1 else "bigint" if types <= {"byte", "short", "integer", "long"} else "double"
     sel = [F.col(c).cast(cast).alias(c) if cast else F.col(c) for c in cols]
-    return df.select(*sel).unpivot([], list(cols), "metric", "v")
+    return df.select(*ids, *sel).unpivot(list(ids), list(cols), "metric", "v")
 
 
 def rank_table(df: DataFrame, cols) -> DataFrame:
@@ -44,16 +44,21 @@ def min_rank(df: DataFrame, cols, prefix_from: str = "m", prefix_to: str = "sr",
              table: DataFrame | None = None) -> DataFrame:
     """Add ``sr*`` = (min-rank - 1) / N for each column of ``cols``.
 
-    The rank table (one row per distinct value) is materialised once with a
-    reliable checkpoint — it is read by two lookups per column — and each
-    column is looked up with ``skew_safe_lookup``: hot values (a bounded
-    number) by broadcast, the rest by a salted join that Spark may broadcast
-    at run time when small.
+    The rank table (one row per distinct value) is written once.  Rows are
+    looked up narrow: (row hash, metric, value) meets the table in one
+    skew-safe join for all metrics, is regrouped by row, and joined back, so
+    the number of shuffles does not depend on the number of metrics and wide
+    rows move once.  Equal rows share a hash (128 bits) and have equal ranks.
     """
     table = cut_lineage(table if table is not None else rank_table(df, cols))
-    salt_from = [c for c in df.columns][:4]
-    specs = [(c, c, "below / n", c.replace(prefix_from, prefix_to, 1)) for c in cols]
-    return skew_safe_lookups_sql(df, table, specs, salt_from)
+    every = [F.col(f"`{c}`") for c in df.columns]
+    rows = df.withColumn("__row", F.struct(F.xxhash64(*every).alias("a"), F.xxhash64(F.lit("row"), *every).alias("b")))
+    long = _long_values(rows, cols, ["__row"]).where(F.col("v").isNotNull())
+    ranks = table.where(F.col("v").isNotNull()).select("metric", "v", "cnt", "n", (F.col("below") / F.col("n")).alias("x"))
+    found = skew_safe_metric_lookup(long, ranks, ["x"], salt_from="__row")
+    wide = found.groupBy("__row").agg(*[F.max(F.when(F.col("metric") == c, F.col("x"))).alias(c.replace(prefix_from, prefix_to, 1))
+                                        for c in cols])
+    return rows.join(wide, "__row", "left").drop("__row")
 
 
 def apply_rank(df: DataFrame, table: DataFrame, c: str, name: str) -> DataFrame:

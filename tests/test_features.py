@@ -122,7 +122,7 @@ def test_apply_rank_to_new_values(spark):
 
 
 def test_skew_safe_lookups_hot_and_cold_paths(spark):
-    from faultline.operators.lookup import skew_safe_lookup, skew_safe_lookups_sql
+    from faultline.operators.lookup import skew_safe_lookup, skew_safe_metric_lookup
     vals = [0] * 60 + [1] * 25 + list(range(2, 17))          # 0 and 1 hot at hot_parts=4
     df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "k int, m1 long")
     n = len(vals)
@@ -130,7 +130,8 @@ def test_skew_safe_lookups_hot_and_cold_paths(spark):
         [("m1", v, vals.count(v), n, sum(1 for w in vals if w < v)) for v in sorted(set(vals))],
         "metric string, v long, cnt long, n long, below long")
     want = {i: sum(1 for w in vals if w < v) / n for i, v in enumerate(vals)}
-    out = skew_safe_lookups_sql(df, table, [("m1", "m1", "below / n", "sr1")], ["k"], hot_parts=4, salts=8)
+    long = df.select("k", F.lit("m1").alias("metric"), F.col("m1").alias("v"))
+    out = skew_safe_metric_lookup(long, table.withColumn("sr1", F.col("below") / F.col("n")), ["sr1"], "k", hot_parts=4, salts=8)
     assert {r.k: r.sr1 for r in out.collect()} == want
     t1 = table.select("v", "cnt", "n", (F.col("below") / F.col("n")).alias("sr1"))
     out1 = skew_safe_lookup(df, "m1", t1, "v", ["sr1"], "cnt", "n", ["k"], hot_parts=4, salts=8)

@@ -46,3 +46,28 @@ def test_results_do_not_depend_on_partitions(spark, name):
         got.append(sorted(map(lambda r: tuple(map(str, r)), rows)))
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert got[0] == got[1] == got[2]
+
+
+def test_rank_shuffles_do_not_grow_with_the_metrics(spark):
+    from faultline.plans.catalog import panel
+    from faultline.operators.rank import min_rank, rank_table
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df, _ = panel(spark, SF001)
+        seen = []
+        for cols in (["m1", "m2"], ["m1", "m2", "m3", "m4", "m5", "m6", "m7", "m9"]):
+            plan = plan_text(min_rank(df, cols, table=rank_table(df, cols)))
+            seen.append(plan.count("Exchange hashpartitioning"))
+        assert seen[0] == seen[1] <= 8, seen      # two for the panel (read twice), four of its own
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_rank_handles_rows_without_values(spark):
+    from faultline.operators.rank import min_rank
+    df = spark.createDataFrame([(1, None, None), (2, 5, None), (2, 5, None)], "k int, m1 long, m2 long")
+    got = sorted((r.k, str(r.sr1), str(r.sr2)) for r in min_rank(df, ["m1", "m2"]).collect())
+    assert got == [(1, "None", "None"), (2, "0.0", "None"), (2, "0.0", "None")]
