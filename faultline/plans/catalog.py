@@ -317,11 +317,10 @@ def q_bag_coverage(spark, sf_dir):
 # ---- transforms -----------------------------------------------------------------
 
 from faultline.operators import transforms  # noqa: E402
+from faultline.operators.prepare import model_features, prepare  # noqa: E402
 from faultline.schema import TRANSFORM_PLAN  # noqa: E402
 
-CH_COLS = ["ch1", "ch2", "ch4", "ch5", "ch6", "ch7"]
-NRM_COLS = ["m2", "m3", "m4", "m7", "m9"]
-QT_COLS = ["m1", "m5", "m6"]
+CH_COLS, NRM_COLS, QT_COLS = ([c for c, code in TRANSFORM_PLAN.items() if code == k] for k in ("mnmx", "nrm", "qt"))
 
 
 def change_table(spark, sf_dir):
@@ -427,27 +426,6 @@ def q_scree(spark, sf_dir):
     return transforms.scree_table(spark, transforms.fit_pca(t, list(schema.nnum_cols)))
 
 
-def prepare(df, schema, num_transform: bool = True):
-    """one-hot categoricals ++ numerics (transformed + PCA, or raw) ++ control columns."""
-    cat = [c for c in schema.ncat_cols if c not in schema.cat_cols]
-    cats = transforms.fit_one_hot(df, cat)
-    enc = [(F.col(c).cast("string") == F.lit(v)).cast("int").alias(f"{c}_{v}")
-           for c, vals in cats.items() for v in vals[1:]]
-    if num_transform:
-        t = transforms.apply_transforms(df, transforms.fit_transforms(df, TRANSFORM_PLAN))
-        model = transforms.fit_pca(t, list(schema.nnum_cols))
-        pcs = transforms.apply_pca(t, model, keep=["device", "date"]).columns[2:]
-        scored = transforms.apply_pca(t, model, keep=[*df.columns])
-        nums = [F.col(c) for c in pcs]
-        base = scored
-        names = pcs
-    else:
-        base, nums, names = df, [F.col(c) for c in schema.nnum_cols], list(schema.nnum_cols)
-    out = base.select("device", "date", *enc, *nums, *schema.cntr_cols, schema.target_col)
-    return out, schema.with_(enc_cols=tuple(transforms.one_hot_names(cats)),
-                             pca_cols=tuple(names) if num_transform else ())
-
-
 @query
 def q_prepared(spark, sf_dir):
     """Model table with one-hot, PCA numerics and controls."""
@@ -527,15 +505,13 @@ ENSEMBLE_BAGS = 3
 def model_table(spark, sf_dir, num_transform: bool = False):
     """feature table -> prepared model columns, plus the 80/20 split.
 
-    The feature table is materialised once (reliable checkpoint) because every
-    fit pass reads it; the prepared table likewise, since bags and folds scan it
-    repeatedly.
+    The feature table is written once because every fit pass reads it, and the
+    prepared table because bags and folds scan it repeatedly.
     """
     df, schema = feature_table(spark, sf_dir)
     prep, pschema = prepare(cut_lineage(df), schema, num_transform=num_transform)
     prep = cut_lineage(sampling.train_test_split(prep, KEY, 0.2, RANDOM_STATE))
-    feats = list(pschema.enc_cols) + (list(pschema.pca_cols) if num_transform else list(schema.nnum_cols))
-    return prep, feats
+    return prep, model_features(schema, pschema, num_transform)
 
 
 def _strata_fit_predict(spark, sf_dir, base, strata_p, num_transform=False, bags=ENSEMBLE_BAGS, **kw):
