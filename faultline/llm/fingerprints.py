@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from faultline.llm.arrow import pieces
 from faultline.llm.weighted_sampling import fingerprints
 
 RANGE_BYTES = 24 << 20            # text of one id range, about
@@ -36,7 +37,7 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def sign(batches):
         import pyarrow as pa
-        for b in batches:
+        for b in pieces(batches):
             x = fingerprints([t or "" for t in b.column(1).to_pylist()], samples)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_hex(x), pa.string())], names=schema.names)
 
@@ -92,7 +93,7 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                  F.struct(F.col("p.own").alias("r"), F.lit(0).alias("edge")),
                  F.struct(F.col("p.edge").alias("r"), F.lit(1).alias("edge")))).alias("p"))
              .where("p.r >= 0").select("id", "t", "o", "p.r", "p.edge")
-             .repartition(max(1, len(first)), "r")
+             .repartitionById(len(bounds) + 1, F.col("r"))        # one range each
              .sortWithinPartitions("r", "edge", F.col("id").asc_nulls_first(), "o", "t")
              .select("id", "t", "r", "edge"))
     schema = T.StructType([
@@ -105,7 +106,7 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
         import pyarrow as pa
         ids, texts, edge, prints = [], [], [], np.zeros((0, samples), np.uint16)
-        for b in batches:
+        for b in pieces(batches):
             new = b.column(1).to_pylist()
             ids, texts, edge = ids + b.column(0).to_pylist(), texts + new, edge + b.column(3).to_pylist()
             prints = np.concatenate([prints, fingerprints(new, samples)])
