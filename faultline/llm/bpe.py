@@ -15,9 +15,11 @@ from itertools import chain
 
 import numpy as np
 
+from faultline.llm.arrow import trim
+
 LETTER, NUMBER, SPACE, OTHER, UNKNOWN = 1, 2, 0, 3, 255
-CHUNK = 1 << 20                   # code points worked on at a time
-CACHE = 1 << 21                   # remembered pre-tokens of one worker, over CHUNK
+CHUNK = 1 << 18                   # code points worked on at a time
+CACHE = 1 << 19                   # remembered pre-tokens of one worker, over CHUNK
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -100,9 +102,10 @@ class ByteBpe:
             except UnicodeDecodeError:
                 pass
         keys = list(texts)
-        ids = [e.ids for e in self.lib.encode_batch(keys, add_special_tokens=False)]
-        self.whole = {k: texts[k] for k, e in zip(keys, ids, strict=True) if e == [texts[k]]}
+        self.whole = {k: texts[k] for k in keys if self.lib.encode(k, add_special_tokens=False).ids == [texts[k]]}
         self.apart = set(texts) - set(self.whole)
+        del spec, pre, model, vocab, merged, ranks, texts, keys
+        trim()
         self.kind = np.full(0x110000, UNKNOWN, np.uint8)
         self.salt = mix(np.arange(1, 0x110001, dtype=np.uint64) * ODD)
         self.pow, self.inv = powers(CHUNK + 1)

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from faultline.llm import shingles
+from faultline.llm.arrow import pieces, trim
 from faultline.llm.bagminhash import packed, signatures
 from faultline.llm.graph import extended
 from faultline.session import cut_lineage
@@ -48,7 +49,7 @@ def _nodes(rows: DataFrame) -> DataFrame:
 
     def sign(batches):
         import pyarrow as pa
-        for b in batches:
+        for b in pieces(batches):
             texts = b.column(2).to_pylist()
             sig = []
             for lo, hi in shingles.chunks(texts):
@@ -76,7 +77,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 
     def check(batches):
         import pyarrow as pa
-        for b in batches:
+        for b in pieces(batches):
             ok = pa.array(shingles.overlap(b.column(2).to_pylist(), b.column(3).to_pylist()) >= threshold)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["a", "b"])
 
@@ -114,6 +115,7 @@ def _by_tile(batches, work):
             held = held.slice(int(edge[-1]))
     if held is not None and held.num_rows:
         yield from work(held)
+    trim()
 
 
 class _Tile:

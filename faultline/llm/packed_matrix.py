@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from faultline.llm.arrow import pieces
+
 
 def best_fit(sizes: list[int], width: int) -> list[list[int]]:
     """Items of each bin: largest first, each into the fullest bin that has room.
@@ -116,17 +118,14 @@ def pack_matrix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], names=schema.names)
 
         held, size, id_type = [], 0, None
-        for b in batches:
+        for b in pieces(batches):
             id_type = b.schema.field(0).type
-            names = b.column(0).to_pylist()
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            for lo in range(0, len(texts), 1024):
-                for d, x in zip(names[lo:lo + 1024], bpe.encode(texts[lo:lo + 1024]), strict=True):
-                    held.append((d, np.concatenate([x, tail])))
-                    size += len(x) + len(tail)
-                    if size >= block:
-                        yield from rows(held, id_type)
-                        held, size = [], 0
+            for d, x in zip(b.column(0).to_pylist(), bpe.encode([t or "" for t in b.column(1).to_pylist()]), strict=True):
+                held.append((d, np.concatenate([x, tail])))
+                size += len(x) + len(tail)
+                if size >= block:
+                    yield from rows(held, id_type)
+                    held, size = [], 0
         if held:
             yield from rows(held, id_type)
 

@@ -6,7 +6,7 @@ import numpy as np
 
 from faultline.llm.bpe import ODD, mix, powers
 
-CHUNK = 1 << 20                   # bytes worked on at a time; a longer text stands alone
+CHUNK = 1 << 19                   # bytes worked on at a time; a longer text stands alone
 _kept: dict[str, np.ndarray] = {}
 
 

@@ -6,7 +6,7 @@ import numpy as np
 
 SIZES = (3, 4, 5)                 # with the word's two borders
 BITS = 18
-CHUNK = 1 << 20                   # code points worked on at a time
+CHUNK = 1 << 19                   # code points worked on at a time
 _table: list[np.ndarray] = []
 
 
