@@ -24,6 +24,23 @@ def test_samples_agree_as_often_as_weights_overlap():
         assert abs(np.mean(got) - np.mean(want)) < 0.02 and max(abs(np.array(got) - want)) < 0.1
 
 
+def test_long_texts_without_a_common_word_are_not_alike():
+    a, b = (" ".join(f"{c}{i}" for i in range(10 ** 6)) for c in "ab")
+    f, g = fingerprints([a, b])
+    assert (f == g).mean() < 0.02
+    own, term = np.repeat([0, 1], 200_000), mix(np.arange(1, 400_001, dtype=np.uint64))
+    f, g = samples(own, term, 1 + np.arange(400_000) % 3, 2)
+    assert (f == g).mean() < 0.02
+
+
+def test_long_texts_agree_as_often_as_they_overlap():
+    term = mix(np.arange(1, 30_001, dtype=np.uint64))
+    own = np.repeat([0, 1], 20_000)
+    for wa, wb in ((1, 1), (2, 5), (7, 7)):
+        f, g = samples(own, np.concatenate([term[:20_000], term[10_000:]]), np.repeat([wa, wb], 20_000), 2, 1024)
+        assert abs((f == g).mean() - min(wa, wb) / (wa + wb + max(wa, wb))) < 0.06
+
+
 def want_rows(rows):
     """Rows in order beside their next one."""
     out = []
