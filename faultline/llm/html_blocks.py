@@ -1,8 +1,11 @@
 """Flat text blocks of HTML pages, and a decision tree that tells article blocks.
 
 Features of a block are its words and the share of them in links, the same of
-the blocks before and after it, and a few facts on where it stands.  The tree
-is trained on ``LABELLED``, a small table of pages given block by block.
+the blocks before and after it, and a few facts on where it stands: in the
+article's element or not, and how far the element named as something else that
+holds it can be believed.  Such a name on what holds nearly all text of a page
+is one of its layout.  The tree is trained on ``LABELLED``, a small table of
+pages given block by block.
 """
 
 from __future__ import annotations
@@ -32,10 +35,12 @@ ASIDE_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising",
                "sharing", "social", "comment", "comments", "commentlist", "discussion", "replies", "reply", "respond", "disqus", "menu", "nav",
                "navbar", "navigation", "breadcrumb", "breadcrumbs", "footer", "masthead", "toolbar", "pagination", "pager", "login", "search",
                "form", "copyright", "disclaimer", "complementary", "contentinfo"}
+SURE_TAGS = ASIDE_TAGS - {"form", "fieldset"} | {"header"}            # a page can stand in one form
+PAGE_TAGS, MAIN_TAGS = {"html", "body"}, {"article", "main"}       # their classes name the layout of the page
 MAIN_WORDS = {"article", "articlebody", "main", "post", "entry", "story"}
 
 # Fixed values, the labelled table: pages as blocks "words/linked words kind", + for article text.
-# kind: m inside the article's element, b inside a part named as something else, h heading.
+# kind: m inside the article's element, b inside a part named as something else, B inside one that wraps the page, h heading.
 LABELLED = [
     "1/1b 1/1b 1/1b 7/0b +12/0mh +60/0m +2/0m +25/0m +8/0m +1/0m 9/0b",
     "1/1 2/2 1/1 8/0 +9/0mh +35/1m +5/0m +90/6m +3/0m 12/0 14/2",
@@ -51,30 +56,96 @@ LABELLED = [
     "6/1 2/2 2/2 5/0h 6/6 7/7 5/0h 8/8 7/6 6/6 5/1",
     "3/0b 2/2 2/2 +5/0mh +3/0m +4/0m 55/0 62/1 47/0 10/0",
     "+15/0",
+    "+1/0",
     "+4/0 +6/0",
     "+6/0h +2/0 +30/0",
     "+3/0h +1/0",
+    "3/0 1/1B 2/2B +8/0Bh +45/0B +60/3B +12/0B +38/1B 30/0b 25/0b 4/4B 6/0",
+    "1/1B 1/1B +6/0Bh +28/0B +90/4B 5/5B 6/6B 3/0B",
+    "2/0 +7/0Bh +20/0B +55/0B 12/0b 40/0b 35/1b 3/2B",
+    "+5/0h +40/0 +30/0 60/0b 45/0b 50/1b 80/0b 65/0b 70/2b 30/0b",
+    "2/2 +9/0h +35/0 +50/2 40/0b 90/0b 120/0b 75/0b 60/1b 85/0b 70/0b 44/0b 21/0b 10/0b 35/0b",
 ]
 
 
-def _facts(tag: str, attrs: str, main: bool, aside: bool) -> tuple[bool, bool]:
-    """Whether what stands in this element is in the article's element, and in a part named as something else."""
-    words = set()
+def _facts(tag: str, attrs: str, main: bool) -> tuple[int, int]:
+    """Whether this element is the article's (1 by its name, 2 by its tag), and whether it is another part (1 by its name, 2 for sure)."""
+    words, hidden = set(), False
     if attrs and ("=" in attrs or "hidden" in attrs):
         for name, *v in NAMED.findall(attrs):
             value = v[0] or v[1] or v[2]
             if name.lower() in ("hidden", "aria-hidden"):
-                aside |= value.lower() != "false"
+                hidden |= value.lower() != "false"
             else:
                 words.update(x.lower() for x in PIECES.findall(value))
-    aside = aside or tag in ASIDE_TAGS or bool(words & ASIDE_WORDS) or (not main and (tag == "header" or "header" in words))
-    return main or tag in ("article", "main") or bool(words & MAIN_WORDS), aside
+    if tag in PAGE_TAGS:
+        return 0, 0
+    if tag in MAIN_TAGS:
+        return 2, 2 * hidden
+    sure = hidden or (tag in SURE_TAGS and not (main and tag == "header"))
+    named = tag in ASIDE_TAGS or bool(words & ASIDE_WORDS) or (not main and "header" in words)
+    return int(bool(words & MAIN_WORDS)), 2 if sure else int(named)
 
 
-def blocks(html: str) -> list[tuple[str, int, int, bool, bool, bool]]:
-    """(text, words, words in links, in the article's element, in another part, heading) in the order of the page."""
+def place(page: list[tuple]) -> list[tuple[int, int, bool, int, float]]:
+    """(words, linked words, heading, place, mark) of the blocks of a page.
+
+    They are given as (words, linked words, heading, the article's elements
+    around them, other parts around them), each element as (number, 1 or 2 as
+    in ``_facts``, numbers of the other parts around it), outermost first.
+
+    Place: 2 in the article's element, 0 outside it, 1 where that says nothing.
+    Mark: 0 in a part that is something else for sure, 1 in none, else the
+    share of the innermost part in the unlinked words that are its own or of no
+    part but those around it; 0 beside a part of more words.
+    """
+    own, whole, held, total = {}, {}, {}, 0
+    for words, linked, heading, mains, parts in page:
+        free = words - linked
+        total += free
+        if any(kind == 2 for _, kind, _ in parts):
+            continue
+        n = parts[-1][0] if parts else 0
+        own[n] = own.get(n, 0) + free
+        for part in parts:
+            whole[part[0]] = whole.get(part[0], 0) + free
+        for m in mains:
+            if m[1] == 2:
+                held[m] = held.get(m, 0) + free
+    # Parts around the article's element are layout: the largest one that stands in no part, or holds half of the page.
+    best = max((m for m in held if not m[2]), key=held.get, default=None) or max(held, key=held.get, default=None)
+    layout = set(best[2]) if best and (not best[2] or 2 * held[best] >= total) else set()
+    around = {part[0]: tuple(x[0] for x in parts[:i]) for *_, parts in page for i, part in enumerate(parts)}
+    most, mark = {}, {}
+    for n, a in around.items():
+        most[a] = max(most.get(a, 0), whole.get(n, 0))
+    for n, a in around.items():
+        free = own.get(n, 0)
+        rest = own.get(0, 0) + sum(own.get(x, 0) for x in a)
+        mark[n] = 1.0 if n in layout else free / max(free + rest, 1) if whole.get(n, 0) == most[a] else 0.0
+    marks = [0.0 if any(kind == 2 for _, kind, _ in parts) else mark[parts[-1][0]] if parts else 1.0 for *_, parts in page]
+    # The article's element tells what is outside it if it holds most text, or is the only one by its tag and more than a heading.
+    inside = outside = 0
+    ones, body = set(), False
+    for (words, linked, heading, mains, parts), k in zip(page, marks, strict=True):
+        if k < 0.5:
+            continue
+        if mains:
+            inside += words - linked
+            ones.add(mains[0][:2])
+            body |= not heading
+        else:
+            outside += words - linked
+    tells = bool(ones) and (inside >= outside or (body and len(ones) == 1 and all(kind == 2 for _, kind in ones)))
+    return [(words, linked, heading, 2 if mains else 0 if tells else 1, k)
+            for (words, linked, heading, mains, _), k in zip(page, marks, strict=True)]
+
+
+def blocks(html: str) -> list[tuple]:
+    """(text, words, words in links, heading, the article's elements around it, other parts around it) in the order of the page."""
     out, text, linked = [], [], [0]
-    stack: list[tuple[str, bool, bool]] = []
+    stack: list[tuple[str, tuple, tuple]] = []
+    count = 0
     heading = link = False
     link_text: list[str] = []
 
@@ -88,8 +159,7 @@ def blocks(html: str) -> list[tuple[str, int, int, bool, bool, bool]]:
         if text:
             words = unescape("".join(text)).split()
             if words:
-                _, main, aside = stack[-1] if stack else ("", False, False)
-                out.append((" ".join(words), len(words), min(linked[0], len(words)), main, aside, heading))
+                out.append((" ".join(words), len(words), min(linked[0], len(words)), heading, *(stack[-1][1:] if stack else ((), ()))))
             text.clear()
         linked[0] = 0
 
@@ -134,25 +204,25 @@ def blocks(html: str) -> list[tuple[str, int, int, bool, bool, bool]]:
                 while stack and stack[-1][0] in CLOSES_ITSELF.get(tag, {"p"}):
                     stack.pop()
                 if not attrs.endswith("/") or tag not in ("p", "div", "li"):
-                    _, main, aside = stack[-1] if stack else ("", False, False)
-                    stack.append((tag, *_facts(tag, attrs, main, aside)))
+                    _, mains, parts = stack[-1] if stack else ("", (), ())
+                    main, part = _facts(tag, attrs, bool(mains))
+                    count += 1
+                    if main:
+                        mains = (*mains, (count, main, tuple(x[0] for x in parts)))
+                    if part:
+                        parts = (*parts, (count, part, ()))
+                    stack.append((tag, mains, parts))
     flush()
     return out
 
 
 def features(page: list[tuple]) -> np.ndarray:
-    """One row for each (words, linked words, main, aside, heading).
-
-    The last feature, the block's place, is 0 in a part named as something else
-    or outside the article's element, 2 inside it, 1 on a page without one.
-    """
-    x = np.array(page, float).reshape(-1, 5)
+    """One row for each block of a page, given as to ``place``."""
+    x = np.array(place(page), float).reshape(-1, 5)
     own = np.stack([x[:, 0], x[:, 1] / np.maximum(x[:, 0], 1)], 1)
     edge = np.zeros((1, 2))
     before, after = np.concatenate([edge, own])[:len(x)], np.concatenate([own, edge])[1:]
-    main = x[:, 2] > x[:, 3]
-    place = np.where(x[:, 3] > 0, 0, np.where(main, 2, 0 if main.any() else 1))
-    return np.column_stack([own, before, after, x[:, 4], place])
+    return np.column_stack([own, before, after, x[:, 2:]])
 
 
 def grow(x: np.ndarray, y: np.ndarray, depth: int = 8):
@@ -188,10 +258,13 @@ def share(tree, x: np.ndarray) -> np.ndarray:
 def labelled() -> tuple[np.ndarray, np.ndarray]:
     xs, ys = [], []
     for line in LABELLED:
-        page = []
+        page, last = [], 2
         for b in line.split():
-            w, linked, kind = re.fullmatch(r"\+?(\d+)/(\d+)([mbh]*)", b).groups()
-            page.append((int(w), int(linked), "m" in kind, "b" in kind, "h" in kind))
+            w, linked, kind = re.fullmatch(r"\+?(\d+)/(\d+)([mbBh]*)", b).groups()
+            parts = ((2, 1, ()),) if "B" in line else ()         # neighbours of kind b are in one part
+            last = last if "b" in kind else last + 1
+            page.append((int(w), int(linked), "h" in kind, ((1, 2, ()),) if "m" in kind else (),
+                         (*parts, (last + 2, 1, ())) if "b" in kind else parts if "B" in kind else ()))
             ys.append(b[0] == "+")
         xs.append(features(page))
     return np.concatenate(xs), np.array(ys, float)
@@ -205,7 +278,7 @@ def tree():
 def main_texts(pages: list[str]) -> list[str]:
     """The article's text of each page."""
     found = [blocks(p) for p in pages]
-    x = np.concatenate([np.zeros((0, 8)), *[features([b[1:] for b in f]) for f in found if f]])
+    x = np.concatenate([np.zeros((0, 9)), *[features([b[1:] for b in f]) for f in found if f]])
     keep = share(tree(), x) >= 0.5
     out, at = [], 0
     for f in found:

@@ -25,6 +25,30 @@ def test_cases(page, want):
     assert html_blocks.main_texts([page]) == [want]
 
 
+NAV = "<ul class=menu><li><a href=a>Home</a><li><a href=b>About us</a></ul>"
+BODY = f"<h1>Some title</h1><p>{LONG}</p><p>{LONG} {LONG}</p><p>{LONG}</p>"
+SIDE = f"<div class=sidebar><p>{LONG}</p><p>{LONG}</p></div>"
+TEXT = f"Some title {LONG} {LONG} {LONG} {LONG}"
+
+
+@pytest.mark.parametrize("page", [
+    f"<body class='has-sidebar'>{NAV}<article>{BODY}</article>{SIDE}</body>",
+    f"<body class='home has-sidebar sticky-header'>{NAV}<div id=x>{BODY}</div>{SIDE}</body>",
+    f"<html class='no-cookie-notice'><body>{NAV}<main class='with-sidebar'>{BODY}</main>{SIDE}</body>",
+    f"<div class='right-sidebar single-post'>{NAV}<article>{BODY}</article>{SIDE}</div>",
+    f"<div class='right-sidebar single-post'>{NAV}{BODY}{SIDE}</div>",
+    f"<div class='sticky-header'>{NAV}<div>{BODY}</div>{SIDE}</div>",
+    f"<body><form action=/ method=post>{NAV}<div>{BODY}</div>{SIDE}</form></body>",
+    f"<body><form action=/ method=post><div class='layout-sidebar'>{NAV}<article>{BODY}</article>{SIDE}</div></form></body>",
+    f"<body>{NAV}<div>{BODY.replace('<h1>', '<h1 class=post-title>')}</div>{SIDE}</body>",
+    f"<body>{NAV}<div>{BODY}</div><div id=comments>{f'<p>{LONG}</p>' * 9}</div></body>",
+    f"<body>{NAV}<article>{BODY}</article><ol class=comment-list>{f'<li><article>{LONG} {LONG}</article>' * 9}</ol></body>",
+    f"<body>{NAV}<article>{BODY}</article><form>{f'<p>{LONG}</p>' * 99}</form><div hidden>{f'<p>{LONG}</p>' * 99}</div></body>",
+])
+def test_names_of_the_layout_do_not_hide_the_article(page):
+    assert html_blocks.main_texts([page]) == [TEXT]
+
+
 def test_tree_fits_its_table():
     x, y = html_blocks.labelled()
     assert ((html_blocks.share(html_blocks.tree(), x) >= 0.5) == (y > 0)).all()
