@@ -55,6 +55,9 @@ LABELLED = [
     "2/0b +14/0mh +200/0m +7/0m +15/15m +30/2m 50/0b 70/0b 8/8b 3/0b",
     "6/1 2/2 2/2 5/0h 6/6 7/7 5/0h 8/8 7/6 6/6 5/1",
     "3/0b 2/2 2/2 +5/0mh +3/0m +4/0m 55/0 62/1 47/0 10/0",
+    "1/1 1/1 2/2 +4/0h +12/2 +40/6 +55/12 +30/4 +24/9 8/8 6/6 9/2 5/0",
+    "1/1 4/4 +8/0h +27/0 +60/23 +19/5 +18/0 6/6 14/2",
+    "3/3 +6/0h +24/0 +34/4 +52/19 8/8 2/2",
     "+15/0",
     "+1/0",
     "+4/0 +6/0",

@@ -49,6 +49,18 @@ def test_names_of_the_layout_do_not_hide_the_article(page):
     assert html_blocks.main_texts([page]) == [TEXT]
 
 
+@pytest.mark.parametrize("linked", [(4, 4, 4), (6, 3, 9), (0, 8, 5), (2, 16, 12), (16, 10, 4)])
+@pytest.mark.parametrize("words", [(12, 40, 30), (24, 60, 41), (27, 45, 90), (40, 40, 40)])
+@pytest.mark.parametrize("title", ["Cat", "A somewhat longer title of the page"])
+def test_linked_paragraphs_and_titles_after_menus_are_kept(linked, words, title):
+    linked = [max(0, min(k, n * 2 // 5)) for k, n in zip(linked, words, strict=True)]
+    text = [" ".join(f"w{i}" for i in range(n)) for n in words]
+    paras = "".join(f"<p><a href=x>{' '.join(t.split()[:k])}</a> {' '.join(t.split()[k:])}</p>" for t, k in zip(text, linked, strict=True))
+    menu, foot = (f"<ul>{''.join(f'<li><a href=a>{x}</a>' for x in xs)}</ul>" for xs in (["Home", "About us", "All pages"], ["Some other page", "Next one"]))
+    page = f"<body><div id=top>{menu}</div><div id=content><h1>{title}</h1>{paras}</div><div>{foot}</div></body>"
+    assert html_blocks.main_texts([page]) == [" ".join([title, *text])]
+
+
 def test_tree_fits_its_table():
     x, y = html_blocks.labelled()
     assert ((html_blocks.share(html_blocks.tree(), x) >= 0.5) == (y > 0)).all()
