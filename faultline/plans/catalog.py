@@ -500,6 +500,7 @@ from faultline.schema import BEST_STRATA_P  # noqa: E402
 # ensemble by ``sampling.estimators_proxy`` (about 280 there) or takes 200; the queries
 # take any number as ``bags``.
 ENSEMBLE_BAGS = 3
+FINAL_BAGS, FINAL_ROUNDS = 200, 20     # of the study's final model
 
 
 def model_table(spark, sf_dir, num_transform: bool = False):
@@ -599,18 +600,19 @@ def q_param_marginals(spark, sf_dir):
 
 
 @query
-def q_ablation_table(spark, sf_dir):
-    """L18 + L19: leave-one-feature-out scores against the full model, melted."""
+def q_ablation_table(spark, sf_dir, bags=FINAL_BAGS, rounds=FINAL_ROUNDS):
+    """L18 + L19: leave-one-feature-out scores against the final boosted ensemble at its best threshold, melted."""
     prep, feats = model_table(spark, sf_dir, False)
     train, test = prep.where(F.col("split") == "train"), prep.where(F.col("split") == "test")
-    counts = sampling.undersample_counts(train, "strt", STRATA_P)
-    kw = {"bags": 1, "base": "logistic", "class_weight": STRATA_P}
+    counts = sampling.undersample_counts(train, "strt", BEST_STRATA_P)
+    kw = {"bags": bags, "base": "boost", "class_weight": BEST_STRATA_P, "depth": 30, "max_features": "0.5", "rounds": rounds}
     nums = [c for c in feats if "_" not in c]
-    members = ensemble.bag_table(train, "strt", counts, kw["bags"], RANDOM_STATE)
+    members = ensemble.bag_table(train, "strt", counts, bags, RANDOM_STATE)
     full = ensemble.fit_bagged(train, feats, "strt", "strt", counts, seed=RANDOM_STATE, members=members, **kw)
-    pr = ensemble.predict_bagged(full, test, ["strt"]).withColumn("y", (F.col("strt") == 2).cast("int"))
-    base = evaluate.with_rates(evaluate.confusion(pr, "y", "p2", 0.5)).first().asDict()
-    ab = ensemble.ablation(train, test, nums, kw, counts, 0.5, RANDOM_STATE, members=members)
+    pr = cut_lineage(ensemble.predict_bagged(full, test, ["strt"]).withColumn("y", (F.col("strt") == 2).cast("int")))
+    _, best, conf = evaluate.pr_report(pr, "y", "p2")
+    base = evaluate.with_rates(conf).first().asDict()
+    ab = ensemble.ablation(train, test, nums, kw, counts, best if best is not None else float("inf"), RANDOM_STATE, members=members)
     return evaluate.ablation_vs_baseline(ab, base)
 
 
