@@ -496,10 +496,9 @@ def q_threshold_sweep(spark, sf_dir):
 from faultline.operators import ensemble  # noqa: E402
 from faultline.schema import BEST_STRATA_P  # noqa: E402
 
-# Budget of the registered model queries: bags of each ensemble.  The study sizes an
-# ensemble by ``sampling.estimators_proxy`` (about 280 there) or takes 200; the queries
-# take any number as ``bags``.
-ENSEMBLE_BAGS = 3
+# Bags of an ensemble: None sizes it by ``sampling.estimators_proxy``, as the study does
+# (about 280 there), but for its final model; the queries take any number as ``bags``.
+ENSEMBLE_BAGS = None
 FINAL_BAGS, FINAL_ROUNDS = 200, 20     # of the study's final model
 
 
@@ -515,10 +514,18 @@ def model_table(spark, sf_dir, num_transform: bool = False):
     return prep, model_features(schema, pschema, num_transform)
 
 
+def proxy_bags(prep, train, strata_p=STRATA_P):
+    """M6: bags of an ensemble, at least one."""
+    full, counts = (sampling.undersample_counts(x, "strt", strata_p) for x in (prep, train))
+    est = sampling.estimators_proxy(full, counts, "strt", 1).first()
+    return max(1, est["estimators"] or 1) if est else 1
+
+
 def _strata_fit_predict(spark, sf_dir, base, strata_p, num_transform=False, bags=ENSEMBLE_BAGS, **kw):
     prep, feats = model_table(spark, sf_dir, num_transform)
     train, test = prep.where(F.col("split") == "train"), prep.where(F.col("split") == "test")
     counts = sampling.undersample_counts(train, "strt", strata_p)
+    bags = proxy_bags(prep, train) if bags is None else bags
     ens = ensemble.fit_bagged(train, feats, "strt", "strt", counts, bags, RANDOM_STATE,
                               base=base, class_weight=strata_p, **kw)
     pr = ensemble.predict_bagged(ens, test, ["device", "date", "strt", "failure"])
@@ -530,6 +537,7 @@ def _ratio_fit_predict(spark, sf_dir, base, num_transform=False, bags=ENSEMBLE_B
     prep, feats = model_table(spark, sf_dir, num_transform)
     train, test = prep.where(F.col("split") == "train"), prep.where(F.col("split") == "test")
     counts = sampling.ratio_counts(train, "failure", 0.3).withColumnRenamed("failure", "strt_y")
+    bags = proxy_bags(prep, train) if bags is None else bags
     t2 = train.withColumn("strt_y", F.col("failure"))
     ens = ensemble.fit_bagged(t2, feats, "failure", "strt_y", counts.select("strt_y", "n_rows", "n"),
                               bags, RANDOM_STATE, base=base, class_weight={0: 0.7, 1: 0.3}, n_classes=2, **kw)
@@ -562,13 +570,13 @@ def q_bag_forest_ratio(spark, sf_dir, bags=ENSEMBLE_BAGS, depth=30):
 
 
 @query
-def q_bag_boost(spark, sf_dir, bags=ENSEMBLE_BAGS, rounds=10):
-    """L4 + L5: bagging of SAMME-boosted trees with the final configuration's strata (the final model has 20 rounds)."""
+def q_bag_boost(spark, sf_dir, bags=FINAL_BAGS, rounds=FINAL_ROUNDS):
+    """L4 + L5: bagging of SAMME-boosted trees with the final configuration's strata, bags and rounds."""
     return _strata_fit_predict(spark, sf_dir, "boost", BEST_STRATA_P, bags=bags, depth=30, max_features="0.5", rounds=rounds)
 
 
 @query
-def q_bag_boost_ratio(spark, sf_dir, bags=ENSEMBLE_BAGS, rounds=10):
+def q_bag_boost_ratio(spark, sf_dir, bags=ENSEMBLE_BAGS, rounds=FINAL_ROUNDS):
     """L4, sixth candidate: binary bagging of boosted trees on 30 % failure under-samples."""
     return _ratio_fit_predict(spark, sf_dir, "boost", bags=bags, depth=30, max_features="0.5", rounds=rounds)
 
@@ -578,10 +586,11 @@ SEARCH_GRID = {"class_weight": [{"0": 0.1, "1": 0.6, "2": 0.3}, {"0": 0.05, "1":
 SEARCH_SCHEMA = "class_weight map<string,double>, depth int, max_features string"
 
 
-def search_results(spark, sf_dir, draws=2, folds=2, bags=2):
-    """The study draws 500 and 750 configurations and has 5 folds; ``draws``, ``folds`` and ``bags`` are the budget."""
+def search_results(spark, sf_dir, draws=500, folds=5, bags=ENSEMBLE_BAGS):
+    """Up to ``draws`` configurations, as the study's first search: all of the registered grid, which is smaller."""
     prep, feats = model_table(spark, sf_dir, False)
     train = prep.where(F.col("split") == "train")
+    bags = proxy_bags(prep, train) if bags is None else bags
     return ensemble.random_search(train, feats, SEARCH_GRID, n_iter=draws, folds=folds, seed=RANDOM_STATE,
                                   fit_kwargs={"bags": bags, "base": "forest", "class_weight": STRATA_P})
 
