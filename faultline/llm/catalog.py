@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from faultline.llm import licenses, mixing
+from faultline.llm.conversation_repair import damage, repair_conversations
 from faultline.llm.embedding_dedup import near_embeddings
 from faultline.llm.fingerprints import compare_with_next
 from faultline.llm.html_text import extract_text
@@ -61,7 +62,11 @@ def op10_html_extraction(spark, sf_dir):
     return extract_text(read_table(spark, sf_dir, "pages"))
 
 
+def op11_conversation_repair(spark, sf_dir):
+    return repair_conversations(damage(read_table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_license_scan, op3_source_mixing, op4_token_counts,
                                    op5_toxicity, op6_packing, op7_packed_matrix, op8_fingerprints,
-                                   op9_embedding_near_dedup, op10_html_extraction)}
+                                   op9_embedding_near_dedup, op10_html_extraction, op11_conversation_repair)}
 ORACLE: dict[str, str] = {"op2_license_scan": licenses.sql(), "op3_source_mixing": mixing.SQL}
