@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from faultline.llm import licenses, mixing
 from faultline.llm.conversation_repair import damage, repair_conversations
+from faultline.llm.conversation_trie import conversation_paths, prefix_trie, rebuilt
 from faultline.llm.embedding_dedup import near_embeddings
 from faultline.llm.fingerprints import compare_with_next
 from faultline.llm.html_text import extract_text
 from faultline.llm.near_dedup import near_duplicates
+from faultline.llm.nearest import nearest
 from faultline.llm.packed_matrix import pack_matrix
 from faultline.llm.packing import pack_concat
 from faultline.llm.token_counts import count_tokens
@@ -66,7 +68,16 @@ def op11_conversation_repair(spark, sf_dir):
     return repair_conversations(damage(read_table(spark, sf_dir, "conversations")))
 
 
+def op12_conversation_trie(spark, sf_dir):
+    return prefix_trie(rebuilt(conversation_paths(read_table(spark, sf_dir, "conversations"))))
+
+
+def op13_nearest_neighbours(spark, sf_dir):
+    return nearest(read_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_license_scan, op3_source_mixing, op4_token_counts,
                                    op5_toxicity, op6_packing, op7_packed_matrix, op8_fingerprints,
-                                   op9_embedding_near_dedup, op10_html_extraction, op11_conversation_repair)}
+                                   op9_embedding_near_dedup, op10_html_extraction, op11_conversation_repair,
+                                   op12_conversation_trie, op13_nearest_neighbours)}
 ORACLE: dict[str, str] = {"op2_license_scan": licenses.sql(), "op3_source_mixing": mixing.SQL}
