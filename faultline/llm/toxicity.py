@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from faultline.llm import subwords
-from faultline.llm.arrow import pieces
+from faultline.llm.arrow import pieces, trim
 
-SAMPLE = (3000, 1000)             # labelled rows of class 0 and 1 that are learnt from, at most
+SAMPLE = (4500, 1500)             # labelled rows of class 0 and 1 that are learnt from, at most
 
 
 @dataclass
@@ -40,77 +40,119 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+@dataclass
+class Bags:
+    """Labelled rows as flat arrays: row i has label ``y[i]`` and the buckets ``start[i]`` to ``start[i + 1]``."""
+
+    y: np.ndarray
+    start: np.ndarray
+    bucket: np.ndarray
+    count: np.ndarray
+    order: np.ndarray             # one order of the rows, however they arrived
+
+    @staticmethod
+    def of(rows: list) -> "Bags":
+        """From a list of (label, buckets, counts)."""
+        size = [len(b) for _, b, _ in rows]
+        flat = [np.concatenate([np.asarray(r[k]) for r in rows]) if rows else np.empty(0) for k in (1, 2)]
+        return Bags(np.array([r[0] for r in rows], np.int64), np.append(0, np.cumsum(size)).astype(np.int64),
+                    flat[0].astype(np.int32), flat[1].astype(np.uint16), np.arange(len(rows)))
+
+    def row(self, i: int) -> slice:
+        return slice(self.start[i], self.start[i + 1])
+
+
 def labelled_bags(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str,
-                  sample: tuple[int, int]) -> list:
-    """At most ``sample[y]`` rows of class y, in the order of a hash of the id: (label, buckets, counts).
+                  sample: tuple[int, int]) -> Bags:
+    """At most ``sample[y]`` rows of class y, in the order of a hash of the id.
 
     The ids are chosen from the labels alone (a top-k), so only that many rows,
-    a bounded number, are broadcast, and only their bags come to the driver.
+    a bounded number, are broadcast.  Of the rows of one id one is learnt from, that of
+    the least bag by hash, so only ``sum(sample)`` bags come to the driver.
     """
     own = labels.where(~held_out(id_col) & F.col(id_col).isNotNull())
     order = (F.xxhash64(id_col), F.col(id_col))
     some = [own.where(F.col(label_col) == y).select(id_col, F.lit(y).alias("__y")).distinct().orderBy(*order).limit(sample[y])
             for y in (0, 1)]
     chosen = some[0].unionByName(some[1])
-    rows = (docs.select(id_col, F.coalesce(text_col, F.lit("")).alias("__t"))
-            .join(F.broadcast(chosen), id_col).select("__y", "__t"))
+    rows = (docs.select(F.col(id_col).alias("__id"), F.coalesce(text_col, F.lit("")).alias("__t"))
+            .join(F.broadcast(chosen.select(F.col(id_col).alias("__id"), "__y")), "__id").select("__id", "__y", "__t"))
 
     def bags(batches):
+        import hashlib
+
         import pyarrow as pa
-        for b in batches:
-            got = [subwords.bag(t) for t in b.column(1).to_pylist()]
+        for b in pieces(batches):
+            got = [subwords.bag(t) for t in b.column(2).to_pylist()]
+            own = [(x.astype("<i4").tobytes(), np.minimum(c, 65535).astype("<u2").tobytes()) for x, c in got]
             yield pa.RecordBatch.from_arrays([
-                b.column(0), pa.array([x.astype("<i4").tobytes() for x, _ in got], pa.binary()),
-                pa.array([np.minimum(c, 65535).astype("<u2").tobytes() for _, c in got], pa.binary())], names=["y", "b", "c"])
+                b.column(0), b.column(1), pa.array([hashlib.sha256(x + c).digest() for x, c in own], pa.binary()),
+                pa.array([x for x, _ in own], pa.binary()), pa.array([c for _, c in own], pa.binary())], names=["id", "y", "k", "b", "c"])
+
+    bag_type = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("y", T.IntegerType()),
+                             *[T.StructField(n, T.BinaryType()) for n in "kbc"]])
+    one = rows.mapInArrow(bags, bag_type).groupBy("id", "y").agg(F.min(F.struct("k", "b", "c")).alias("m"))
+    table = one.select("y", "m.k", "m.b", "m.c").toArrow().combine_chunks()
+    if not table.num_rows:
+        return Bags.of([])
+
+    def flat(name, kind):
+        import pyarrow as pa
+        column = table.column(name).chunk(0).cast(pa.large_binary())
+        at = np.frombuffer(column.buffers()[1], "<i8")[column.offset:column.offset + len(column) + 1]
+        return np.frombuffer(column.buffers()[2], np.uint8)[at[0]:at[-1]].view(kind), (at - at[0]) // np.dtype(kind).itemsize
 
-    out = rows.mapInArrow(bags, T.StructType([
-        T.StructField("y", T.IntegerType()), T.StructField("b", T.BinaryType()), T.StructField("c", T.BinaryType())])).collect()
-    out = sorted((r.y, bytes(r.b), bytes(r.c)) for r in out)      # one order, however the tasks ended
-    return [(y, np.frombuffer(b, "<i4"), np.frombuffer(c, "<u2")) for y, b, c in out]
+    y = table.column("y").to_numpy().astype(np.int64)
+    key = np.array([k[:8] for k in table.column("k").to_pylist()], "S8")
+    (bucket, start), (count, _) = flat("b", "<i4"), flat("c", "<u2")
+    return Bags(y, start, bucket, count, np.lexsort((key, y)))
 
 
-def train(bags: list, prior: float | None = None, dim: int = 4, steps: int = 400, rate: float = 0.1, gain: float = 50.0,
+def train(bags: Bags | list, prior: float | None = None, dim: int = 4, steps: int = 400, rate: float = 0.1, gain: float = 50.0,
           least: int = 5, decay: float = 5e-5, batch: int = 256, seed: int = 7) -> ToxicityModel:
     """Joint Adagrad on the vectors and the softmax.
 
     ``steps`` minibatches are seen at least, in whole epochs.  N-grams in fewer than ``least`` of the rows get no vector.  ``prior`` is the
     share of label 1 among all labelled rows; the sample's own is corrected to it.
     """
+    bags = bags if isinstance(bags, Bags) else Bags.of(bags)
     n_bucket = 1 << subwords.BITS
     weight = np.zeros(n_bucket, np.float32)
-    y = np.array([r[0] for r in bags], np.int64)
-    pos = float(y.mean()) if len(y) else 0.0
+    pos = float(bags.y.mean()) if len(bags.y) else 0.0
     prior = pos if prior is None else prior
     odds = np.log(max(prior, 1e-4) / max(1 - prior, 1e-4))
     if not 0 < pos < 1:
         return ToxicityModel(weight, float(odds))
     rng = np.random.default_rng(seed)
-    seen = np.zeros(n_bucket, np.int64)
-    for _, b, _ in bags:
-        seen[b] += 1
-    kept = np.flatnonzero(seen >= least)
+    kept = np.flatnonzero(np.bincount(bags.bucket, minlength=n_bucket) >= least)
     place = np.full(n_bucket, -1, np.int32)
     place[kept] = np.arange(len(kept))
+    # A batch is kept once, in the order of its n-grams: the n-grams, where each begins, and rows and shares.
     sets = []
-    order = rng.permutation(len(bags))
+    order = bags.order[rng.permutation(len(bags.order))]
     for lo in range(0, len(order), batch):
-        col, row, val = [], [], []
         own = order[lo:lo + batch]
+        col, row, val = [], [], []
         for k, i in enumerate(own):
-            _, b, c = bags[i]
-            p, share = place[b], c * np.float32(gain / max(c.sum(dtype=np.int64), 1))
-            col.append(p[p >= 0]), val.append(share[p >= 0]), row.append(np.full((p >= 0).sum(), k, np.int32))
-        col, row, val = np.concatenate(col), np.concatenate(row), np.concatenate(val)
-        by = np.argsort(col, kind="stable").astype(np.int32)
-        edge = np.flatnonzero(np.append(True, col[by][1:] != col[by][:-1])) if len(col) else np.empty(0, np.int64)
-        sets.append((col, row, val, by, edge, col[by][edge], y[own], len(own)))
+            c = bags.count[bags.row(i)]
+            p = place[bags.bucket[bags.row(i)]]
+            col.append(p[p >= 0])
+            val.append((c * np.float32(gain / max(c.sum(dtype=np.int64), 1)))[p >= 0])
+            row.append(np.full(len(col[-1]), k, np.uint16))
+        col = np.concatenate(col)
+        by = np.argsort(col, kind="stable")
+        col = col[by]
+        edge = np.flatnonzero(np.append(True, col[1:] != col[:-1])) if len(col) else np.empty(0, np.int64)
+        sets.append((col[edge], np.append(edge, len(col)), np.concatenate(row)[by], np.concatenate(val)[by], bags.y[own]))
+    del bags
     vec = rng.normal(0, 0.01, (len(kept), dim)).astype(np.float32)
     soft, bias = rng.normal(0, 0.5, (dim, 2)).astype(np.float32), np.zeros(2, np.float32)
     sq_vec, sq_soft, sq_bias = np.full((len(kept), dim), 1e-8, np.float32), np.full((dim, 2), 1e-8), np.full(2, 1e-8)
     for _ in range(-(-steps // len(sets))):
         for k in rng.permutation(len(sets)):
-            col, row, val, by, edge, cols, want, m = sets[k]
-            mean = np.stack([np.bincount(row, val * vec[col, d], m) for d in range(dim)], 1)
+            cols, edge, row, val, want = sets[k]
+            m, here = len(want), vec[cols]
+            mean = np.stack([np.bincount(row, val * np.repeat(here[:, d], np.diff(edge)), m) for d in range(dim)], 1)
             z = mean @ soft + bias
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
@@ -118,8 +160,8 @@ def train(bags: list, prior: float | None = None, dim: int = 4, steps: int = 400
             p /= m
             back = (p @ soft.T).astype(np.float32)
             if len(cols):
-                g = np.add.reduceat(val[by, None] * back[row[by]], edge)
-                g += np.float32(decay) * vec[cols]
+                g = np.stack([np.add.reduceat(val * back[row, d], edge[:-1]) for d in range(dim)], 1)
+                g += np.float32(decay) * here
                 sq_vec[cols] += g * g
                 vec[cols] -= np.float32(rate) * g / np.sqrt(sq_vec[cols])
             g = mean.T @ p
@@ -129,6 +171,8 @@ def train(bags: list, prior: float | None = None, dim: int = 4, steps: int = 400
             sq_bias += g * g
             bias -= (rate * g / np.sqrt(sq_bias)).astype(np.float32)
     weight[kept] = gain * (vec @ (soft[:, 1] - soft[:, 0]))
+    del sets
+    trim()
     return ToxicityModel(weight, float(bias[1] - bias[0] + odds - np.log(pos / (1 - pos))))
 
 

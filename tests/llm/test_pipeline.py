@@ -62,3 +62,14 @@ def test_odd_rows_go_through(spark, tmp_path):
             cur.write.parquet(f"{at}/{i}")
             cur = spark.read.parquet(f"{at}/{i}")
         assert (cur.count() > 0) == (name == "some")
+
+
+def test_near_copies_go_by_row(spark):
+    a = " ".join(f"w{i}" for i in range(60))
+    near, other = a + " more", " ".join(f"v{i}" for i in range(60))
+    rows = [(1, a, "x"), (2, a, "x"), (2, other, "x"), (3, near, "x"), (None, other, "y"), (None, "lone text", "y"), (None, "lone text", "z"), (7, "own", "x"), (7, "own", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string").repartition(3)
+    got = cp.drop_near_copies(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted((str(r.doc_id), r.text) for r in got.collect()) == sorted([("1", a), ("2", other), ("None", "lone text"), ("7", "own")])
+    assert cp.drop_near_copies(spark, docs.where("false"), "").count() == 0

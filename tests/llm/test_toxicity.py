@@ -8,7 +8,7 @@ import pytest
 from conftest import SF01
 from faultline.llm import subwords
 from faultline.llm.catalog import op5_toxicity
-from faultline.llm.toxicity import fit_toxicity, score_toxicity, train
+from faultline.llm.toxicity import fit_toxicity, labelled_bags, score_toxicity, train
 
 
 def auc(score, y):
@@ -84,3 +84,77 @@ def test_edges(spark, planted):
     assert len({r.score for r in score_toxicity(odd.where("doc_id IS NULL OR doc_id < 3"), full).collect()}) == 1
     assert score_toxicity(odd.where("false"), full).count() == 0
     assert train([]).score([""]).shape == (1,)
+
+
+def test_one_row_of_an_id_is_learnt_from(spark, planted):
+    docs, labels, _ = planted
+    again = docs.unionByName(docs.where("doc_id < 3")).unionByName(docs.where("doc_id = 5"))
+    some, more = (labelled_bags(d, labels, "doc_id", "text", "toxic", (50, 20)) for d in (docs, again))
+    assert len(some.y) == len(more.y) == 70 and some.y.sum() == more.y.sum() == 20
+    many = docs.selectExpr("doc_id", "text", "explode(sequence(1, 40)) AS n").selectExpr("doc_id", "concat(text, ' ', n) AS text")
+    assert len(labelled_bags(many, labels, "doc_id", "text", "toxic", (50, 20)).y) == 70
+
+
+def plain_bag(text):
+    """Character n-grams of a text's words, with borders, without the library's arrays."""
+    out, word = [], ""
+    for ch in text + " ":
+        if ch.isalnum():
+            low = ch.lower()
+            word += low if len(low) == 1 else ch
+        elif word:
+            w = "\0" + word + "\0"
+            out += [w[i:i + n] for n in subwords.SIZES for i in range(len(w) - n + 1)]
+            word = ""
+    return out
+
+
+def plain_bucket(gram):
+    n, h = len(gram), 0
+    for k, ch in enumerate(gram):
+        h = ord(ch) if k == 0 else (h * 0x01000193 + ord(ch)) & 0xFFFFFFFF
+    x = ((h ^ (h >> 15)) * (0x85EBCA6B + 2 * n)) & 0xFFFFFFFF
+    return (((x ^ (x >> 13)) * 0xC2B2AE35) & 0xFFFFFFFF) >> (32 - subwords.BITS)
+
+
+def test_bags_and_scores_equal_a_plain_version(planted):
+    docs, labels, rows = planted
+    model = fit_toxicity(docs, labels)
+    texts = [t for _, t, _ in rows[:20]] + ["", "!?", "Éa ßx", "a", "AB cd, ef-gh 12"]
+    for t, s in zip(texts, model.score(texts), strict=True):
+        got = [plain_bucket(g) for g in plain_bag(t)]
+        b, c = subwords.bag(t)
+        assert sorted(got) == np.repeat(b, c).tolist()
+        z = (sum(float(model.weight[g]) for g in got) / max(len(got), 1)) + model.bias
+        assert s == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-6)
+
+
+def test_training_step_equals_a_plain_gradient_step():
+    rng = np.random.default_rng(0)
+    bags = [(i % 2, np.sort(rng.choice(30, 8, False)).astype(np.int32), rng.integers(1, 4, 8).astype(np.uint16)) for i in range(12)]
+    model = train(bags, steps=3, least=1, batch=12, dim=2, seed=5)
+    # The same three Adagrad steps on dense arrays.
+    draw = np.random.default_rng(5)
+    seen = sorted({int(x) for _, b, _ in bags for x in b})
+    order = draw.permutation(12)
+    x = np.zeros((12, len(seen)))
+    for k, i in enumerate(order):
+        for b, c in zip(bags[i][1], bags[i][2], strict=True):
+            x[k, seen.index(b)] = 50 * c / bags[i][2].sum()
+    y = np.array([bags[i][0] for i in order])
+    vec, soft, bias = draw.normal(0, 0.01, (len(seen), 2)), draw.normal(0, 0.5, (2, 2)), np.zeros(2)
+    sums = [np.full_like(v, 1e-8) for v in (vec, soft, bias)]
+    for _ in range(3):
+        draw.permutation(1)
+        mean = x @ vec
+        z = mean @ soft + bias
+        p = np.exp(z) / np.exp(z).sum(1, keepdims=True)
+        p[np.arange(12), y] -= 1
+        p /= 12
+        grads = [x.T @ (p @ soft.T) + 5e-5 * vec, mean.T @ p, p.sum(0)]
+        for v, s, g in zip((vec, soft, bias), sums, grads, strict=True):
+            s += g * g
+            v -= 0.1 * g / np.sqrt(s)
+    want = np.zeros(1 << subwords.BITS)
+    want[seen] = 50 * (vec @ (soft[:, 1] - soft[:, 0]))
+    assert np.allclose(model.weight, want, rtol=2e-3, atol=2e-3) and model.bias == pytest.approx(bias[1] - bias[0], abs=1e-3)
