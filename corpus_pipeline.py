@@ -32,13 +32,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each class of near-duplicates (1).
+    """One row, that of the least id, of each class of near-duplicates (1).
 
-    Rows without id can't be named and stay; rows of one id and text stay together.
+    Rows are numbered, so what goes is a row, not an id: of rows that repeat, ids
+    and nulls included, one stays, and a text stays whatever other texts of its id do.
+    Rows with an id come before those without.
     """
-    # The ids that go are the smaller part; written, Spark knows their size and broadcasts them only if it is small.
-    gone = cut_lineage(near_duplicates(docs).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__gone")))
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti").select(*docs.columns)
+    inner = [f"d{i}" for i in range(len(docs.columns))]
+    at, text = inner[docs.columns.index("doc_id")], inner[docs.columns.index("text")]
+    rows = cut_lineage(docs.toDF(*inner).withColumn("row", F.monotonically_increasing_id()))
+    classes = cut_lineage(near_duplicates(rows, "row", text).select("row", "class_id"))
+    first = F.struct(F.col(at).isNull(), F.col(at), F.col("row"))
+    stay = classes.join(rows.select("row", at), "row").groupBy("class_id").agg(F.min(first)["row"].alias("row"))
+    # The rows that go are the smaller part; written, Spark knows their size and broadcasts them only if it is small.
+    gone = cut_lineage(classes.select("row").join(stay.select("row"), "row", "left_anti"))
+    return rows.join(gone, "row", "left_anti").select(*[F.col(n).alias(c) for n, c in zip(inner, docs.columns, strict=True)])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
