@@ -17,8 +17,11 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from faultline.functions import hash_fraction, hash_order
+from faultline.operators.prefix import running_sums
+from faultline.session import cut_lineage
 
 PREFIX_DIGITS = 5
 
@@ -148,6 +151,28 @@ def fold_of(seed: int, key_cols: list[str], k: int = 5, prefix: str = "fold") ->
     return F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), F.lit(k)).cast("int")
 
 
+def stratified_folds(df: DataFrame, strt: str, seed: int, key_cols: list[str], k: int = 5, name: str = "fold",
+                     prefix: str = "fold") -> DataFrame:
+    """M8: exact stratified folds: a row's place in its stratum by the seeded key hash, modulo ``k``.
+
+    Fold sizes differ by at most one per stratum.  Places are running counts over ranges of
+    (stratum, hash), so no stratum is sorted in one task.  Rows of one key share their hash and are
+    told apart by their other columns; rows that are equal in all of them are counted one by one.
+    """
+    x = df.withColumn("__h", hash_order(f"{prefix}{seed}", *key_cols))
+    narrow = x.groupBy(strt, "__h").agg(F.count(F.lit(1)).alias("__n"))
+    known = running_sums(narrow.where(F.col(strt).isNotNull()), "__h", ["__n"], by=[strt])
+    one = known.where("__n = 1").select(F.col(strt).alias("__s"), F.col("__h").alias("__g"), F.col("before___n").alias("__b"))
+    fold = F.pmod(F.col("__b"), F.lit(k)).cast("int").alias(name)
+    single = x.join(one, (F.col(strt) == F.col("__s")) & (F.col("__h") == F.col("__g"))).select(*df.columns, fold)
+    more = known.where("__n > 1").select(F.col(strt).alias("__s"), F.col("__h").alias("__g"), F.col("before___n").alias("__o"))
+    others = [F.col(c) for c in df.columns]
+    place = F.col("__o") + F.row_number().over(Window.partitionBy(strt, "__h").orderBy(*others)) - 1
+    several = x.join(more, (F.col(strt) == F.col("__s")) & (F.col("__h") == F.col("__g"))).withColumn("__b", place).select(*df.columns, fold)
+    none = df.where(F.col(strt).isNull()).withColumn(name, F.lit(None).cast("int"))
+    return single.unionByName(several).unionByName(none)
+
+
 def bag_membership(df: DataFrame, strt: str, counts: DataFrame, bags: int, seed: int,
                    key_cols: list[str], slack: float = 1.3) -> DataFrame:
     """M7: ``bags`` independent exact stratified under-samples, long ``(bag, ...)``.
@@ -185,6 +210,160 @@ def bag_membership(df: DataFrame, strt: str, counts: DataFrame, bags: int, seed:
     return take_smallest(cand, ["bag", strt], order, quota, ties=key_cols)
 
 
+BLOCK = 1 << 16                   # rows of a stratum that one draw is made from
+
+
+def _numbered(df: DataFrame, group: list[str], key_cols: list[str]) -> DataFrame:
+    """``df`` with ``__place``, the place of a row in its group by its keys: ranges, counted, and a running count."""
+    order = [*[F.col(c) for c in group], *[F.col(c) for c in key_cols], F.xxhash64(*df.columns)]
+    x = cut_lineage(df.repartitionByRange(*order).sortWithinPartitions(*order)
+                    .withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id()))
+    n = x.groupBy(*group, "__p").agg(F.count(F.lit(1)).alias("__n"), F.min("__i").alias("__f"))
+    before = Window.partitionBy(*group).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    base = n.withColumn("__o", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")       # a row per group and range
+    return x.join(F.broadcast(base), [*group, "__p"]).withColumn("__place", F.col("__o") + F.col("__i") - F.col("__f")).drop(
+        "__p", "__i", "__f", "__o")
+
+
+def _hypergeometric(rng, good: int, bad: int, draws: int) -> int:
+    """Draws that fall on ``good`` rows; of a billion rows or more (numpy's limit) by the normal distribution, whose error is far below one part in 10 000."""
+    if good + bad < 10 ** 9:
+        return int(rng.hypergeometric(good, bad, draws))
+    n, p = good + bad, good / (good + bad)
+    x = rng.normal(draws * p, math.sqrt(draws * p * (1 - p) * (n - draws) / (n - 1)))
+    return int(min(max(round(x), draws - bad, 0), good, draws))
+
+
+def block_quotas(total: int, n: int, rng, size: int) -> "np.ndarray":
+    """How many of ``n`` rows drawn from ``total`` fall into each block of ``size``: the tree of halves is split by hypergeometric draws."""
+    import numpy as np
+    blocks = max(1, -(-total // size))
+    out = np.zeros(blocks, np.int64)
+    work = [(0, blocks, n)]
+    while work:
+        lo, hi, m = work.pop()
+        if hi - lo == 1 or m == 0:
+            out[lo] += m
+            continue
+        mid = (lo + hi) // 2
+        took = _hypergeometric(rng, (mid - lo) * size, min(hi * size, total) - mid * size, m)
+        work += [(lo, mid, took), (mid, hi, m - took)]
+    return out
+
+
+def undersample_numbers(n_rows: dict, strata_p: dict, cv: bool = False) -> dict:
+    """M1 on known counts ``{stratum: rows}``: rows to keep per stratum, as ``undersample_counts``."""
+    if missing := set(n_rows) - set(strata_p):
+        raise ValueError(f"no proportion is given for stratum {sorted(missing)}")
+    n_min, s_min = min((n, s) for s, n in n_rows.items())
+    kept = {s: int(min(strata_p[s] * n_min / strata_p[s_min], n)) for s, n in n_rows.items()}
+    return {s: int(n * 0.8) for s, n in kept.items()} if cv else kept
+
+
+def draw_groups(df: DataFrame, group: list[str], quotas: dict, seed: int, key_cols: list[str]) -> DataFrame:
+    """Exact samples without replacement, long ``(bag, ...)``: of the rows of each group (a tuple of whole numbers) as
+    many for each bag as ``quotas[group] = (rows, [(bag, n, seeds), ...])`` says (seeds: whole numbers, one draw per tuple).
+
+    Rows are numbered inside their group once.  A bag's quota is split over blocks of ``BLOCK``
+    rows (hypergeometric draws down a tree of halves, seeded by bag and group), and a block's rows
+    are drawn where they are, so a row costs something in the bags that it is in.  Quotas
+    are exact, nothing is counted again, and the partitioning changes nothing.  Rows of a group without quotas are left out.
+    """
+    import numpy as np
+    rows = _numbered(df, group, key_cols)
+    schema = T.StructType([*[rows.schema[c] for c in df.columns], T.StructField("bag", T.IntegerType())])
+    at, place, size = [df.columns.index(g) for g in group], len(df.columns), BLOCK
+
+    def seeded(g: tuple, *more: int):
+        return np.random.default_rng([seed & 0xFFFFFFFF, *(x & 0xFFFFFFFF for x in g), *more])
+
+    def draw(batches):
+        import pyarrow as pa
+        of, drawn, here_is = {}, [], None
+        for b in batches:
+            keys = list(zip(*(b.column(i).to_pylist() for i in at), b.column(place).to_numpy() // size, strict=True))
+            p = b.column(place).to_numpy() % size
+            edge = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1]]
+            for lo, hi in zip(edge, [*edge[1:], len(keys)], strict=True):
+                g, block = tuple(keys[lo][:-1]), int(keys[lo][-1])
+                if g not in quotas:
+                    continue
+                total, bags = quotas[g]
+                if g not in of:
+                    of = {g: [block_quotas(total, n, seeded(g, *own, 0), size) for _, n, own in bags]}
+                if here_is != (g, block):
+                    here_is, m = (g, block), min(size, total - block * size)
+                    drawn = [(bag, np.sort(seeded(g, *own, 1 + block).choice(m, q[block], replace=False)))
+                             for (bag, _, own), q in zip(bags, of[g], strict=True) if q[block]]
+                inside = p[lo:hi]
+                for bag, places in drawn:
+                    near = places[np.searchsorted(places, inside[0]):np.searchsorted(places, inside[-1], "right")]
+                    if len(near):
+                        take = pa.array(lo + np.searchsorted(inside, near))
+                        yield pa.RecordBatch.from_arrays([*[c.take(take) for c in b.columns[:place]], pa.array([bag] * len(near), pa.int32())],
+                                                         names=schema.names)
+
+    order = [*group, "__place"]
+    return rows.select(*df.columns, "__place").sortWithinPartitions(*order).mapInArrow(draw, schema)
+
+
+def draw_bags(df: DataFrame, strt: str, counts: DataFrame, bags: int, seed: int, key_cols: list[str]) -> DataFrame:
+    """M7 without a hash per bag and row: ``bags`` independent exact under-samples, long ``(bag, ...)``; see ``draw_groups``."""
+    quotas = {(int(r[strt]),): (int(r["n_rows"]), [(b, int(r["n"]), (b,)) for b in range(bags)]) for r in counts.collect()}   # one row per stratum
+    return draw_groups(df.where(F.col(strt).isNotNull()).withColumn(strt, F.col(strt).cast("int")), [strt], quotas, seed, key_cols)
+
+
+def exact_bootstrap(df: DataFrame, groups: list[str], seed: int, key_cols: list[str]) -> DataFrame:
+    """M9: per group as many draws with replacement as it has rows, ``copies`` per row (rows never drawn are left out).
+
+    Draws are split over blocks of ``BLOCK`` rows down a tree of halves (binomial draws, seeded by
+    the group), and a block's draws fall on its rows evenly, so a group's copies add up to its rows exactly, without a sort of the group
+    in one task.
+    """
+    import numpy as np
+    rows = _numbered(df, groups, key_cols)
+    total = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("__n"))
+    name = F.concat_ws("\0", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in groups])
+    keyed = rows.join(F.broadcast(total), groups).withColumn("__g", F.crc32(name.cast("binary")))       # a row per group
+    schema = T.StructType([*[rows.schema[c] for c in df.columns], T.StructField("copies", T.LongType())])
+    n_cols = len(df.columns)
+
+    def block_draws(group: int, n: int) -> "np.ndarray":
+        blocks = -(-n // BLOCK)
+        rng, out, work = np.random.default_rng([seed & 0xFFFFFFFF, group, 0]), np.zeros(blocks, np.int64), [(0, blocks, n)]
+        while work:
+            lo, hi, m = work.pop()
+            if hi - lo == 1 or m == 0:
+                out[lo] += m
+                continue
+            mid = (lo + hi) // 2
+            took = int(rng.binomial(m, (mid - lo) * BLOCK / (min(hi * BLOCK, n) - lo * BLOCK)))
+            work += [(lo, mid, took), (mid, hi, m - took)]
+        return out
+
+    def draw(batches):
+        import pyarrow as pa
+        draws, known = {}, (None, None)
+        for b in batches:
+            place, n, g = (b.column(n_cols + i).to_numpy() for i in range(3))
+            copies = np.zeros(b.num_rows, np.int64)
+            for group, rows_of in sorted(set(zip(g.tolist(), n.tolist(), strict=True))):
+                if (group, rows_of) not in draws:
+                    draws = {(group, rows_of): block_draws(group, rows_of)}
+                own = (g == group) & (n == rows_of)
+                for block in np.unique(place[own] // BLOCK).tolist():
+                    if known[0] != (group, rows_of, block):
+                        m = min(BLOCK, rows_of - block * BLOCK)
+                        rng = np.random.default_rng([seed & 0xFFFFFFFF, group, 1 + block])
+                        known = ((group, rows_of, block), np.bincount(rng.integers(0, m, draws[group, rows_of][block]), minlength=m))
+                    here = own & (place // BLOCK == block)
+                    copies[here] = known[1][place[here] - block * BLOCK]
+            take = pa.array(np.flatnonzero(copies))
+            yield pa.RecordBatch.from_arrays([*[c.take(take) for c in b.columns[:n_cols]], pa.array(copies[copies > 0])], names=schema.names)
+
+    return keyed.select(*df.columns, "__place", "__n", "__g").mapInArrow(draw, schema)
+
+
 def rug_sample(df: DataFrame, cols: list[str], y: str, n: int, seed: int, key_cols: list[str]) -> DataFrame:
     """At most ``n`` seeded rows per (metric, class), long ``(m, y, keys.., x)``.
 

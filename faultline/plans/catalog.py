@@ -281,9 +281,9 @@ def q_split_balance(spark, sf_dir):
 
 @query
 def q_folds(spark, sf_dir):
-    """M8: five hash folds."""
+    """M8: five exact stratified folds."""
     df, _ = with_controls(spark, sf_dir)
-    return df.withColumn("fold", sampling.fold_of(RANDOM_STATE, KEY, 5))
+    return sampling.stratified_folds(df, "strt", RANDOM_STATE, KEY, 5)
 
 
 def train_bags(spark, sf_dir, bags=QUERY_BAGS, strata_p=STRATA_P):
@@ -491,15 +491,15 @@ def q_threshold_sweep(spark, sf_dir):
     return evaluate.threshold_sweep(df, "failure", "y_proba", ts)
 
 
-# ---- ensembles, search, ablation (pyspark.ml; rows-only checks) ------------------
+# ---- ensembles, search, ablation ---------------------------------------------------
 
 from faultline.operators import ensemble  # noqa: E402
-from faultline.schema import BEST_STRATA_P  # noqa: E402
+from faultline.schema import BEST_STRATA_P, FOREST_GRID, STRATA_GRID  # noqa: E402
 
 # Bags of an ensemble: None sizes it by ``sampling.estimators_proxy``, as the study does
 # (about 280 there), but for its final model; the queries take any number as ``bags``.
 ENSEMBLE_BAGS = None
-FINAL_BAGS, FINAL_ROUNDS = 200, 20     # of the study's final model
+FINAL_BAGS, FINAL_ROUNDS, FINAL_DEPTH = 200, 20, 40     # of the study's final model
 
 
 def model_table(spark, sf_dir, num_transform: bool = False):
@@ -558,13 +558,13 @@ def q_bag_logistic_ratio(spark, sf_dir, bags=ENSEMBLE_BAGS):
 
 
 @query
-def q_bag_forest(spark, sf_dir, bags=ENSEMBLE_BAGS, depth=30):
-    """L3: balanced forest — one unbootstrapped tree per stratified bag, as deep as MLlib goes."""
+def q_bag_forest(spark, sf_dir, bags=ENSEMBLE_BAGS, depth=None):
+    """L3: balanced forest — one unbootstrapped tree per stratified bag, of any depth."""
     return _strata_fit_predict(spark, sf_dir, "forest", STRATA_P, bags=bags, depth=depth, max_features="sqrt")
 
 
 @query
-def q_bag_forest_ratio(spark, sf_dir, bags=ENSEMBLE_BAGS, depth=30):
+def q_bag_forest_ratio(spark, sf_dir, bags=ENSEMBLE_BAGS, depth=None):
     """L3, fourth candidate: binary balanced forest on 30 % failure under-samples."""
     return _ratio_fit_predict(spark, sf_dir, "forest", bags=bags, depth=depth, max_features="sqrt")
 
@@ -572,40 +572,52 @@ def q_bag_forest_ratio(spark, sf_dir, bags=ENSEMBLE_BAGS, depth=30):
 @query
 def q_bag_boost(spark, sf_dir, bags=FINAL_BAGS, rounds=FINAL_ROUNDS):
     """L4 + L5: bagging of SAMME-boosted trees with the final configuration's strata, bags and rounds."""
-    return _strata_fit_predict(spark, sf_dir, "boost", BEST_STRATA_P, bags=bags, depth=30, max_features="0.5", rounds=rounds)
+    return _strata_fit_predict(spark, sf_dir, "boost", BEST_STRATA_P, bags=bags, depth=FINAL_DEPTH, max_features="0.5", rounds=rounds)
 
 
 @query
 def q_bag_boost_ratio(spark, sf_dir, bags=ENSEMBLE_BAGS, rounds=FINAL_ROUNDS):
     """L4, sixth candidate: binary bagging of boosted trees on 30 % failure under-samples."""
-    return _ratio_fit_predict(spark, sf_dir, "boost", bags=bags, depth=30, max_features="0.5", rounds=rounds)
+    return _ratio_fit_predict(spark, sf_dir, "boost", bags=bags, depth=FINAL_DEPTH, max_features="0.5", rounds=rounds)
 
 
-SEARCH_GRID = {"class_weight": [{"0": 0.1, "1": 0.6, "2": 0.3}, {"0": 0.05, "1": 0.75, "2": 0.2}],
-               "depth": [4, 8], "max_features": ["0.5", "sqrt"]}
-SEARCH_SCHEMA = "class_weight map<string,double>, depth int, max_features string"
+SEARCH_SCHEMA = ("class_weight map<string,double>, sampling_strategy map<string,bigint>, bags int, bootstrap boolean, depth int, "
+                 "max_features string, min_samples_leaf int, min_samples_split int")
+SEARCH_PARAMS = ["class_weight", "bags", "bootstrap", "depth", "max_features", "min_samples_leaf", "min_samples_split"]
+# Random draws from the grid's 3456 configurations (the study's first search draws 500); each is 5 folds x 250 to 450 trees.
+SEARCH_DRAWS = 16
 
 
-def search_results(spark, sf_dir, draws=500, folds=5, bags=ENSEMBLE_BAGS):
-    """Up to ``draws`` configurations, as the study's first search: all of the registered grid, which is smaller."""
+def search_grid(train):
+    """The study's grid: strata proportions with their fixed counts (80 % of the training rows'), and the trees' parameters."""
+    grids = []
+    for p in STRATA_GRID:
+        counts = sampling.undersample_counts(train, "strt", p, cv=True).collect()             # a row per stratum
+        grids.append({"class_weight": [{str(k): v for k, v in p.items()}],
+                      "sampling_strategy": [{str(r["strt"]): r["n"] for r in counts}], **FOREST_GRID})
+    return grids
+
+
+def search_results(spark, sf_dir, draws=SEARCH_DRAWS, folds=5, bags=ENSEMBLE_BAGS):
+    """``draws`` random configurations of the study's grid for balanced forests; ``bags`` stands for a grid without its own."""
     prep, feats = model_table(spark, sf_dir, False)
     train = prep.where(F.col("split") == "train")
     bags = proxy_bags(prep, train) if bags is None else bags
-    return ensemble.random_search(train, feats, SEARCH_GRID, n_iter=draws, folds=folds, seed=RANDOM_STATE,
+    return ensemble.random_search(train, feats, search_grid(train), n_iter=draws, folds=folds, seed=RANDOM_STATE,
                                   fit_kwargs={"bags": bags, "base": "forest", "class_weight": STRATA_P})
 
 
 @query
-def q_search_table(spark, sf_dir):
+def q_search_table(spark, sf_dir, draws=SEARCH_DRAWS):
     """L15 + L16: random search over forest bagging, parsed and ranked result table."""
-    return evaluate.search_table(search_results(spark, sf_dir), SEARCH_SCHEMA)
+    return evaluate.search_table(search_results(spark, sf_dir, draws), SEARCH_SCHEMA)
 
 
 @query
-def q_param_marginals(spark, sf_dir):
+def q_param_marginals(spark, sf_dir, draws=SEARCH_DRAWS):
     """Mean F1 per parameter value of the search."""
-    t = evaluate.search_table(search_results(spark, sf_dir), SEARCH_SCHEMA)
-    return evaluate.param_marginals(t, ["class_weight", "depth", "max_features"])
+    t = evaluate.search_table(search_results(spark, sf_dir, draws), SEARCH_SCHEMA)
+    return evaluate.param_marginals(t, SEARCH_PARAMS)
 
 
 @query
@@ -614,14 +626,14 @@ def q_ablation_table(spark, sf_dir, bags=FINAL_BAGS, rounds=FINAL_ROUNDS):
     prep, feats = model_table(spark, sf_dir, False)
     train, test = prep.where(F.col("split") == "train"), prep.where(F.col("split") == "test")
     counts = sampling.undersample_counts(train, "strt", BEST_STRATA_P)
-    kw = {"bags": bags, "base": "boost", "class_weight": BEST_STRATA_P, "depth": 30, "max_features": "0.5", "rounds": rounds}
+    kw = {"bags": bags, "base": "boost", "class_weight": BEST_STRATA_P, "depth": FINAL_DEPTH, "max_features": "0.5", "rounds": rounds}
     nums = [c for c in feats if "_" not in c]
     members = ensemble.bag_table(train, "strt", counts, bags, RANDOM_STATE)
     full = ensemble.fit_bagged(train, feats, "strt", "strt", counts, seed=RANDOM_STATE, members=members, **kw)
     pr = cut_lineage(ensemble.predict_bagged(full, test, ["strt"]).withColumn("y", (F.col("strt") == 2).cast("int")))
     _, best, conf = evaluate.pr_report(pr, "y", "p2")
     base = evaluate.with_rates(conf).first().asDict()
-    ab = ensemble.ablation(train, test, nums, kw, counts, best if best is not None else float("inf"), RANDOM_STATE, members=members)
+    ab = ensemble.ablation(train, test, feats, kw, counts, best if best is not None else float("inf"), RANDOM_STATE, members=members, leave=nums)
     return evaluate.ablation_vs_baseline(ab, base)
 
 

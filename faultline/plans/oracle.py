@@ -259,8 +259,8 @@ FROM sp WHERE {var} IS NOT NULL GROUP BY {var} HAVING count_if(split = 'train')
 
 SPLIT_CTE = CONTROLS + f", sp AS (SELECT *, {SPLIT} AS split FROM ctl)"
 sql("q_split_balance", _balance("failure") + "\nUNION ALL\n" + _balance("strt"), SPLIT_CTE)
-sql("q_folds", "SELECT *, CAST((('0x' || substr(md5('fold42:' || device || ':' || CAST(date AS VARCHAR)), 1, 8))"
-               "::BIGINT) % 5 AS INTEGER) AS fold FROM ctl", CONTROLS)
+sql("q_folds", "SELECT *, CAST((row_number() OVER (PARTITION BY strt ORDER BY md5('fold42:' || device || ':' || CAST(date AS VARCHAR))) - 1) % 5"
+               " AS INTEGER) AS fold FROM ctl", CONTROLS)
 
 BAGS = (SPLIT_CTE + ", " + PROPS + ", tr AS (SELECT * FROM sp WHERE split = 'train'), " + counts_sql("tr")
         + """, bg AS (SELECT * EXCLUDE (rn, n_rows, n) FROM (

@@ -22,6 +22,11 @@ DEVICE_LEVELS = {"L1": (1, 2), "L2": (3, 2), "L12": (1, 4)}   # name -> (start,
 DATE_PARTS = ("Q", "M", "D", "MW", "WD", "WE")
 STRATA_P = {0: 0.1, 1: 0.6, 2: 0.3}
 BEST_STRATA_P = {0: 0.05, 1: 0.75, 2: 0.2}
+# Grid of the study's first random search: strata proportions, and parameters of the balanced forest.
+STRATA_GRID = [{0: 0.05, 1: 0.8, 2: 0.15}, {0: 0.1, 1: 0.75, 2: 0.15}, {0: 0.05, 1: 0.75, 2: 0.2}, {0: 0.1, 1: 0.7, 2: 0.2},
+               {0: 0.1, 1: 0.65, 2: 0.25}, {0: 0.1, 1: 0.6, 2: 0.3}, {0: 0.05, 1: 0.65, 2: 0.3}, {0: 0.05, 1: 0.6, 2: 0.35}]
+FOREST_GRID = {"bootstrap": [True, False], "bags": [250, 350, 450], "depth": [10, 30, 40, None],
+               "max_features": ["0.5", "0.8", "sqrt"], "min_samples_leaf": [1, 2, 3], "min_samples_split": [2, 3]}
 RANDOM_STATE = 42
 # Transformation plan per numeric feature: yj, qt, nrm, mnmx or none.
 TRANSFORM_PLAN = {
