@@ -81,3 +81,111 @@ def test_edges(spark):
     got = sorted((str(r.page_id), str(r.url), r.n_chars) for r in extract_text(df).collect())
     assert got == [("1", "None", 0), ("2", "u", 0), ("2", "u", 0), ("None", "u", 2)]
     assert extract_text(df.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("page,want", [
+    ('<p class=lead">one</p><p class="x">two</p><p class=y">three</p>', "one two three"),
+    ("<p title=Bob's>one</p><p>two it's</p>", "one two it's"),
+    ("<p a=it's b=o'c>one</p><p c='>'>two</p>", "one two"),
+    ('<p "x" y">one</p><p z="a>b" w=\'c>d\'>two</p><p "">three</p>', "one two three"),
+    ('<p title="never closed>one</p><p>two</p>', "one two"),
+    ("<p title = 'a > b' >one</p><p title = >two</p><p =>three</p>", "one two three"),
+    ("<p href=a=\"b>one</p><p>two</p>", "one two"),
+])
+def test_stray_quotes_lose_no_text(page, want):
+    body = f"<p>{LONG}</p>"
+    assert html_blocks.main_texts([body + page + body]) == [f"{LONG} {want} {LONG}"]
+
+
+@pytest.mark.parametrize("page,want", [
+    (f"<article><h1>T</h1><p>{LONG}</p><ul><li><a href=a>One link</a><li><a href=b>Other linked item</a><li><a href=c>Third one</a></ul><p>{LONG}</p></article>",
+     f"T {LONG} One link Other linked item Third one {LONG}"),
+    ("<ul><li><a href=a>Home</a><li><a href=b>About</a></ul><p>Four words stand here</p>", "Four words stand here"),
+    (f"<main><h1>T</h1><p>{LONG}</p><p>{LONG}</p><section class=reviews>" + "".join(
+        f"<div class=r><b>{n}</b><p><time>{i} May</time></p><p>{LONG[:30 + 20 * i]}</p></div>" for i, n in enumerate(["Ann", "Bo", "Cy"])) + "</section></main>",
+     f"T {LONG} {LONG}"),
+    (f"<div><h1>T</h1><p>{LONG}</p><p>{LONG}</p></div><div>" + "".join(f"<div><span>{n}</span><p>2020-05-0{i + 1}</p><p>{LONG[:40]}</p></div>" for i, n in enumerate("abc")) + "</div>",
+     f"T {LONG} {LONG}"),
+    (f"<main><div role=dialog class=cc-window>We use cookies here, so please accept.</div><h1>T</h1><p>{LONG}</p></main>", f"T {LONG}"),
+    (f"<article><h1>T</h1>" + f"<section><h2>Part</h2><p>{LONG}</p></section>" * 4 + "</article>", "T" + f" Part {LONG}" * 4),
+])
+def test_lists_comments_and_notices(page, want):
+    assert html_blocks.main_texts([page]) == [want]
+
+
+def test_nesting_takes_linear_time():
+    import time
+    for page in ('<div class="nav">a b' * 30_000, '<article>a <div class="ad">b' * 15_000, "<b>x</p>" * 100_000, "<div><p>x" * 30_000,
+                 "<p a='" + '<p a="b">' * 50_000):
+        t = time.process_time()
+        html_blocks.main_texts([page])
+        assert time.process_time() - t < 3
+
+
+def plain_place(blocks):
+    """Places and marks from each block's own lists of elements around it, sums taken anew for every question.
+
+    A block: (words, linked, heading, mains, parts), an element: (number, kind, numbers of the parts around it).
+    """
+    live = [b for b in blocks if all(k < 2 for _, k, _ in b[4])]
+    own = lambda n: sum(b[0] - b[1] for b in live if (b[4][-1][0] if b[4] else None) == n)                 # noqa: E731
+    whole = lambda n: sum(b[0] - b[1] for b in live if any(p[0] == n for p in b[4]))                      # noqa: E731
+    held = {m: sum(b[0] - b[1] for b in live if m in b[3]) for b in live for m in b[3] if m[1] == 2}
+    held = {m: n for m, n in held.items() if n}
+    free = [m for m in held if not m[2]]
+    best = max(free or held, key=lambda m: (held[m], -m[0]), default=None)
+    layout = set(best[2]) if best and (not best[2] or 2 * held[best] >= sum(b[0] - b[1] for b in blocks)) else set()
+    around = {p[0]: p[2] for b in blocks for p in b[4]}
+
+    def mark(b):
+        if any(k == 2 for _, k, _ in b[4]):
+            return 0.0
+        if not b[4]:
+            return 1.0
+        n, _, up = b[4][-1]
+        if n in layout:
+            return 1.0
+        if whole(n) < max(whole(o) for o in around if around[o] == up):
+            return 0.0
+        return own(n) / max(own(n) + own(None) + sum(own(u) for u in up), 1)
+
+    marks = [mark(b) for b in blocks]
+    good = [b for b, k in zip(blocks, marks, strict=True) if k >= 0.5]
+    inside, outside = (sum(b[0] - b[1] for b in good if bool(b[3]) == x) for x in (True, False))
+    ones = {b[3][0][:2] for b in good if b[3]}
+    tells = bool(ones) and (inside >= outside or (any(b[3] and not b[2] for b in good) and len(ones) == 1 and all(k == 2 for _, k in ones)))
+    return [(b[0], b[1], b[2], 2 if b[3] else 0 if tells else 1, k) for b, k in zip(blocks, marks, strict=True)]
+
+
+def test_blocks_and_places_equal_a_plain_version():
+    import random
+    rng = random.Random(7)
+    kinds = [("div", "", 0, 0), ("section", " class=x", 0, 0), ("article", "", 2, 0), ("main", "", 2, 0), ("div", " class='post'", 1, 0), ("div", " id=sidebar", 0, 1),
+             ("aside", "", 0, 2), ("form", "", 0, 1), ("div", " hidden", 0, 2), ("div", " class='post promo'", 1, 1), ("footer", "", 0, 2)]
+    for _ in range(300):
+        texts, blocks, count = [], [], [0]
+
+        def build(depth, mains, parts):
+            out = ""
+            for _ in range(rng.randint(1, 3)):
+                if depth < 5 and rng.random() < 0.6:
+                    tag, attrs, main, part = rng.choice(kinds)
+                    count[0] += 1
+                    n = count[0]
+                    m = (*mains, (n, main, tuple(p[0] for p in parts))) if main else mains
+                    p = (*parts, (n, part, tuple(p[0] for p in parts))) if part else parts
+                    out += f"<{tag}{attrs}>{build(depth + 1, m, p)}</{tag}>"
+                else:
+                    tag, words, linked = rng.choice(["p", "h2", "div"]), rng.randint(1, 30), rng.choice([0, 0, 1, 5])
+                    linked = min(linked, words)
+                    ws = [f"w{rng.randint(0, 99)}" for _ in range(words)]
+                    texts.append(" ".join(ws))
+                    blocks.append((words, linked, tag == "h2", mains, parts))
+                    link = f"<a href=x>{' '.join(ws[:linked])}</a> " if linked else ""
+                    out += f"<{tag}>{link}{' '.join(ws[linked:])}</{tag}>"
+            return out
+
+        got_texts, outline = html_blocks.blocks(build(0, (), ()))
+        assert got_texts == texts
+        got = [(w, li, h, pl, pytest.approx(k)) for w, li, h, pl, k, *_ in outline.place()]
+        assert plain_place(blocks) == got
