@@ -6,6 +6,9 @@ below a threshold.  That threshold is found without sorting: sizes are summed by
 source and the hash's first 12 bits, the bucket in which the budget ends is
 found by prefix sums, and only this bucket's rows are summed by the next 12
 bits, and so on down to one hash value.  Rows are then filtered by comparing.
+Rows that are equal in id and text share their hash and are interchangeable: where
+the budget ends among them, they are numbered, and as many are taken as bring the source
+nearest to its target.
 
 The histograms are keyed by (source, bucket), so a source with a third of all
 rows is spread over 4096 keys, after partial sums.
@@ -58,11 +61,11 @@ def mixing_plan(rows: DataFrame, **how) -> DataFrame:
     """One row per source: size, target, whole copies, and the threshold of one more copy.
 
     ``rows (source, size, h)`` are read twice; the second time only where a
-    source's budget ends.  ``cut`` is the last hash looked at, ``take`` says
-    whether it is taken: it is if this brings the source nearer to its target.
+    source's budget ends.  ``cut`` is the last hash looked at, ``same`` the rows that
+    have it, ``take`` how many of them are taken: the number that brings the source nearest to its target.
     """
     shift = (LEVELS - 1) * BITS
-    first = cut_lineage(rows.groupBy("source", F.shiftright("h", shift).alias("b")).agg(F.sum("size").alias("n")))
+    first = cut_lineage(rows.groupBy("source", F.shiftright("h", shift).alias("b")).agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("m")))
     targets = source_targets(first.groupBy("source").agg(F.sum("n").alias("source_size")), **how)
     copies = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     targets = cut_lineage(targets.withColumn("copies", copies)
@@ -73,9 +76,9 @@ def mixing_plan(rows: DataFrame, **how) -> DataFrame:
     def end(hist: DataFrame, state: DataFrame) -> DataFrame:
         """Of each source the bucket in which its budget ends, and what lies before it."""
         return (hist.join(state, F.col("source").eqNullSafe(F.col("s2")))
-                .select("source", "b", "n", "rest", (F.col("base") + F.sum("n").over(order)).alias("upto"))
+                .select("source", "b", "n", "m", "rest", (F.col("base") + F.sum("n").over(order)).alias("upto"))
                 .where((F.col("upto") >= F.col("rest")) & (F.col("upto") - F.col("n") < F.col("rest")) & (F.col("rest") > 0))
-                .select("source", "b", "n", "rest", (F.col("upto") - F.col("n")).alias("base")))
+                .select("source", "b", "n", "m", "rest", (F.col("upto") - F.col("n")).alias("base")))
 
     def named(t: DataFrame) -> DataFrame:
         return t.select(F.col("source").alias("s2"), "rest", "base")
@@ -84,19 +87,20 @@ def mixing_plan(rows: DataFrame, **how) -> DataFrame:
     some = cut_lineage(rows.withColumn("b", F.shiftright("h", shift))
                        .join(at.select(F.col("source").alias("s2"), F.col("b").alias("b2")),
                              F.col("source").eqNullSafe(F.col("s2")) & (F.col("b") == F.col("b2")), "left_semi")
-                       .groupBy("source", "h").agg(F.sum("size").alias("n")))
+                       .groupBy("source", "h").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("m")))
     for level in range(1, LEVELS):
         shift -= BITS
         up = shift + BITS
         hist = (some.withColumn("p", F.shiftright("h", up))
                 .join(at.select(F.col("source").alias("s2"), F.col("b").alias("p2")),
                       F.col("source").eqNullSafe(F.col("s2")) & (F.col("p") == F.col("p2")), "left_semi")
-                .groupBy("source", F.shiftright("h", shift).alias("b")).agg(F.sum("n").alias("n")))
+                .groupBy("source", F.shiftright("h", shift).alias("b")).agg(F.sum("n").alias("n"), F.sum("m").alias("m")))
         at = cut_lineage(end(hist, named(at)))
-    cuts = at.select(F.col("source").alias("s2"), F.col("b").alias("cut"),
-                     (2 * F.col("base") + F.col("n") < 2 * F.col("rest")).alias("take"))
+    nearest = F.ceil((F.col("rest") - F.col("base")) / (F.col("n") / F.col("m")) - 0.5)
+    cuts = at.select(F.col("source").alias("s2"), F.col("b").alias("cut"), F.col("m").alias("same"),
+                     F.greatest(F.lit(0), F.least(F.col("m"), nearest)).cast("long").alias("take"))
     return cut_lineage(targets.join(cuts, F.col("source").eqNullSafe(F.col("s2")), "left")
-                       .select(F.col("source").alias("s2"), "source_size", "target", "copies", "cut", "take"))
+                       .select(F.col("source").alias("s2"), "source_size", "target", "copies", "cut", "same", "take"))
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
@@ -106,7 +110,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``taken`` is ``size`` times how often the mix takes the row.  Sizes are
     words; a null text has none, and rows of size 0 are never taken.  Null
     sources are one source, after all others.  Equal rows (id and text) have the
-    same hash and are taken alike, also by a rerun.  An empty table gives no
+    same hash; where the budget ends among them, some are taken once more than others.  An empty table gives no
     rows.  Names in ``docs`` can't clash, as they stay inside ``row``.
     """
     rows = _prepared(docs if keep is None else docs.select(*dict.fromkeys([*keep, id_col, text_col, source_col])), id_col, text_col, source_col)
@@ -115,10 +119,23 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     narrow = rows.select("source", "size", "h")
     plan = mixing_plan(narrow if keep is not None else cut_lineage(narrow), **how)
     # The plan is a written table of one row per source, so Spark broadcasts it if its file is small enough.
-    more = (F.col("h") < F.col("cut")) | ((F.col("h") == F.col("cut")) & F.col("take"))
-    times = F.col("copies") + F.when(F.coalesce(more, F.lit(False)), 1).otherwise(0)
-    return (rows.join(plan, F.col("source").eqNullSafe(F.col("s2")))
-            .select("row", "size", "source_size", "target", (F.col("size") * times).alias("taken")))
+    planned = rows.join(plan, F.col("source").eqNullSafe(F.col("s2")))
+    out = ["row", "size", "source_size", "target"]
+    at_cut = F.coalesce(F.col("h") == F.col("cut"), F.lit(False))
+
+    def told(df: DataFrame, more) -> DataFrame:
+        return df.select(*out, (F.col("size") * (F.col("copies") + F.when(F.coalesce(more, F.lit(False)), 1).otherwise(0))).alias("taken"))
+
+    if plan.where("take > 0 AND take < same").isEmpty():
+        return told(planned, (F.col("h") < F.col("cut")) | (at_cut & (F.col("take") > 0)))
+    # Only the rows of a cut are numbered: inside their partition, after the rows of earlier ones.
+    cut = cut_lineage(planned.where(at_cut).withColumn("part", F.spark_partition_id()).withColumn("i", F.monotonically_increasing_id()))
+    sizes = cut.groupBy("s2", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select(F.col("s2").alias("s3"), F.col("part").alias("p3"), F.coalesce(F.sum("n").over(
+        Window.partitionBy("s2").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    place = F.col("before") + F.row_number().over(Window.partitionBy("s2", "part").orderBy("i"))
+    numbered = cut.join(before, F.col("s2").eqNullSafe(F.col("s3")) & (F.col("part") == F.col("p3"))).withColumn("place", place)
+    return told(planned.where(~at_cut), F.col("h") < F.col("cut")).unionByName(told(numbered, F.col("place") <= F.col("take")))
 
 
 # The same on `documents` for DuckDB, with a sort instead of the histograms.
@@ -136,9 +153,11 @@ l AS (SELECT *, (everything - coalesce(sum(cap) OVER (ORDER BY ratio, place ROWS
 t AS (SELECT source, source_size,
              least(cap, w * (SELECT level FROM l WHERE level <= ratio ORDER BY ratio, place LIMIT 1)) AS target FROM l),
 c AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS copies FROM t),
-g AS (SELECT source, h, sum(size) AS n, sum(sum(size)) OVER (PARTITION BY source ORDER BY h) AS upto FROM d GROUP BY source, h)
-SELECT d.doc_id, d.size, c.source_size, c.target,
-       CAST(d.size * (c.copies + CASE WHEN 2 * g.upto - g.n < 2 * (c.target - c.copies * c.source_size) THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source
-JOIN g ON d.source IS NOT DISTINCT FROM g.source AND d.h = g.h
+g AS (SELECT source, h, sum(size) AS n, count(*) AS m, sum(sum(size)) OVER (PARTITION BY source ORDER BY h) AS upto FROM d GROUP BY source, h),
+e AS (SELECT *, row_number() OVER (PARTITION BY source, h) AS place FROM d)
+SELECT e.doc_id, e.size, c.source_size, c.target,
+       CAST(e.size * (c.copies + CASE WHEN g.n > 0 AND
+         e.place <= ceil((c.target - c.copies * c.source_size - (g.upto - g.n)) / (g.n / g.m) - 0.5) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM e JOIN c ON e.source IS NOT DISTINCT FROM c.source
+JOIN g ON e.source IS NOT DISTINCT FROM g.source AND e.h = g.h
 """

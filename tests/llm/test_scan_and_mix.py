@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import duckdb
 import pytest
 from conftest import SF01
-from faultline.llm import catalog
+from faultline.llm import catalog, mixing
 from faultline.llm.licenses import scan_licenses
 from faultline.llm.mixing import mix_sources, source_targets
 
@@ -82,3 +82,33 @@ def test_mix_comes_near_its_targets(spark):
     assert mix_sources(df.where("false")).count() == 0
     kept = mix_sources(df, keep=["doc_id"]).collect()
     assert Counter((r.row.doc_id, r.taken) for r in kept) == Counter((r.row.doc_id, r.taken) for r in got)
+
+
+def test_equal_rows_are_split_where_the_budget_ends(spark):
+    rows = [(1, "a b c", "s")] * 10 + [(2, "x " * 30, "t"), (None, None, None), (None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix_sources(docs, keep=["doc_id"]).collect()
+    by = {s: [r for r in got if r.source_size == s] for s in {r.source_size for r in got}}
+    same = by[30]
+    assert sum(r.taken for r in got if r.row.doc_id == 1) in (42, 45) or abs(sum(r.taken for r in got if r.row.doc_id == 1) - same[0].target) <= 1.5
+    for n in (1, 2, 7, 40):
+        many = spark.createDataFrame([(5, "one two three", "s")] * n + [(i, "w " * 11, "t") for i in range(6)], "doc_id long, text string, source string").repartition(3)
+        for keep in (["doc_id"], None):
+            out = mixing.mix_sources(many, keep=keep).collect()
+            assert len(out) == n + 6
+            for own in ([r for r in out if r.row.doc_id == 5 and r["size"] == 3], [r for r in out if r["size"] == 11]):
+                assert abs(sum(r.taken for r in own) - own[0].target) <= own[0]["size"] / 2 + 1e-9
+                assert max(r.taken for r in own) <= 2 * own[0]["size"]
+    again = [sorted(map(str, mixing.mix_sources(docs, keep=["doc_id"]).collect())) for _ in range(2)]
+    assert again[0] == again[1]
+
+
+def test_mix_of_repeated_rows_equals_its_sql(spark):
+    import duckdb
+    rows = [(i % 9, " ".join("ab"[: 1 + i % 2] * (1 + i % 5)), ["s", "t", None][i % 3]) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
+    mix = mixing.mix_sources(docs, keep=["doc_id"]).select("row.doc_id", "size", "source_size", "target", "taken")
+    assert sorted(map(tuple, mix.collect())) == sorted(con.execute(mixing.SQL).fetchall())
