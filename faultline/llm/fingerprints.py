@@ -2,15 +2,15 @@
 
 ``fingerprint`` takes rows one by one.  ``compare_with_next`` sets every
 document beside the following one, in the order of ids: rows are dealt once into
-id ranges whose bounds come from quantiles of the ids, the first row of each
+ranges of (id, hash of the text), whose bounds come from ids and hashes alone, the first row of each
 range is also given to the range before it, and each range is read in order.
-No task sees more than a range; the driver sees range bounds.
+No task holds more than a piece of a range; the driver sees range bounds.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +19,7 @@ from faultline.llm.arrow import pieces
 from faultline.llm.weighted_sampling import fingerprints
 
 RANGE_BYTES = 24 << 20            # text of one id range, about
+MOST_RANGES = 1_000_000           # beyond 24 TB ranges grow; a task reads its range in pieces, whatever its length
 
 
 def _hex(samples: np.ndarray) -> list[str]:
@@ -44,23 +45,21 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return docs.select(id_col, text_col).mapInArrow(sign, schema)
 
 
-def _ranges(docs: DataFrame, range_bytes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Least id of each range that has rows, and the range's number; the first is open below."""
-    total = docs.agg(F.sum(F.octet_length("t")).alias("n")).first()["n"] or 0
-    n = max(1, min(int(total // range_bytes) + 1, 100_000))
-    inner = [i / n for i in range(1, n)]
-    ids = docs.select("id")
-    bounds = ids.agg(F.percentile_approx("id", inner, max(10_000, 20 * n)).alias("b")).first()["b"] if inner else []
-    bounds = np.unique(np.array(bounds or [], np.int64))
+def _ranges(rows: DataFrame, range_bytes: int) -> list[tuple]:
+    """Least (not null, id, hash of the text) of each range that has rows, in order.
+
+    Spark deals ids and hashes, without texts, into as many ranges as the texts need,
+    so rows of one id, or of none, are spread by their texts.
+    """
+    total = rows.agg(F.sum(F.octet_length("t")).alias("n")).first()["n"] or 0
+    n = min(int(total // range_bytes) + 1, MOST_RANGES)
+    key = F.struct(F.col("id").isNotNull().alias("known"), "id", "o")
+    light = rows.select("id", "o").repartitionByRange(n, F.col("id").asc_nulls_first(), F.col("o")).withColumn("r", F.spark_partition_id())
+    return sorted((_key(f["first"]["id"], f["first"]["o"]) for f in light.groupBy("r").agg(F.min(key).alias("first")).collect()))
 
-    @F.pandas_udf("int")
-    def range_of(x: pd.Series) -> pd.Series:
-        return pd.Series(np.where(x.isna(), 0, np.searchsorted(bounds, x.fillna(0).astype("int64"), "right")))
 
-    firsts = ids.groupBy(range_of("id").alias("r")).agg(
-        F.min("id").alias("first"), F.max(F.col("id").isNull()).alias("null")).orderBy("r").collect()
-    none = np.iinfo(np.int64).min                                 # a range that begins with rows without id
-    return np.array([none if f["null"] else f["first"] for f in firsts], np.int64), bounds
+def _key(i, o) -> tuple:
+    return (0, 0, o) if i is None else (1, i, o)
 
 
 def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: int = 128,
@@ -70,34 +69,38 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     The edited text has its last floor(n_chars / ``share``) code points replaced
     by the first as many (or all) of the next document's: the next greater id,
     after the last the first.  ``(id, n_chars, edited_sha256, fingerprint,
-    edited_fingerprint, near_edited, near_next)``.  Ids are whole numbers; rows
-    without id come first, rows of equal ids in the order of a hash of their
+    edited_fingerprint, near_edited, near_next)``.  Ids are of any type with an order (texts by
+    code point); rows without id come first, rows of equal ids in the order of a hash of their
     text.  A null text is empty.  A table of one row has itself as its next.
     Other columns are not read; an empty table gives no rows.
     """
+    from bisect import bisect_left, bisect_right
     kind = docs.schema[id_col].dataType
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    first, bounds = _ranges(rows, range_bytes)
-
-    @F.pandas_udf("own int, edge int")
-    def place(x: pd.Series) -> pd.DataFrame:
-        """The row's range, and the range that it follows, if it is the first of its own."""
-        v = np.where(x.isna(), np.iinfo(np.int64).min, x.fillna(0).astype("int64"))
-        own = np.where(x.isna(), 0, np.searchsorted(bounds, v, "right"))
-        at = np.minimum(np.searchsorted(first, v), len(first) - 1)
-        before = np.searchsorted(bounds, first, "right")[at - 1]  # -1: the last range
-        return pd.DataFrame({"own": own, "edge": np.where(first[at] == v, before, -1)})
-
-    dealt = (rows.withColumn("p", place("id"))
-             .select("id", "t", F.xxhash64("t").alias("o"), F.explode(F.array(
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).withColumn("o", F.xxhash64("t"))
+    first = _ranges(rows, range_bytes)
+    place_type = T.StructType([T.StructField("own", T.IntegerType()), T.StructField("edge", T.IntegerType())])
+
+    @F.arrow_udf(place_type)
+    def place(ids: pa.Array, hashes: pa.Array) -> pa.Array:
+        """The row's range, and the range that it follows, if it is the first of its own (after the first, the last)."""
+        own, edge = [], []
+        for i, o in zip(ids.to_pylist(), hashes.to_pylist(), strict=True):
+            k = _key(i, o)
+            r = max(bisect_right(first, k) - 1, 0)
+            own.append(r)
+            edge.append((r - 1) % len(first) if first[r] == k else -1)
+        return pa.StructArray.from_arrays([pa.array(own, pa.int32()), pa.array(edge, pa.int32())], names=["own", "edge"])
+
+    dealt = (rows.withColumn("p", place("id", "o"))
+             .select("id", "t", "o", F.explode(F.array(
                  F.struct(F.col("p.own").alias("r"), F.lit(0).alias("edge")),
                  F.struct(F.col("p.edge").alias("r"), F.lit(1).alias("edge")))).alias("p"))
              .where("p.r >= 0").select("id", "t", "o", "p.r", "p.edge")
-             .repartitionById(len(bounds) + 1, F.col("r"))        # one range each
+             .repartitionById(max(len(first), 1), F.col("r"))     # one range each
              .sortWithinPartitions("r", "edge", F.col("id").asc_nulls_first(), "o", "t")
              .select("id", "t", "r", "edge"))
     schema = T.StructType([
-        T.StructField("id", T.LongType()), T.StructField("n_chars", T.LongType()), T.StructField("edited_sha256", T.StringType()),
+        T.StructField("id", kind), T.StructField("n_chars", T.LongType()), T.StructField("edited_sha256", T.StringType()),
         T.StructField("fingerprint", T.StringType()), T.StructField("edited_fingerprint", T.StringType()),
         T.StructField("near_edited", T.DoubleType()), T.StructField("near_next", T.DoubleType())])
 
@@ -105,6 +108,8 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         import hashlib
 
         import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_type
+        id_type = to_arrow_type(kind)
         ids, texts, edge, prints = [], [], [], np.zeros((0, samples), np.uint16)
         for b in pieces(batches):
             new = b.column(1).to_pylist()
@@ -119,11 +124,11 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             other = fingerprints(edited, samples)
             own, nxt = prints[at], prints[np.array(at, np.int64) + 1]
             yield pa.RecordBatch.from_arrays([
-                pa.array([ids[i] for i in at], pa.int64()), pa.array([len(texts[i]) for i in at], pa.int64()),
+                pa.array([ids[i] for i in at], id_type), pa.array([len(texts[i]) for i in at], pa.int64()),
                 pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited], pa.string()),
                 pa.array(_hex(own), pa.string()), pa.array(_hex(other), pa.string()),
                 pa.array((own == other).mean(1)), pa.array((own == nxt).mean(1))], names=schema.names)
             ids, texts, edge, prints = ids[-1:], texts[-1:], edge[-1:], prints[-1:]
 
     out = dealt.mapInArrow(compare, schema)
-    return out.withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)
+    return out.withColumnRenamed("id", id_col)

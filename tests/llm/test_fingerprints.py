@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 from faultline.llm.bpe import mix
 from faultline.llm.fingerprints import compare_with_next, fingerprint
 from faultline.llm.weighted_sampling import fingerprints, samples
@@ -81,3 +82,21 @@ def test_fingerprint(spark):
     df = spark.createDataFrame([(1, "same text here now"), (2, "same text here now"), (3, None), (4, "!")], "doc_id long, text string")
     got = {r.doc_id: r.fingerprint for r in fingerprint(df).collect()}
     assert got[1] == got[2] and got[3] == got[4] == "0" * 512 and len(got[1]) == 512
+
+
+@pytest.mark.parametrize("range_bytes", [1 << 30, 40])
+def test_ids_of_any_type_and_one_id_for_all(spark, range_bytes):
+    texts = [f"word{i} and some more text {i * 7 % 11} of document {i}" for i in range(30)]
+    named = spark.createDataFrame([(f"n{i:02d}", t) for i, t in enumerate(texts)], "doc_id string, text string").repartition(5)
+    got = {r.doc_id: r for r in compare_with_next(named, range_bytes=range_bytes).collect()}
+    for i, t in enumerate(texts):
+        cut, nxt = len(t) // 4, texts[(i + 1) % 30]
+        edited = t[:len(t) - cut] + nxt[:cut]
+        assert got[f"n{i:02d}"].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+    for one in (None, 7):
+        same = spark.createDataFrame([(one, t) for t in texts] + [(one, texts[0])] * 3, "doc_id long, text string").repartition(4)
+        rows = compare_with_next(same, range_bytes=range_bytes).collect()
+        assert len(rows) == 33 and {r.doc_id for r in rows} == {one}
+        order = [r[1] for r in sorted((r.h, r.t) for r in same.selectExpr("xxhash64(text) AS h", "text AS t").collect())]
+        want = sorted(hashlib.sha256((a[:len(a) - len(a) // 4] + b[:len(a) // 4]).encode()).hexdigest() for a, b in zip(order, [*order[1:], order[0]], strict=True))
+        assert sorted(r.edited_sha256 for r in rows) == want
