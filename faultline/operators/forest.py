@@ -247,7 +247,7 @@ def grow(rows: DataFrame, plan: list[Model], cuts: list[np.ndarray], k: int) ->
     Gives the nodes (``NODE``; f is -1 at a leaf) and the rows with ``p``, the shares of
     the classes at each row's leaf.
     """
-    by = {m.model: m for m in plan}
+    by, bins = {m.model: m for m in plan}, Bins(cuts)
     schema = T.StructType.fromDDL(OUT)
     open_ = rows.select("model", "node", "rid", "label", "copies", "w", "x")
     parts, depth = [], 0
@@ -264,7 +264,7 @@ def grow(rows: DataFrame, plan: list[Model], cuts: list[np.ndarray], k: int) ->
             kind, m, node = to_arrow_schema(schema), by[key[0].as_py()], key[1].as_py()
             table = table.sort_by("rid")
             _, label, w, copies, x = _read(table)
-            tree, leaf = grow_here(x, label, w * _weights(m, k)[label], copies, node, at_depth, Bins(cuts), m, k)
+            tree, leaf = grow_here(x, label, w * _weights(m, k)[label], copies, node, at_depth, bins, m, k)
             n, t = len(x), len(tree)
             nothing = [None] * n
             first = [pa.array([m.model] * (n + t), pa.int32())]
@@ -285,7 +285,7 @@ def grow(rows: DataFrame, plan: list[Model], cuts: list[np.ndarray], k: int) ->
         def partial(batches):
             """A histogram of each node's rows in this task, which come one node after the other."""
             import pyarrow as pa
-            bins, now, total = Bins(cuts), None, None
+            now = total = None
 
             def told():
                 return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int64()), pa.array([total.tobytes()], pa.binary())],
@@ -312,7 +312,7 @@ def grow(rows: DataFrame, plan: list[Model], cuts: list[np.ndarray], k: int) ->
         def added(key, table):
             import pyarrow as pa
             from pyspark.sql.pandas.types import to_arrow_schema
-            bins, m, node = Bins(cuts), by[key[0].as_py()], key[1].as_py()
+            m, node = by[key[0].as_py()], key[1].as_py()
             whole = sum(np.frombuffer(h, float) for h in sorted(table.column("h").to_pylist()))
             total, hist = whole[:k + 1], whole[k + 1:].reshape(k + 1, -1)
             split = best_split(hist, total, bins, node, m) if m.depth is None or at_depth < m.depth else None

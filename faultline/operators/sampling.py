@@ -106,19 +106,34 @@ def stratified_undersample(df: DataFrame, strt: str, counts: DataFrame, seed: in
                          hash_order(seed, *key_cols), quota, ties=key_cols)
 
 
-def split_threshold(test_size: float) -> str:
-    """Hex text below which ``md5`` falls with probability ``test_size``."""
-    return format(int(math.floor(test_size * 16 ** 8)), "08x")
+def smallest_share(df: DataFrame, order: Column, share: float) -> str | None:
+    """The ceil(share x rows)-th smallest hex ``order`` of all rows, None for no row.
+
+    A histogram of the first hex digits (a million buckets at most, whatever the data) finds the
+    bucket, and only its rows are sorted.
+    """
+    h = df.select(order.alias("h")).withColumn("b", F.substring("h", 1, PREFIX_DIGITS))
+    hist = h.groupBy("b").agg(F.count(F.lit(1)).alias("c"))
+    w = Window.orderBy("b")
+    cut = (hist.withColumn("upto", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+           .withColumn("k", F.ceil(F.sum("c").over(Window.partitionBy()) * F.lit(float(share))))
+           .where((F.col("upto") >= F.col("k")) & (F.col("upto") - F.col("c") < F.col("k")))
+           .select("b", (F.col("k") - F.col("upto") + F.col("c")).cast("long").alias("place")).first())
+    if cut is None:
+        return None
+    rows = h.where(F.col("b") == cut["b"]).withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy("h")))
+    return rows.where(F.col("r") == cut["place"]).first()["h"]
 
 
 def train_test_split(df: DataFrame, key_cols: list[str], test_size: float = 0.2,
                      seed: int = 42, name: str = "split") -> DataFrame:
-    """M4: ``split`` = 'test' for a seeded hash share of rows, else 'train'.
+    """M4: ``split`` = 'test' for ceil(test_size x rows) rows, those of the smallest seeded key hashes, else 'train'.
 
-    Not stratified; no shuffle; the same row always lands on the same side.
+    Not stratified; the rows are not shuffled; rows of one key land on the same side.
     """
     h = hash_order(seed, *key_cols)
-    return df.withColumn(name, F.when(h < F.lit(split_threshold(test_size)), "test").otherwise("train"))
+    cut = smallest_share(df, h, test_size)
+    return df.withColumn(name, F.when(h <= F.lit(cut), "test").otherwise("train"))
 
 
 def split_balance(df: DataFrame, var: str, split: str = "split") -> DataFrame:
@@ -173,41 +188,23 @@ def stratified_folds(df: DataFrame, strt: str, seed: int, key_cols: list[str], k
     return single.unionByName(several).unionByName(none)
 
 
-def bag_membership(df: DataFrame, strt: str, counts: DataFrame, bags: int, seed: int,
-                   key_cols: list[str], slack: float = 1.3) -> DataFrame:
-    """M7: ``bags`` independent exact stratified under-samples, long ``(bag, ...)``.
+def bag_membership(df: DataFrame, strt: str, counts: DataFrame, bags: int | None, seed: int,
+                   key_cols: list[str]) -> DataFrame:
+    """M7: ``bags`` independent exact stratified under-samples by key hashes, long ``(bag, ...)``.
 
     Each row is expanded only into the bags whose hash fraction falls under the
-    stratum's keep rate ``q_s = min(1, slack * n_s / N_s + 10 / sqrt(N_s))``, so
-    about ``slack x bags x sum(n_s)`` rows are produced; ``take_smallest`` then
-    trims every (bag, stratum) to exactly ``n_s``.  Should a group fall short
-    after the pre-filter, it is redone from the unfiltered rows.
+    stratum's keep rate ``min(1, n_s / N_s + 10 / sqrt(N_s))``, at least twenty standard
+    deviations above what is needed, and ``take_smallest`` trims every (bag, stratum) to exactly ``n_s``.
+    ``bags`` None reads the number from the column ``bags`` of ``counts``.  Nothing runs before
+    the result is asked for.  ``draw_bags`` needs no hash per bag and row, but has no SQL.
     """
-    rows = counts.collect()                                   # one row per stratum
-    q = {int(r[strt]): (min(1.0, slack * r["n"] / r["n_rows"] + 10.0 / math.sqrt(r["n_rows"]))
-                        if r["n_rows"] else 0.0) for r in rows}
-    qmap = F.create_map(*[x for k, v in q.items() for x in (F.lit(k), F.lit(float(v)))])
-    x = df.withColumn(strt, F.col(strt).cast("int"))
-
-    def bag_hash(b):
-        return hash_order(seed, b, *key_cols)
-
-    keep = F.filter(F.sequence(F.lit(0), F.lit(bags - 1)),
-                    lambda b: hash_fraction(bag_hash(b)) < qmap[F.col(strt)])
-    cand = x.withColumn("bag", F.explode(keep))
-    spark = df.sparkSession
-    quota = spark.createDataFrame([(b, int(r[strt]), int(r["n"])) for b in range(bags) for r in rows],
-                                  f"bag int, {strt} int, n long")
-    got = {(r["bag"], r[strt]): r["c"] for r in
-           cand.groupBy("bag", strt).agg(F.count(F.lit(1)).alias("c")).collect()}
-    short = [(b, int(r[strt])) for b in range(bags) for r in rows if got.get((b, int(r[strt])), 0) < r["n"]]
-    order = bag_hash(F.col("bag"))
-    if short:
-        redo = spark.createDataFrame(short, f"bag int, {strt} int")
-        full = (x.withColumn("bag", F.explode(F.array(*[F.lit(b) for b, _ in short])))
-                .join(F.broadcast(redo), ["bag", strt]))
-        cand = cand.join(F.broadcast(redo), ["bag", strt], "left_anti").unionByName(full)
-    return take_smallest(cand, ["bag", strt], order, quota, ties=key_cols)
+    per = counts.select(F.col(strt).cast("int").alias(strt), "n", (F.col("bags") if bags is None else F.lit(bags)).cast("int").alias("__bags"),
+                        F.least(F.lit(1.0), F.col("n") / F.col("n_rows") + 10.0 / F.sqrt("n_rows")).alias("__q"))     # a row per stratum
+    x = df.withColumn(strt, F.col(strt).cast("int")).join(F.broadcast(per.select(strt, "__bags", "__q")), strt)
+    keep = F.filter(F.sequence(F.lit(0), F.col("__bags") - 1), lambda b: hash_fraction(hash_order(seed, b, *key_cols)) < F.col("__q"))
+    cand = x.withColumn("bag", F.explode(keep)).select(*df.columns, "bag")
+    quota = per.select(F.explode(F.sequence(F.lit(0), F.col("__bags") - 1)).alias("bag"), strt, F.col("n").cast("long").alias("n"))
+    return take_smallest(cand, ["bag", strt], hash_order(seed, F.col("bag"), *key_cols), quota, ties=key_cols)
 
 
 BLOCK = 1 << 16                   # rows of a stratum that one draw is made from

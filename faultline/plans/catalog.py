@@ -6,7 +6,7 @@ work grows with the data.  Column names match the SQL in ``plans.oracle``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from faultline.functions import np_round
@@ -231,10 +231,9 @@ def q_density(spark, sf_dir):
 # ---- sampling and splitting --------------------------------------------------
 
 from faultline.operators import sampling  # noqa: E402
-from faultline.schema import RANDOM_STATE, STRATA_P  # noqa: E402
+from faultline.schema import BEST_STRATA_P, RANDOM_STATE, STRATA_P  # noqa: E402
 
 KEY = ["device", "date"]
-QUERY_BAGS = 3
 
 
 @query
@@ -268,7 +267,7 @@ def split_controls(spark, sf_dir):
 
 @query
 def q_split(spark, sf_dir):
-    """M4: 80/20 hash split."""
+    """M4: the test rows are ceil(20 %) of all, by their key hashes."""
     return sampling.train_test_split(panel(spark, sf_dir)[0], KEY, 0.2, RANDOM_STATE)
 
 
@@ -286,11 +285,16 @@ def q_folds(spark, sf_dir):
     return sampling.stratified_folds(df, "strt", RANDOM_STATE, KEY, 5)
 
 
-def train_bags(spark, sf_dir, bags=QUERY_BAGS, strata_p=STRATA_P):
+def train_bags(spark, sf_dir, bags=None, strata_p=STRATA_P):
+    """Training rows, their counts, and their bags: ``bags``, or as many as the proxy (M6) says."""
     df, _ = split_controls(spark, sf_dir)
     train = df.where(F.col("split") == "train")
     counts = sampling.undersample_counts(train, "strt", strata_p)
-    return train, counts, sampling.bag_membership(train, "strt", counts, bags, RANDOM_STATE, KEY)
+    full = sampling.undersample_counts(df, "strt", strata_p)
+    est = sampling.estimators_proxy(full, counts, "strt", 1)
+    counts = counts.join(est, "strt", "left")                                       # a row per stratum
+    sized = counts.withColumn("bags", F.greatest(F.max("estimators").over(Window.partitionBy()), F.lit(1)))
+    return train, counts, sampling.bag_membership(train, "strt", sized, bags, RANDOM_STATE, KEY)
 
 
 @query
@@ -303,15 +307,28 @@ def q_bags(spark, sf_dir):
 @query
 def q_bag_coverage(spark, sf_dir):
     """M6 + M7: share of each training stratum reached by the bags, and the estimator proxy."""
-    train, counts, b = train_bags(spark, sf_dir)
+    _, counts, b = train_bags(spark, sf_dir)
     covered = b.select("strt", "device", "date").distinct().groupBy("strt").agg(
         F.count(F.lit(1)).alias("covered"))
-    full = sampling.undersample_counts(with_controls(spark, sf_dir)[0], "strt", STRATA_P)
-    est = sampling.estimators_proxy(full, counts, "strt", 1)
     return (counts.join(covered, "strt", "left")
             .select("strt", "n_rows", "n", F.coalesce("covered", F.lit(0)).alias("covered"),
-                    (F.coalesce("covered", F.lit(0)) / F.col("n_rows")).alias("coverage"))
-            .join(est, "strt", "left"))
+                    (F.coalesce("covered", F.lit(0)) / F.col("n_rows")).alias("coverage"), "estimators"))
+
+
+@query
+def q_undersample_counts_cv(spark, sf_dir):
+    """M1 with the cross-validation factor: 80 % of the rows per stratum."""
+    df, _ = with_controls(spark, sf_dir)
+    return sampling.undersample_counts(df, "strt", STRATA_P, cv=True)
+
+
+@query
+def q_bag_draws(spark, sf_dir):
+    """M7 by block draws, as the ensembles use it: bags of the final model's proportions."""
+    df, _ = split_controls(spark, sf_dir)
+    train = df.where(F.col("split") == "train")
+    counts = sampling.undersample_counts(train, "strt", BEST_STRATA_P)
+    return sampling.draw_bags(train, "strt", counts, FINAL_BAGS, RANDOM_STATE, KEY).select("bag", "device", "date", "strt")
 
 
 # ---- transforms -----------------------------------------------------------------
@@ -355,11 +372,11 @@ def q_quantile(spark, sf_dir):
 
 @query
 def q_yeo_johnson(spark, sf_dir):
-    """Yeo-Johnson with max-likelihood lambda, standardised."""
+    """Yeo-Johnson of all metrics with max-likelihood lambda, standardised."""
     df, _ = panel(spark, sf_dir)
-    df = cut_lineage(df.select("device", "date", "m1", "m6"))      # five fit passes read it
-    params = transforms.fit_power(df, ["m1", "m6"])
-    return df.select("device", "date", *[transforms.transform_expr(c, params[c]).alias(c) for c in ["m1", "m6"]])
+    df = cut_lineage(df.select("device", "date", *METRIC_COLS))    # every fit pass reads it
+    params = transforms.fit_power(df, METRIC_COLS)
+    return df.select("device", "date", *[r6(transforms.transform_expr(c, params[c])).alias(c) for c in METRIC_COLS])
 
 
 def feature_table(spark, sf_dir):
@@ -395,6 +412,11 @@ def q_transform(spark, sf_dir):
     return out.select("device", "date", *[r6(F.col(c)).alias(c) for c in TRANSFORM_PLAN])
 
 
+def rounded(df, cols):
+    """``cols`` to six digits, no negative zero."""
+    return df.withColumns({c: r6(F.col(c)) + F.lit(0.0) for c in cols})
+
+
 @query
 def q_pca(spark, sf_dir):
     """PCA scores of the transformed numeric features."""
@@ -402,7 +424,7 @@ def q_pca(spark, sf_dir):
     df = cut_lineage(df)
     t = transforms.apply_transforms(df, transforms.fit_transforms(df, TRANSFORM_PLAN))
     model = transforms.fit_pca(t, list(schema.nnum_cols))
-    return transforms.apply_pca(t, model, keep=["device", "date"])
+    return rounded(transforms.apply_pca(t, model, keep=["device", "date"]), model["names"])
 
 
 @query
@@ -423,7 +445,7 @@ def q_scree(spark, sf_dir):
     df, schema = feature_table(spark, sf_dir)
     df = cut_lineage(df)
     t = transforms.apply_transforms(df, transforms.fit_transforms(df, TRANSFORM_PLAN))
-    return transforms.scree_table(spark, transforms.fit_pca(t, list(schema.nnum_cols)))
+    return rounded(transforms.scree_table(spark, transforms.fit_pca(t, list(schema.nnum_cols))), ["var", "cumvar"])
 
 
 @query
@@ -431,7 +453,8 @@ def q_prepared(spark, sf_dir):
     """Model table with one-hot, PCA numerics and controls."""
     df, schema = feature_table(spark, sf_dir)
     df = cut_lineage(df)
-    return prepare(df, schema, num_transform=True)[0]
+    out, prepared = prepare(df, schema, num_transform=True)
+    return rounded(out, prepared.pca_cols)
 
 
 # ---- evaluation on a deterministic score ---------------------------------------
@@ -494,7 +517,7 @@ def q_threshold_sweep(spark, sf_dir):
 # ---- ensembles, search, ablation ---------------------------------------------------
 
 from faultline.operators import ensemble  # noqa: E402
-from faultline.schema import BEST_STRATA_P, FOREST_GRID, STRATA_GRID  # noqa: E402
+from faultline.schema import FOREST_GRID, STRATA_GRID  # noqa: E402
 
 # Bags of an ensemble: None sizes it by ``sampling.estimators_proxy``, as the study does
 # (about 280 there), but for its final model; the queries take any number as ``bags``.
@@ -521,28 +544,41 @@ def proxy_bags(prep, train, strata_p=STRATA_P):
     return max(1, est["estimators"] or 1) if est else 1
 
 
-def _strata_fit_predict(spark, sf_dir, base, strata_p, num_transform=False, bags=ENSEMBLE_BAGS, **kw):
-    prep, feats = model_table(spark, sf_dir, num_transform)
-    train, test = prep.where(F.col("split") == "train"), prep.where(F.col("split") == "test")
+def _strata_fit(table, base, strata_p, bags=ENSEMBLE_BAGS, **kw):
+    """Stratified bagging on the training rows: the ensemble, and the column of the failure's probability."""
+    prep, feats = table
+    train = prep.where(F.col("split") == "train")
     counts = sampling.undersample_counts(train, "strt", strata_p)
     bags = proxy_bags(prep, train) if bags is None else bags
-    ens = ensemble.fit_bagged(train, feats, "strt", "strt", counts, bags, RANDOM_STATE,
-                              base=base, class_weight=strata_p, **kw)
-    pr = ensemble.predict_bagged(ens, test, ["device", "date", "strt", "failure"])
-    return pr.withColumn("y_proba", F.col("p2"))
+    return ensemble.fit_bagged(train, feats, "strt", "strt", counts, bags, RANDOM_STATE,
+                               base=base, class_weight=strata_p, **kw), "p2"
 
 
-def _ratio_fit_predict(spark, sf_dir, base, num_transform=False, bags=ENSEMBLE_BAGS, **kw):
-    """Binary bagging on 30 % failure under-samples."""
-    prep, feats = model_table(spark, sf_dir, num_transform)
-    train, test = prep.where(F.col("split") == "train"), prep.where(F.col("split") == "test")
+def _ratio_fit(table, base, bags=ENSEMBLE_BAGS, **kw):
+    """Binary bagging on 30 % failure under-samples of the training rows."""
+    prep, feats = table
+    train = prep.where(F.col("split") == "train")
     counts = sampling.ratio_counts(train, "failure", 0.3).withColumnRenamed("failure", "strt_y")
     bags = proxy_bags(prep, train) if bags is None else bags
-    t2 = train.withColumn("strt_y", F.col("failure"))
-    ens = ensemble.fit_bagged(t2, feats, "failure", "strt_y", counts.select("strt_y", "n_rows", "n"),
-                              bags, RANDOM_STATE, base=base, class_weight={0: 0.7, 1: 0.3}, n_classes=2, **kw)
-    pr = ensemble.predict_bagged(ens, test, ["device", "date", "strt", "failure"])
-    return pr.withColumn("y_proba", F.col("p1"))
+    return ensemble.fit_bagged(train.withColumn("strt_y", F.col("failure")), feats, "failure", "strt_y",
+                               counts.select("strt_y", "n_rows", "n"), bags, RANDOM_STATE, base=base, class_weight={0: 0.7, 1: 0.3},
+                               n_classes=2, **kw), "p1"
+
+
+def _scores(table, fitted, side="test"):
+    ens, p = fitted
+    rows = table[0].where(F.col("split") == side)
+    return ensemble.predict_bagged(ens, rows, ["device", "date", "strt", "failure"]).withColumn("y_proba", F.col(p))
+
+
+def _strata_fit_predict(spark, sf_dir, base, strata_p, num_transform=False, bags=ENSEMBLE_BAGS, **kw):
+    table = model_table(spark, sf_dir, num_transform)
+    return _scores(table, _strata_fit(table, base, strata_p, bags, **kw))
+
+
+def _ratio_fit_predict(spark, sf_dir, base, num_transform=False, bags=ENSEMBLE_BAGS, **kw):
+    table = model_table(spark, sf_dir, num_transform)
+    return _scores(table, _ratio_fit(table, base, bags, **kw))
 
 
 @query
@@ -581,6 +617,22 @@ def q_bag_boost_ratio(spark, sf_dir, bags=ENSEMBLE_BAGS, rounds=FINAL_ROUNDS):
     return _ratio_fit_predict(spark, sf_dir, "boost", bags=bags, depth=FINAL_DEPTH, max_features="0.5", rounds=rounds)
 
 
+@query
+def q_candidate_scores(spark, sf_dir, bags=ENSEMBLE_BAGS, rounds=FINAL_ROUNDS):
+    """F1, recall, precision at 0.95 and AUROC of the six candidates on the training rows, with their confusion counts."""
+    pca, plain = model_table(spark, sf_dir, True), model_table(spark, sf_dir, False)
+    tree = {"depth": None, "max_features": "sqrt"}
+    boost = {"depth": FINAL_DEPTH, "max_features": "0.5", "rounds": rounds}
+    fits = [("strata logistic", pca, _strata_fit(pca, "logistic", STRATA_P, bags)), ("ratio logistic", pca, _ratio_fit(pca, "logistic", bags)),
+            ("strata forest", plain, _strata_fit(plain, "forest", STRATA_P, bags, **tree)), ("ratio forest", plain, _ratio_fit(plain, "forest", bags, **tree)),
+            ("strata boost", plain, _strata_fit(plain, "boost", STRATA_P, bags, **boost)), ("ratio boost", plain, _ratio_fit(plain, "boost", bags, **boost))]
+    told = None
+    for name, table, fitted in fits:
+        one = _scores(table, fitted, "train").select(F.lit(name).alias("model"), "failure", "y_proba")
+        told = one if told is None else told.unionByName(one)
+    return evaluate.model_scores(cut_lineage(told), "failure", "y_proba", 0.95)
+
+
 SEARCH_SCHEMA = ("class_weight map<string,double>, sampling_strategy map<string,bigint>, bags int, bootstrap boolean, depth int, "
                  "max_features string, min_samples_leaf int, min_samples_split int")
 SEARCH_PARAMS = ["class_weight", "bags", "bootstrap", "depth", "max_features", "min_samples_leaf", "min_samples_split"]
@@ -620,6 +672,23 @@ def q_param_marginals(spark, sf_dir, draws=SEARCH_DRAWS):
     return evaluate.param_marginals(t, SEARCH_PARAMS)
 
 
+@query
+def q_search_best(spark, sf_dir, draws=SEARCH_DRAWS):
+    """L15 refit: the best configuration of the search on all training rows, and its test scores at its best threshold."""
+    prep, feats = model_table(spark, sf_dir, False)
+    train, test = prep.where(F.col("split") == "train"), prep.where(F.col("split") == "test")
+    bags = proxy_bags(prep, train)
+    found = ensemble.random_search(train, feats, search_grid(train), n_iter=draws, folds=5, seed=RANDOM_STATE,
+                                   fit_kwargs={"bags": bags, "base": "forest", "class_weight": STRATA_P})
+    best = evaluate.best_row(found).first()
+    ens = ensemble.refit(train, feats, best["params"], RANDOM_STATE, {"bags": bags, "base": "forest", "class_weight": STRATA_P})
+    pr = cut_lineage(ensemble.predict_bagged(ens, test, ["strt"]).withColumn("y", (F.col("strt") == 2).cast("int")))
+    _, at, conf = evaluate.pr_report(pr, "y", "p2")
+    told = evaluate.with_rates(conf)
+    return told.select(F.lit(best["config"]).alias("config"), F.lit(best["params"]).alias("params"), F.lit(best["mean_test_f1"]).alias("mean_test_f1"),
+                       F.lit(at).cast("double").alias("threshold"), *told.columns)
+
+
 @query
 def q_ablation_table(spark, sf_dir, bags=FINAL_BAGS, rounds=FINAL_ROUNDS):
     """L18 + L19: leave-one-feature-out scores against the final boosted ensemble at its best threshold, melted."""

@@ -31,7 +31,7 @@ PANEL_CTE = f"panel AS (SELECT DISTINCT * FROM ({PANEL_SQL}) p)"
 
 def sql(name: str, body: str, ctes: str = ""):
     more = f", {ctes}" if ctes else ""
-    ORACLE[name] = f"WITH {PANEL_CTE}{more}\n{body}"
+    ORACLE[name] = f"WITH RECURSIVE {PANEL_CTE}{more}\n{body}"
 
 
 def r6(expr: str) -> str:
@@ -234,6 +234,7 @@ def counts_sql(src: str, name: str = "cnts") -> str:
 
 
 sql("q_undersample_counts", "SELECT * FROM cnts", CONTROLS + ", " + PROPS + ", " + counts_sql("ctl"))
+sql("q_undersample_counts_cv", "SELECT strt, n_rows, CAST(floor(n * 0.8e0) AS BIGINT) AS n FROM cnts", CONTROLS + ", " + PROPS + ", " + counts_sql("ctl"))
 sql("q_undersample", f"""
 SELECT * EXCLUDE (rn, n_rows, n) FROM (
   SELECT ctl.*, row_number() OVER (PARTITION BY strt ORDER BY {MD5KEY}) AS rn FROM ctl) r
@@ -245,7 +246,7 @@ JOIN q USING (failure) WHERE rn <= n""", """fc AS (SELECT failure, count(*) AS n
 q AS (SELECT failure, CAST(least(CASE WHEN n_rows = min(n_rows) OVER () THEN n_rows
         ELSE floor(min(n_rows) OVER () / (0.3e0 / (1e0 - 0.3e0))) END, n_rows) AS BIGINT) AS n FROM fc)""")
 
-SPLIT = f"CASE WHEN {MD5KEY} < '33333333' THEN 'test' ELSE 'train' END"
+SPLIT = f"CASE WHEN row_number() OVER (ORDER BY {MD5KEY}) <= ceil(0.2e0 * count(*) OVER ()) THEN 'test' ELSE 'train' END"
 sql("q_split", f"SELECT *, {SPLIT} AS split FROM panel")
 
 
@@ -263,19 +264,18 @@ sql("q_folds", "SELECT *, CAST((row_number() OVER (PARTITION BY strt ORDER BY md
                " AS INTEGER) AS fold FROM ctl", CONTROLS)
 
 BAGS = (SPLIT_CTE + ", " + PROPS + ", tr AS (SELECT * FROM sp WHERE split = 'train'), " + counts_sql("tr")
-        + """, bg AS (SELECT * EXCLUDE (rn, n_rows, n) FROM (
+        + """, full_c AS (SELECT strt, count(*) AS n_rows FROM ctl GROUP BY strt),
+est AS (SELECT CAST(round_even(f.n_rows / t.n, 0) AS INTEGER) AS estimators FROM full_c f JOIN cnts t ON f.strt = t.strt WHERE f.strt = 1), bg AS (SELECT * EXCLUDE (rn, n_rows, n) FROM (
   SELECT CAST(b.range AS INTEGER) AS bag, tr.*, row_number() OVER (PARTITION BY b.range, strt
          ORDER BY md5('42:' || CAST(b.range AS VARCHAR) || ':' || device || ':' || CAST(date AS VARCHAR))) AS rn
-  FROM tr CROSS JOIN range(3) b) r JOIN cnts USING (strt) WHERE rn <= n)""")
+  FROM tr CROSS JOIN (SELECT unnest(range(greatest(estimators, 1))) AS range FROM est) b) r JOIN cnts USING (strt) WHERE rn <= n)""")
 sql("q_bags", "SELECT bag, device, date, strt FROM bg", BAGS)
 sql("q_bag_coverage", """
 SELECT c.strt, c.n_rows, c.n, coalesce(v.covered, 0) AS covered, coalesce(v.covered, 0) / c.n_rows AS coverage,
        CASE WHEN c.strt = 1 THEN e.estimators END AS estimators
 FROM cnts c LEFT JOIN (SELECT strt, count(*) AS covered FROM (SELECT DISTINCT strt, device, date FROM bg) d
                        GROUP BY strt) v USING (strt)
-CROSS JOIN (SELECT CAST(round_even(f.n_rows / t.n, 0) AS INTEGER) AS estimators
-            FROM full_c f JOIN cnts t ON f.strt = t.strt WHERE f.strt = 1) e""",
-    BAGS + ", full_c AS (SELECT strt, count(*) AS n_rows FROM ctl GROUP BY strt)")
+CROSS JOIN est e""", BAGS)
 
 
 # ---- transforms -----------------------------------------------------------------
@@ -378,6 +378,47 @@ sql("q_pca_trace", f"SELECT CAST({len(_PCA_COLS)} AS INTEGER) AS components, "
     + ", ".join(f"{e} AS {c}" for c, e in _PCA_COLS) + " FROM fin f JOIN qz ON qz.device = f.device AND qz.date = f.date) t",
     FEATURES + ", " + quantile_sql("fin", QT, ["device", "date"]))
 
+# Principal components by classical Jacobi rotations of the covariance (row-major lists), the largest element beside the diagonal first.
+_D = len(_PCA_COLS)
+PCA_CTES = (
+    FEATURES + ", " + quantile_sql("fin", QT, ["device", "date"])
+    + ", tr AS (SELECT f.*, " + ", ".join(f"{e} AS t_{c}" for c, e in _PCA_COLS) + " FROM fin f JOIN qz ON qz.device = f.device AND qz.date = f.date), "
+    "pcov AS (SELECT [" + ", ".join(f"covar_samp(t_{a}, t_{b})" for a, _ in _PCA_COLS for b, _ in _PCA_COLS) + "] AS m, ["
+    + ", ".join(f"avg(t_{c})" for c, _ in _PCA_COLS) + "] AS mu FROM tr), "
+    f"""jac(it, m, v) AS (
+  SELECT 0, m, list_transform(range({_D * _D}), lambda k: CASE WHEN k // {_D} = k % {_D} THEN 1e0 ELSE 0e0 END) FROM pcov
+  UNION ALL
+  SELECT it + 1,
+    list_transform(range({_D * _D}), lambda k: CASE
+      WHEN k // {_D} = k % {_D} THEN CASE WHEN k // {_D} = p THEN m[k + 1] - t * apq WHEN k // {_D} = q THEN m[k + 1] + t * apq ELSE m[k + 1] END
+      WHEN (k // {_D} = p AND k % {_D} = q) OR (k // {_D} = q AND k % {_D} = p) THEN 0e0
+      WHEN k % {_D} = p THEN cs * m[(k // {_D}) * {_D} + p + 1] - sn * m[(k // {_D}) * {_D} + q + 1]
+      WHEN k % {_D} = q THEN sn * m[(k // {_D}) * {_D} + p + 1] + cs * m[(k // {_D}) * {_D} + q + 1]
+      WHEN k // {_D} = p THEN cs * m[(k % {_D}) * {_D} + p + 1] - sn * m[(k % {_D}) * {_D} + q + 1]
+      WHEN k // {_D} = q THEN sn * m[(k % {_D}) * {_D} + p + 1] + cs * m[(k % {_D}) * {_D} + q + 1]
+      ELSE m[k + 1] END),
+    list_transform(range({_D * _D}), lambda k: CASE
+      WHEN k % {_D} = p THEN cs * v[k + 1] - sn * v[(k // {_D}) * {_D} + q + 1]
+      WHEN k % {_D} = q THEN sn * v[(k // {_D}) * {_D} + p + 1] + cs * v[k + 1]
+      ELSE v[k + 1] END)
+  FROM (SELECT *, 1e0 / sqrt(1 + t * t) AS cs, t / sqrt(1 + t * t) AS sn FROM (
+    SELECT *, (CASE WHEN th < 0 THEN -1e0 ELSE 1e0 END) / (abs(th) + sqrt(1 + th * th)) AS t FROM (
+      SELECT *, m[p * {_D} + q + 1] AS apq, (m[q * {_D} + q + 1] - m[p * {_D} + p + 1]) / (2 * m[p * {_D} + q + 1]) AS th FROM (
+        SELECT *, least(pos // {_D}, pos % {_D}) AS p, greatest(pos // {_D}, pos % {_D}) AS q FROM (
+          SELECT it, m, v, off, list_position(off, list_max(off)) - 1 AS pos FROM (
+            SELECT it, m, v, list_transform(range({_D * _D}), lambda k: CASE WHEN k // {_D} = k % {_D} THEN 0e0 ELSE abs(m[k + 1]) END) AS off FROM jac
+            WHERE it < 20000) o WHERE list_max(off) > 1e-17) a) b) c) d) e),
+eig AS (SELECT m, v FROM jac ORDER BY it DESC LIMIT 1),
+comp AS (SELECT row_number() OVER (ORDER BY val DESC, k) AS pc, val, CASE WHEN abs(list_min(vec)) > list_max(vec) THEN list_transform(vec, lambda x: -x) ELSE vec END AS vec
+         FROM (SELECT k, greatest(m[k * {_D} + k + 1], 0e0) AS val, list_transform(range({_D}), lambda i: v[i * {_D} + k + 1]) AS vec
+               FROM eig, (SELECT unnest(range({_D})) AS k) ks) e),
+vecs AS (SELECT list(vec ORDER BY pc) AS vs FROM comp)""")
+_CENTRED = "[" + ", ".join(f"t_{c} - mu[{i + 1}]" for i, (c, _) in enumerate(_PCA_COLS)) + "]"
+PCA_SCORES = ", ".join(f"{r6(f'list_dot_product({_CENTRED}, vs[{k + 1}])')} + 0e0 AS pc{k + 1}" for k in range(_D))
+sql("q_pca", f"SELECT device, date, {PCA_SCORES} FROM tr, vecs, pcov", PCA_CTES)
+sql("q_scree", f"""SELECT 'pc' || pc AS component, CAST(pc AS INTEGER) AS k, {r6("val / sum(val) OVER ()")} AS var,
+       {r6("sum(val) OVER (ORDER BY pc) / sum(val) OVER ()")} AS cumvar FROM comp""", PCA_CTES)
+
 _enc = ["L1", "L2", "L12", "Q", "M", "D", "MW", "WD", "WE"]
 _num_enc = {"Q", "M", "D", "MW", "WD", "WE"}
 sql("q_one_hot", """
@@ -386,6 +427,38 @@ SELECT l.device, l.date, l.c || '_' || l.v AS feature FROM lng l JOIN firsts f O
     f"lng AS ({unpivot('fe', ['device', 'date'], _enc, 'c', 'v', 'VARCHAR')}), "
     "firsts AS (SELECT c, CASE WHEN c IN (" + ", ".join(f"'{c}'" for c in _num_enc) + ") "
     "THEN CAST(min(TRY_CAST(v AS BIGINT)) AS VARCHAR) ELSE min(v) END AS first FROM lng GROUP BY c)")
+# The model table: a column per category but the first, however many the data have.
+sql("q_prepared", f"""SELECT t.device, t.date, coalesce(COLUMNS('^(L1|L2|L12|Q|M|D|MW|WD|WE)_.*'), 0)::INTEGER, {PCA_SCORES}, f0, strt, failure
+FROM (SELECT * FROM tr, vecs, pcov) t LEFT JOIN (PIVOT (SELECT l.device, l.date, l.c || '_' || l.v AS feature FROM lng l JOIN firsts f ON f.c = l.c
+  WHERE l.v <> f.first) ON feature USING count(*) GROUP BY device, date) e ON e.device = t.device AND e.date = t.date""",
+    PCA_CTES + f", lng AS ({unpivot('fin', ['device', 'date'], _enc, 'c', 'v', 'VARCHAR')}), "
+    "firsts AS (SELECT c, CASE WHEN c IN (" + ", ".join(f"'{c}'" for c in _num_enc) + ") "
+    "THEN CAST(min(TRY_CAST(v AS BIGINT)) AS VARCHAR) ELSE min(v) END AS first FROM lng GROUP BY c)")
+
+# Yeo-Johnson: the likelihood of 41 lambdas over the distinct values, the grid narrowed around the best (widened while it lies at an end).
+def _yj(x: str, lam: str) -> str:
+    return (f"CASE WHEN {x} >= 0 THEN CASE WHEN abs({lam}) < 1e-12 THEN ln(1 + {x}) ELSE (pow({x} + 1, {lam}) - 1) / {lam} END "
+            f"ELSE CASE WHEN abs({lam} - 2) < 1e-12 THEN -ln(1 - {x}) ELSE -(pow(1 - {x}, 2 - {lam}) - 1) / (2 - {lam}) END END")
+
+
+sql("q_yeo_johnson", "SELECT p.device, p.date, " + ", ".join(
+    r6(f"({_yj(f'CAST(p.{c} AS DOUBLE)', f'w.{c}.lam')} - w.{c}.mean) / (CASE WHEN w.{c}.std = 0 THEN 1e0 ELSE w.{c}.std END)") + f" AS {c}"
+    for c in M_NODUP + ["m8"]) + " FROM panel p, wide w",
+    f"yv AS (SELECT c, CAST(x AS DOUBLE) AS x FROM ({unpivot('panel', ['device', 'date'], METRICS, 'c', 'x', 'DOUBLE')}) u WHERE x IS NOT NULL), "
+    f"""yr(c, a, b, inside, rounds, best) AS (
+  SELECT DISTINCT c, -4e0, 4e0, false, 4, 0e0 FROM yv
+  UNION ALL
+  SELECT c, CASE WHEN wider THEN 2 * a ELSE lam - (b - a) / 40 END, CASE WHEN wider THEN 2 * b ELSE lam + (b - a) / 40 END,
+         inside OR NOT wider, CASE WHEN wider THEN rounds ELSE rounds - 1 END, lam
+  FROM (SELECT *, NOT inside AND (i IN (0, 40)) AND b - a < 4096 AS wider FROM (
+    SELECT c, a, b, inside, rounds, arg_max(i, llf) AS i, arg_max(lam, llf) AS lam FROM (
+      SELECT c, a, b, inside, rounds, i, lam,
+             -count(x) / 2e0 * ln(nullif(var_pop({_yj('x', 'lam')}), 0)) + (lam - 1) * sum(sign(x) * ln(1 + abs(x))) AS llf
+      FROM (SELECT r.*, i, a + i * ((b - a) / 40) AS lam FROM yr r, (SELECT unnest(range(41)) AS i) g WHERE rounds > 0) l JOIN yv USING (c)
+      GROUP BY c, a, b, inside, rounds, i, lam) x GROUP BY c, a, b, inside, rounds) y) z),
+yb AS (SELECT c, best FROM yr WHERE rounds = 0),
+ys AS (SELECT c, best AS lam, avg({_yj('x', 'best')}) AS mean, stddev_pop({_yj('x', 'best')}) AS std FROM yv JOIN yb USING (c) GROUP BY c, best),
+wide AS (SELECT """ + ", ".join(f"max(CASE WHEN c = '{c}' THEN {{'lam': lam, 'mean': mean, 'std': std}} END) AS {c}" for c in METRICS) + " FROM ys)")
 
 
 # ---- evaluation on a deterministic score ---------------------------------------

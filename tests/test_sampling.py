@@ -74,3 +74,22 @@ def test_rows_with_a_null_key_part_are_sampled(spark):
 def test_rug_takes_any_number_of_classes(spark):
     df = spark.createDataFrame([(i, i // 3, float(i)) for i in range(3600)], "k int, y int, m1 double")
     assert sampling.rug_sample(df, ["m1"], "y", 2, 1, ["k"]).count() == 2400
+
+
+def test_split_has_the_exact_size(spark):
+    import math
+    for n in (0, 1, 4, 5, 1003):
+        df = spark.range(n).withColumnRenamed("id", "k")
+        got = sampling.train_test_split(df, ["k"], 0.2, 7)
+        assert got.where("split = 'test'").count() == math.ceil(0.2 * n) and got.count() == n
+    low = sampling.smallest_share(spark.range(1003), sampling.hash_order(7, "id"), 0.2)
+    want = sorted(r[0] for r in spark.range(1003).select(sampling.hash_order(7, "id")).collect())
+    assert low == want[math.ceil(0.2 * 1003) - 1]
+
+
+def test_nothing_runs_before_bags_are_asked_for(spark):
+    from pyspark.sql import functions as F
+    df = spark.range(300).select(F.col("id").alias("k"), (F.col("id") % 3).cast("int").alias("strt"),
+                                 F.when(F.col("id") < 0, 1).otherwise(F.raise_error(F.lit("evaluated")).cast("int")).alias("x"))
+    counts = sampling.undersample_counts(df.drop("x"), "strt", {0: 0.3, 1: 0.3, 2: 0.4})
+    sampling.bag_membership(df, "strt", counts, 3, 1, ["k"])
