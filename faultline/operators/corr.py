@@ -1,6 +1,6 @@
 """Pairwise Pearson correlation (A7), its display table (A8), duplicate test.
 
-All column pairs are computed in one aggregate pass (pairwise-complete rows,
+All column pairs are computed in one blocked matrix aggregate (pairwise-complete rows,
 population moments), returned long as ``(a, b, corr)``.
 """
 
@@ -11,31 +11,19 @@ from pyspark.sql import functions as F
 
 from faultline.functions import np_round
 from faultline.operators.clean import value_filter
+from faultline.operators.moments import correlation
 
 
 def pearson_long(df: DataFrame, cols, remove_values=(None,)) -> DataFrame:
     """P7 filter, then corr for every ordered pair (diagonal included).
 
-    Each row is expanded to one ``(a, b, x, y)`` cell per unordered pair, masked
-    to pairwise-complete values, and a grouped aggregate with three moments
-    runs per pair: a map-side partial aggregate leaves one row per pair and
-    partition, and the code per row stays small (one wide aggregate with
-    hundreds of moment buffers compiles to methods the JIT will not compile).
-    A constant column gives NULL (no division error under ANSI).
+    One buffer of sums of outer products per task, whatever the number of pairs
+    (``moments.pair_moments``).  A constant column gives NULL.
     """
     cols = list(cols)
-    kept = value_filter(df, cols, list(remove_values))
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    cells = ", ".join(
-        f"named_struct('a', '{a}', 'b', '{b}', "
-        f"'x', CAST(CASE WHEN `{b}` IS NOT NULL THEN `{a}` END AS DOUBLE), "
-        f"'y', CAST(CASE WHEN `{a}` IS NOT NULL THEN `{b}` END AS DOUBLE))" for a, b in pairs)
-    long = kept.select(F.expr(f"inline(array({cells}))"))
-    per_pair = long.groupBy("a", "b").agg(
-        F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y")).alias("corr"))
-    return per_pair.select(F.expr(
-        "inline(CASE WHEN a = b THEN array(named_struct('a', a, 'b', b, 'corr', corr)) "
-        "ELSE array(named_struct('a', a, 'b', b, 'corr', corr), named_struct('a', b, 'b', a, 'corr', corr)) END)"))
+    c = correlation(value_filter(df, cols, list(remove_values)), cols)
+    rows = [(a, b, None if c[i, j] != c[i, j] else 1.0 if i == j else float(c[i, j])) for i, a in enumerate(cols) for j, b in enumerate(cols)]
+    return df.sparkSession.createDataFrame(rows, "a string, b string, corr double")
 
 
 def explode_cells(wide: DataFrame, structs) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.functions.columns import probit_text
+from faultline.operators.moments import covariance
 from faultline.operators.rank import rank_table
 from faultline.session import cut_lineage
 
@@ -193,8 +194,8 @@ def fit_yeo_johnson(df: DataFrame, cols, lo: float = -4.0, hi: float = 4.0,
     round is one aggregate pass for all columns.
 
     A column whose best lambda is at an end of the first grid gets a grid twice
-    as wide, again and again, until the best one lies inside.  A constant
-    column keeps lambda 1.
+    as wide, again and again, until the best one lies inside, or beyond 2048, where powers
+    of any value but 0 leave the range of a double.  A constant column keeps lambda 1.
     """
     cols = [cols] if isinstance(cols, str) else list(cols)
     span = {c: (lo, hi) for c in cols}
@@ -294,22 +295,13 @@ def apply_transforms(df: DataFrame, params: dict) -> DataFrame:
 def fit_pca(df: DataFrame, cols) -> dict:
     """F14 fit: centred, unscaled PCA with K = #columns.
 
-    The d x d covariance (d = #columns) is one aggregate pass; its eigenvectors
+    The d x d covariance (d = #columns) is one blocked matrix aggregate (``moments``); its eigenvectors
     are computed on the driver (a d x d matrix, independent of the row count).
     Each component's sign makes its largest-magnitude loading positive.
     """
     cols = list(cols)
     d = len(cols)
-    x = {c: F.col(c).cast("double") for c in cols}
-    aggs = [F.avg(x[c]).alias(f"mu{i}") for i, c in enumerate(cols)]
-    aggs += [F.covar_samp(x[a], x[b]).alias(f"c{i}_{j}")
-             for i, a in enumerate(cols) for j, b in enumerate(cols) if j >= i]
-    row = df.agg(*aggs).first().asDict()
-    mu = np.array([row[f"mu{i}"] for i in range(d)])
-    cov = np.zeros((d, d))
-    for i in range(d):
-        for j in range(i, d):
-            cov[i, j] = cov[j, i] = row[f"c{i}_{j}"] or 0.0
+    mu, cov = covariance(df, cols)
     vals, vecs = np.linalg.eigh(cov)
     order = np.argsort(vals)[::-1]
     vals, vecs = np.clip(vals[order], 0, None), vecs[:, order]
@@ -368,6 +360,17 @@ def fit_one_hot(df: DataFrame, cols) -> dict:
     return out
 
 
+def apply_one_hot(df: DataFrame, cats: dict) -> list[Column]:
+    """F16 apply: a 0/1 column per fitted category but the first; a category that was not fitted fails the query, NULL is 0 everywhere."""
+    out = []
+    for c, vals in cats.items():
+        v = F.col(c).cast("string")
+        known = F.when(v.isNull() | v.isin(vals), v).otherwise(
+            F.raise_error(F.concat(F.lit(f"{c} has a category that was not fitted: "), v)).cast("string"))
+        out += [F.coalesce(known == F.lit(x), F.lit(False)).cast("int").alias(f"{c}_{x}") for x in vals[1:]]
+    return out
+
+
 def one_hot_names(cats: dict) -> list[str]:
     return [f"{c}_{v}" for c, vals in cats.items() for v in vals[1:]]
 

@@ -6,15 +6,18 @@ work grows with the data.  Column names match the SQL in ``plans.oracle``.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from faultline.functions import np_round
+from faultline.functions import abbreviate, np_round, stamp
 from faultline.operators import clean, features, stats
 from faultline.schema import METRIC_COLS, PanelSchema
-from faultline.sources import testdata_panel
+from faultline.session import cut_lineage, ensure_checkpoint_dir
+from faultline.sources import load_panel, read_result_csv, testdata_panel, write_result_csv
 from faultline.sources.panel import dedup_by_device
-from faultline.session import cut_lineage
 
 QUERIES: dict = {}
 
@@ -750,3 +753,66 @@ def q_bootstrap(spark, sf_dir):
     df, _ = split_controls(spark, sf_dir)
     train = df.where(F.col("split") == "train")
     return sampling.bootstrap_weights(train, 3, RANDOM_STATE, KEY).select("bag", "device", "date", "strt", "weight")
+
+
+# ---- names, keys, files -----------------------------------------------------------
+
+@query
+def q_rename(spark, sf_dir):
+    """P3 + P4 + X2: metrics renamed by a part of their names, a computed column put in the third place."""
+    df = clean.rename_substring(panel(spark, sf_dir)[0], "m", "metric_", METRIC_COLS)
+    return clean.insert_columns(df, 2, n_zero=F.aggregate(F.array(*[(F.col(c.replace("m", "metric_")) == 0).cast("int") for c in METRIC_COLS]),
+                                                          F.lit(0), lambda a, x: a + x))
+
+
+@query
+def q_rows_for_keys(spark, sf_dir):
+    """The rows of every device that has failed once."""
+    df, _ = panel(spark, sf_dir)
+    return clean.rows_for_keys(df, df.where("failure = 1").select("device"), ["device"])
+
+
+@query
+def q_abbreviated(spark, sf_dir):
+    """X9 + X12: readable sums of the metrics per device, and the stamp of its last day."""
+    df, _ = panel(spark, sf_dir)
+    per = df.groupBy("device").agg(*[F.sum(c).alias(c) for c in ("m1", "m6")], F.max("date").alias("last"))
+    return per.select("device", abbreviate("m1", True).alias("m1"), abbreviate("m6", True).alias("m6"),
+                      stamp(F.col("last").cast("timestamp")).alias("last"))
+
+
+@query
+def q_strata_scores(spark, sf_dir):
+    """L13 + X15: F1 at 0.5 and AUROC of the failing class after collapsing strata, of a fixture score."""
+    df, _ = with_controls(spark, sf_dir)
+    s1 = F.least(F.lit(1.0), (2 * F.col("failure") + F.col("m5") + F.col("m2")) / F.lit(16.0))
+    x = df.select("strt", s1.alias("p2"))
+    return evaluate.strata_f1(x, 0.5).select(r6(F.col("f1")).alias("value"), F.lit("f1").alias("score")).unionByName(
+        evaluate.strata_auc(x).select(r6(F.col("auroc")).alias("value"), F.lit("auroc").alias("score")))
+
+
+@query
+def q_pr_points(spark, sf_dir):
+    """P10: the melted precision-recall points without F1."""
+    curve = evaluate.pr_curve(scored(spark, sf_dir), "failure", "y_proba")
+    long = curve.unpivot(["threshold"], ["precision", "recall", "f1"], "metric", "value")
+    return long.where("metric <> 'f1'")
+
+
+@query
+def q_csv_panel(spark, sf_dir):
+    """S1 + S2: the panel written as the study's CSV (Latin-1, its column names, some rows twice) and loaded again."""
+    df, _ = panel(spark, sf_dir)
+    raw = df.withColumnsRenamed({c: c.replace("m", "attribute", 1) for c in METRIC_COLS})
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/faultline-{uuid.uuid4().hex}"
+    raw.unionByName(raw.where("failure = 1")).write.option("header", True).option("encoding", "ISO-8859-1").csv(path)
+    return load_panel(spark, path)[0]
+
+
+@query
+def q_csv_results(spark, sf_dir):
+    """S3 + S4 + S5: a result table written as CSV under a stamped name, with its index, and read back without it."""
+    share = stats.value_share(with_controls(spark, sf_dir)[0], "strt")
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/faultline-{uuid.uuid4().hex}"
+    path = write_result_csv(share.select(F.monotonically_increasing_id().alias("index"), "*"), base, "strata", best_id=0)
+    return read_result_csv(spark, path, StructType([StructField("index", LongType()), *share.schema.fields]))

@@ -547,3 +547,31 @@ sql("q_bootstrap", f"""
 SELECT bag, device, date, strt, weight FROM (
   SELECT CAST(b.range AS INTEGER) AS bag, device, date, strt, CAST({_w} AS INTEGER) AS weight
   FROM sp CROSS JOIN range(3) b WHERE split = 'train') t WHERE weight > 0""", SPLIT_CTE)
+
+
+# ---- names, keys, files ------------------------------------------------------------
+sql("q_rename", "SELECT device, date, " + " + ".join(f"CAST({m} = 0 AS INTEGER)" for m in METRICS) + " AS n_zero, "
+    + ", ".join(f"{m} AS {m.replace('m', 'metric_')}" for m in METRICS) + ", failure FROM panel")
+sql("q_rows_for_keys", "SELECT * FROM panel WHERE device IN (SELECT device FROM panel WHERE failure = 1)")
+
+
+def _short(c: str) -> str:
+    k = " + ".join(f"CAST(abs({c}) >= 1e{3 * i} AS INTEGER)" for i in range(1, 6))
+    unit = f"CAST(pow(10, 3 * ({k}) - 2) AS BIGINT)"                   # hundredths of the suffix; halves are rounded up
+    q = f"(({c} + {unit} // 2) // {unit})"
+    return (f"CASE WHEN {c} < 1000 THEN CAST({c} AS VARCHAR) ELSE CAST({q} // 100 AS VARCHAR) || '.' || lpad(CAST({q} % 100 AS VARCHAR), 2, '0') || "
+            f"['', 'K', 'M', 'G', 'T', 'P'][{k} + 1] END AS {c}")
+
+
+sql("q_abbreviated", f"SELECT device, {_short('m1')}, {_short('m6')}, strftime(last, '%Y%m%d_%H%M') AS last FROM per",
+    "per AS (SELECT device, CAST(sum(m1) AS BIGINT) AS m1, CAST(sum(m6) AS BIGINT) AS m6, CAST(max(date) AS TIMESTAMP) AS last FROM panel GROUP BY device)")
+sql("q_strata_scores", f"""SELECT {r6("2e0 * tp / (2 * tp + fp + fn)")} AS value, 'f1' AS score FROM (
+  SELECT count_if(strt = 2 AND p >= 0.5e0) AS tp, count_if(strt <> 2 AND p >= 0.5e0) AS fp, count_if(strt = 2 AND p < 0.5e0) AS fn FROM ps) c
+UNION ALL SELECT {r6("sum(neg * (before + 0.5e0 * pos)) / (CAST(sum(pos) AS DOUBLE) * sum(neg))")}, 'auroc' FROM (
+  SELECT count_if(strt = 2) AS pos, count_if(strt <> 2) AS neg,
+         coalesce(sum(count_if(strt = 2)) OVER (ORDER BY p DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ps GROUP BY p) g""",
+    CONTROLS + ", ps AS (SELECT strt, least(1e0, (2 * failure + m5 + m2) / 16e0) AS p FROM ctl)")
+sql("q_pr_points", """SELECT threshold, 'precision' AS metric, precision AS value FROM curve
+UNION ALL SELECT threshold, 'recall', recall FROM curve""", SCORED + ", " + curve_ctes())
+sql("q_csv_panel", "SELECT * FROM panel")
+ORACLE["q_csv_results"] = ORACLE["q_strata_share"]

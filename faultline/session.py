@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -70,5 +71,28 @@ def cut_lineage(df):
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/faultline-{uuid.uuid4().hex}"
+    for written in _scratch:
+        written.append(path)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)
+
+
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch_tables(spark: SparkSession):
+    """Deletes at its end the tables that ``cut_lineage`` has written inside it.
+
+    A result rests on such tables until it is read, so read or write it inside.  Without this
+    they stay in the shared folder, whose owner decides when it goes.
+    """
+    written: list[str] = []
+    _scratch.append(written)
+    try:
+        yield
+    finally:
+        _scratch.remove(written)
+        for path in written:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -94,3 +94,48 @@ def test_yeo_johnson_lambda_near_numpy_grid(spark):
     grid = np.linspace(-3, 3, 60001)
     best = grid[np.argmax([llf(g) for g in grid])]
     assert abs(lam - best) < 2e-3
+
+
+def test_moments_with_holes_equal_numpy(spark):
+    from faultline.operators.moments import correlation, covariance
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 4)) * [1, 1e6, 1e-3, 0] + [0, 1e9, 5, 7]
+    holes = rng.random((200, 4)) < 0.1
+    rows = [(i, *[None if h else (float("nan") if i % 50 == 1 and j == 0 else float(v)) for j, (v, h) in enumerate(zip(r, hs))]) for i, (r, hs) in enumerate(zip(x, holes))]
+    df = spark.createDataFrame(rows, "k int, a double, b double, c double, d double").repartition(5)
+    y = np.array([[np.nan if v is None else v for v in r[1:]] for r in rows])
+    corr, (mean, cov) = correlation(df, ["a", "b", "c", "d"]), covariance(df, ["a", "b", "c", "d"])
+    assert np.allclose(mean, np.nanmean(y, 0))
+    for i in range(4):
+        for j in range(4):
+            both = ~np.isnan(y[:, i]) & ~np.isnan(y[:, j])
+            want = np.cov(y[both, i], y[both, j])
+            assert np.isclose(cov[i, j], want[0, 1], rtol=1e-9)
+            assert (np.isnan(corr[i, j]) if 3 in (i, j) else np.isclose(corr[i, j], np.corrcoef(y[both, i], y[both, j])[0, 1]))
+    none = df.where("false")
+    assert np.isnan(correlation(none, ["a", "b"])).all() and not covariance(none, ["a", "b"])[1].any()
+
+
+def test_a_fitted_encoding_is_applied_to_other_rows(spark):
+    import pytest
+    from faultline.operators import transforms
+    fit = spark.createDataFrame([("x", 1), ("y", 2), ("z", 10), (None, 2)], "a string, b int")
+    cats = transforms.fit_one_hot(fit, ["a", "b"])
+    other = spark.createDataFrame([("z", 2), (None, None), ("x", 10)], "a string, b int")
+    got = other.select(*transforms.apply_one_hot(other, cats))
+    assert got.columns == ["a_y", "a_z", "b_2", "b_10"] and [tuple(r) for r in got.collect()] == [(0, 1, 1, 0), (0, 0, 0, 0), (0, 0, 0, 1)]
+    with pytest.raises(Exception, match="not fitted: w"):
+        spark.createDataFrame([("w", 1)], "a string, b int").select(*transforms.apply_one_hot(other, cats)).collect()
+
+
+def test_scratch_tables_go(spark):
+    import os
+    from faultline.session import cut_lineage, ensure_checkpoint_dir, scratch_tables
+    folder = ensure_checkpoint_dir(spark)
+    before = set(os.listdir(folder))
+    with scratch_tables(spark):
+        outer = cut_lineage(spark.range(5))
+        with scratch_tables(spark):
+            assert cut_lineage(spark.range(3)).count() == 3
+        assert outer.count() == 5 and len(set(os.listdir(folder)) - before) == 1
+    assert set(os.listdir(folder)) == before
