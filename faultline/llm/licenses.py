@@ -4,8 +4,8 @@ How many documents have each word of the licence texts is counted over the
 whole table; the rarest words of a text's key phrase are its anchors.  In each
 document with an anchor, the anchors' positions less their places in the
 licence text are intersected, which leaves the places where the text can start;
-there the mandatory key phrase is verified word by word, and the share of the
-licence text's words that stand in place is its score.
+there the mandatory key phrase is verified word by word.  A verified phrase labels
+the document; the share of the licence text's words that stand in place is its score.
 
 Every step is an expression on one row: no shuffle but that of the counts.
 """
@@ -36,7 +36,6 @@ TEXTS = [
 ]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 IN_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"      # of a text that isn't lower-cased yet
-LEAST = 0.6                       # share of a licence text that must stand in place
 ANCHORS = 3
 
 
@@ -69,8 +68,8 @@ def _array(words: list[str]) -> str:
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, n_words, n_base, first_word, last_word, base_labels, labels, score, found)``.
 
-    ``found`` lists (label, start, covered) of each text or phrase, ``score`` is
-    the best ``covered`` (0 without one).  Words are lower-cased in A-Z only.
+    ``found`` lists (label, start, covered) of each text or phrase whose key phrase stands there, ``score`` is
+    the best ``covered``, the share of the text's words in place (0 without one).  Words are lower-cased in A-Z only.
     Null and empty texts have no words, null places and empty labels.  Repeated
     rows and null ids are kept; other columns are not read; an empty table
     gives no rows.
@@ -100,7 +99,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         parts.append(f"transform(filter({start}, s -> s + {at} >= 0 AND slice(w, greatest(s + {at + 1}, 1), {len(key)}) = {_array(key)}), "
                      f"s -> named_struct('label', '{label}', 'base', {str(base).lower()}, 'start', s, "
                      f"'covered', cast(({covered}) AS double) / {len(words)}))")
-    found = f"filter(concat({', '.join(parts)}), f -> f.covered >= {LEAST}D)"
+    found = f"concat({', '.join(parts)})"
     x = x.select("id", "n_words", F.expr(f"CASE WHEN size(hits) > 0 THEN {found} END").alias("found"))
     x = x.select("id", "n_words", F.expr(
         "coalesce(found, cast(array() AS array<struct<label:string,base:boolean,start:int,covered:double>>))").alias("found"))
@@ -128,7 +127,7 @@ WITH d AS (SELECT row_number() OVER () AS doc, doc_id,
                   regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
            FROM documents),
 places AS (SELECT doc, w, unnest(range(-20, len(w))) AS s FROM d),
-found AS (SELECT * FROM ({' UNION ALL '.join(parts)}) WHERE covered >= {LEAST}),
+found AS ({' UNION ALL '.join(parts)}),
 g AS (SELECT doc, count(*) FILTER (base) AS n_base, min(s) FILTER (base) AS first_word, max(s) FILTER (base) AS last_word,
              coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS base_labels,
              string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(covered) AS score FROM found GROUP BY doc)

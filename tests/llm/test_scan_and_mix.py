@@ -35,7 +35,7 @@ def test_scan_cases(spark):
         (2, 8, 2, 2, 5, "gpl", "gpl", 1.0), (3, 0, 0, None, None, "", "", 0.0), (4, 0, 0, None, None, "", "", 0.0),
         (5, 6, 2, 0, 3, "reserved", "reserved", 1.0), (6, 10, 0, None, None, "", "", 0.0), (7, 5, 0, None, None, "", "mit", 1.0),
         (8, 2, 0, None, None, "", "", 0.0), (9, 1, 0, None, None, "", "", 0.0), (9, 1, 0, None, None, "", "", 0.0),
-        (10, 12, 1, 1, 1, "cc-by", "apache-2.0,cc-by", 1.0)]
+        (10, 12, 1, 1, 1, "cc-by", "apache-2.0,cc-by,cc-by-sa", 1.0)]
     assert scan_licenses(df.where("false")).count() == 0
 
 
@@ -112,3 +112,10 @@ def test_mix_of_repeated_rows_equals_its_sql(spark):
     con.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
     mix = mixing.mix_sources(docs, keep=["doc_id"]).select("row.doc_id", "size", "source_size", "target", "taken")
     assert sorted(map(tuple, mix.collect())) == sorted(con.execute(mixing.SQL).fetchall())
+
+
+@pytest.mark.parametrize("text,label,score", [("MIT License", "mit", 0.4), ("CC0 1.0", "cc0", 3 / 7), ("see CC BY-SA", "cc-by,cc-by-sa", 1.0),
+                                              ("the Mozilla Public License", "mpl-2.0", 4 / 16)])
+def test_a_verified_key_phrase_is_a_label(spark, text, label, score):
+    r = scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert r.labels == label and r.score == pytest.approx(score, abs=0.07)
