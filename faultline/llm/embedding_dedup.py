@@ -229,8 +229,9 @@ def near_embeddings(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     least = linked.groupBy("root").agg(F.min("id").alias("least"))
     named = (nodes.select("h", "id", "n").join(links, "h", "left").join(linked.join(least, "root").select("h", "least"), "h", "left")
              .select("h", F.coalesce("least", "id").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")))
-    out = ids.join(named, "h", "left").select(
-        "id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.when(F.col("h").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id"))
+    # Vectors that link with nothing have no h; they go round the join, in which they would be one key.
+    alone = ids.where("h IS NULL").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    out = ids.where("h IS NOT NULL").join(named, "h").select("id", F.col("n_links").cast("long").alias("n_links"),
+                                                              F.col("component").alias("component_id")).unionByName(alone)
     return out.select(F.col("id").alias(id_col), "n_links", "component_id",
                       F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
