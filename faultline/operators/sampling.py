@@ -201,10 +201,11 @@ def bag_membership(df: DataFrame, strt: str, counts: DataFrame, bags: int | None
     per = counts.select(F.col(strt).cast("int").alias(strt), "n", (F.col("bags") if bags is None else F.lit(bags)).cast("int").alias("__bags"),
                         F.least(F.lit(1.0), F.col("n") / F.col("n_rows") + 10.0 / F.sqrt("n_rows")).alias("__q"))     # a row per stratum
     x = df.withColumn(strt, F.col(strt).cast("int")).join(F.broadcast(per.select(strt, "__bags", "__q")), strt)
-    keep = F.filter(F.sequence(F.lit(0), F.col("__bags") - 1), lambda b: hash_fraction(hash_order(seed, b, *key_cols)) < F.col("__q"))
-    cand = x.withColumn("bag", F.explode(keep)).select(*df.columns, "bag")
+    hashed = F.transform(F.sequence(F.lit(0), F.col("__bags") - 1), lambda b: F.struct(b.alias("bag"), hash_order(seed, b, *key_cols).alias("h")))
+    cand = x.withColumn("__b", F.explode(F.filter(hashed, lambda t: hash_fraction(t["h"]) < F.col("__q")))).select(
+        *df.columns, "__b.bag", F.col("__b.h").alias("__key"))
     quota = per.select(F.explode(F.sequence(F.lit(0), F.col("__bags") - 1)).alias("bag"), strt, F.col("n").cast("long").alias("n"))
-    return take_smallest(cand, ["bag", strt], hash_order(seed, F.col("bag"), *key_cols), quota, ties=key_cols)
+    return take_smallest(cand, ["bag", strt], F.col("__key"), quota, ties=key_cols).drop("__key")
 
 
 BLOCK = 1 << 16                   # rows of a stratum that one draw is made from

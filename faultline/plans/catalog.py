@@ -264,14 +264,15 @@ def q_undersample_ratio(spark, sf_dir):
 
 
 def split_controls(spark, sf_dir):
+    """The split panel; written once, as the split's threshold, counts and bags all read it."""
     df, schema = with_controls(spark, sf_dir)
-    return sampling.train_test_split(df, KEY, 0.2, RANDOM_STATE), schema
+    return sampling.train_test_split(cut_lineage(df), KEY, 0.2, RANDOM_STATE), schema
 
 
 @query
 def q_split(spark, sf_dir):
     """M4: the test rows are ceil(20 %) of all, by their key hashes."""
-    return sampling.train_test_split(panel(spark, sf_dir)[0], KEY, 0.2, RANDOM_STATE)
+    return sampling.train_test_split(cut_lineage(panel(spark, sf_dir)[0]), KEY, 0.2, RANDOM_STATE)
 
 
 @query
