@@ -521,12 +521,13 @@ def q_threshold_sweep(spark, sf_dir):
 # ---- ensembles, search, ablation ---------------------------------------------------
 
 from faultline.operators import ensemble  # noqa: E402
-from faultline.schema import FOREST_GRID, STRATA_GRID  # noqa: E402
+from faultline.schema import BOOST_GRID, FOREST_GRID, STRATA_GRID  # noqa: E402
 
 # Bags of an ensemble: None sizes it by ``sampling.estimators_proxy``, as the study does
 # (about 280 there), but for its final model; the queries take any number as ``bags``.
 ENSEMBLE_BAGS = None
 FINAL_BAGS, FINAL_ROUNDS, FINAL_DEPTH = 200, 20, 40     # of the study's final model
+BOOST_VOTES = "probability"             # the default of the study's library; "discrete" is plain SAMME, whose shares stay far below 0.9
 
 
 def model_table(spark, sf_dir, num_transform: bool = False):
@@ -612,13 +613,13 @@ def q_bag_forest_ratio(spark, sf_dir, bags=ENSEMBLE_BAGS, depth=None):
 @query
 def q_bag_boost(spark, sf_dir, bags=FINAL_BAGS, rounds=FINAL_ROUNDS):
     """L4 + L5: bagging of SAMME-boosted trees with the final configuration's strata, bags and rounds."""
-    return _strata_fit_predict(spark, sf_dir, "boost", BEST_STRATA_P, bags=bags, depth=FINAL_DEPTH, max_features="0.5", rounds=rounds)
+    return _strata_fit_predict(spark, sf_dir, "boost", BEST_STRATA_P, bags=bags, depth=FINAL_DEPTH, max_features="0.5", rounds=rounds, votes=BOOST_VOTES)
 
 
 @query
 def q_bag_boost_ratio(spark, sf_dir, bags=ENSEMBLE_BAGS, rounds=FINAL_ROUNDS):
     """L4, sixth candidate: binary bagging of boosted trees on 30 % failure under-samples."""
-    return _ratio_fit_predict(spark, sf_dir, "boost", bags=bags, depth=FINAL_DEPTH, max_features="0.5", rounds=rounds)
+    return _ratio_fit_predict(spark, sf_dir, "boost", bags=bags, depth=FINAL_DEPTH, max_features="0.5", rounds=rounds, votes=BOOST_VOTES)
 
 
 @query
@@ -626,7 +627,7 @@ def q_candidate_scores(spark, sf_dir, bags=ENSEMBLE_BAGS, rounds=FINAL_ROUNDS):
     """F1, recall, precision at 0.95 and AUROC of the six candidates on the training rows, with their confusion counts."""
     pca, plain = model_table(spark, sf_dir, True), model_table(spark, sf_dir, False)
     tree = {"depth": None, "max_features": "sqrt"}
-    boost = {"depth": FINAL_DEPTH, "max_features": "0.5", "rounds": rounds}
+    boost = {"depth": FINAL_DEPTH, "max_features": "0.5", "rounds": rounds, "votes": BOOST_VOTES}
     fits = [("strata logistic", pca, _strata_fit(pca, "logistic", STRATA_P, bags)), ("ratio logistic", pca, _ratio_fit(pca, "logistic", bags)),
             ("strata forest", plain, _strata_fit(plain, "forest", STRATA_P, bags, **tree)), ("ratio forest", plain, _ratio_fit(plain, "forest", bags, **tree)),
             ("strata boost", plain, _strata_fit(plain, "boost", STRATA_P, bags, **boost)), ("ratio boost", plain, _ratio_fit(plain, "boost", bags, **boost))]
@@ -642,25 +643,27 @@ SEARCH_SCHEMA = ("class_weight map<string,double>, sampling_strategy map<string,
 SEARCH_PARAMS = ["class_weight", "bags", "bootstrap", "depth", "max_features", "min_samples_leaf", "min_samples_split"]
 # Random draws from the grid's 3456 configurations (the study's first search draws 500); each is 5 folds x 250 to 450 trees.
 SEARCH_DRAWS = 16
+BOOST_DRAWS = 4         # of 5760 for bagged boosting (the study: 750), each 5 folds x 200 to 450 bags x 10 to 30 rounds
 
 
-def search_grid(train):
+def search_grid(train, params=FOREST_GRID):
     """The study's grid: strata proportions with their fixed counts (80 % of the training rows'), and the trees' parameters."""
     grids = []
     for p in STRATA_GRID:
         counts = sampling.undersample_counts(train, "strt", p, cv=True).collect()             # a row per stratum
         grids.append({"class_weight": [{str(k): v for k, v in p.items()}],
-                      "sampling_strategy": [{str(r["strt"]): r["n"] for r in counts}], **FOREST_GRID})
+                      "sampling_strategy": [{str(r["strt"]): r["n"] for r in counts}], **params})
     return grids
 
 
-def search_results(spark, sf_dir, draws=SEARCH_DRAWS, folds=5, bags=ENSEMBLE_BAGS):
-    """``draws`` random configurations of the study's grid for balanced forests; ``bags`` stands for a grid without its own."""
+def search_results(spark, sf_dir, draws=SEARCH_DRAWS, folds=5, bags=ENSEMBLE_BAGS, base="forest", params=FOREST_GRID):
+    """``draws`` random configurations of the study's grid for balanced forests, or for bagged boosted
+    trees; ``bags`` stands for a grid without its own."""
     prep, feats = model_table(spark, sf_dir, False)
     train = prep.where(F.col("split") == "train")
     bags = proxy_bags(prep, train) if bags is None else bags
-    return ensemble.random_search(train, feats, search_grid(train), n_iter=draws, folds=folds, seed=RANDOM_STATE,
-                                  fit_kwargs={"bags": bags, "base": "forest", "class_weight": STRATA_P})
+    return ensemble.random_search(train, feats, search_grid(train, params), n_iter=draws, folds=folds, seed=RANDOM_STATE,
+                                  fit_kwargs={"bags": bags, "base": base, "class_weight": STRATA_P, "votes": BOOST_VOTES})
 
 
 @query
@@ -669,6 +672,14 @@ def q_search_table(spark, sf_dir, draws=SEARCH_DRAWS):
     return evaluate.search_table(search_results(spark, sf_dir, draws), SEARCH_SCHEMA)
 
 
+@query
+def q_search_boost_table(spark, sf_dir, draws=BOOST_DRAWS):
+    """L15 + L16, the second search: bagged boosted trees, parsed and ranked result table."""
+    found = search_results(spark, sf_dir, draws, base="boost", params=BOOST_GRID)
+    return evaluate.search_table(found, "class_weight map<string,double>, sampling_strategy map<string,bigint>, bags int, "
+                                 "bootstrap boolean, depth int, max_features string, rounds int")
+
+
 @query
 def q_param_marginals(spark, sf_dir, draws=SEARCH_DRAWS):
     """Mean F1 per parameter value of the search."""
@@ -699,7 +710,7 @@ def q_ablation_table(spark, sf_dir, bags=FINAL_BAGS, rounds=FINAL_ROUNDS):
     prep, feats = model_table(spark, sf_dir, False)
     train, test = prep.where(F.col("split") == "train"), prep.where(F.col("split") == "test")
     counts = sampling.undersample_counts(train, "strt", BEST_STRATA_P)
-    kw = {"bags": bags, "base": "boost", "class_weight": BEST_STRATA_P, "depth": FINAL_DEPTH, "max_features": "0.5", "rounds": rounds}
+    kw = {"bags": bags, "base": "boost", "class_weight": BEST_STRATA_P, "depth": FINAL_DEPTH, "max_features": "0.5", "rounds": rounds, "votes": BOOST_VOTES}
     nums = [c for c in feats if "_" not in c]
     members = ensemble.bag_table(train, "strt", counts, bags, RANDOM_STATE)
     full = ensemble.fit_bagged(train, feats, "strt", "strt", counts, seed=RANDOM_STATE, members=members, **kw)

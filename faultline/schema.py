@@ -27,6 +27,9 @@ STRATA_GRID = [{0: 0.05, 1: 0.8, 2: 0.15}, {0: 0.1, 1: 0.75, 2: 0.15}, {0: 0.05,
                {0: 0.1, 1: 0.65, 2: 0.25}, {0: 0.1, 1: 0.6, 2: 0.3}, {0: 0.05, 1: 0.65, 2: 0.3}, {0: 0.05, 1: 0.6, 2: 0.35}]
 FOREST_GRID = {"bootstrap": [True, False], "bags": [250, 350, 450], "depth": [10, 30, 40, None],
                "max_features": ["0.5", "0.8", "sqrt"], "min_samples_leaf": [1, 2, 3], "min_samples_split": [2, 3]}
+# Grid of the second search: bagged boosted trees.
+BOOST_GRID = {"max_features": ["0.5", "0.8", "sqrt"], "depth": [10, 20, 30, 40, None], "rounds": [10, 15, 20, 30],
+              "bootstrap": [True, False], "bags": [200, 250, 300, 350, 400, 450]}
 RANDOM_STATE = 42
 # Transformation plan per numeric feature: yj, qt, nrm, mnmx or none.
 TRANSFORM_PLAN = {
