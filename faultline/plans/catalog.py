@@ -520,7 +520,7 @@ def q_threshold_sweep(spark, sf_dir):
 
 # ---- ensembles, search, ablation ---------------------------------------------------
 
-from faultline.operators import ensemble  # noqa: E402
+from faultline.operators import ensemble, forest  # noqa: E402
 from faultline.schema import BOOST_GRID, FOREST_GRID, STRATA_GRID  # noqa: E402
 
 # Bags of an ensemble: None sizes it by ``sampling.estimators_proxy``, as the study does
@@ -610,6 +610,24 @@ def q_bag_forest_ratio(spark, sf_dir, bags=ENSEMBLE_BAGS, depth=None):
     return _ratio_fit_predict(spark, sf_dir, "forest", bags=bags, depth=depth, max_features="sqrt")
 
 
+@query
+def q_tree_stump(spark, sf_dir):
+    """L3 on a fixed plan: the first split of a tree over all training rows, every numeric feature looked at, with its sides' class weights."""
+    df, schema = feature_table(spark, sf_dir)
+    train = sampling.train_test_split(cut_lineage(df), KEY, 0.2, RANDOM_STATE).where("split = 'train'").withColumn("bag", F.lit(0))
+    nums = list(schema.nnum_cols)
+    cuts = forest.fit_bins(train, nums)
+    plan = [forest.Model(0, 0, depth=1, mtry=len(nums), weights=tuple(STRATA_P[c] for c in range(3)))]
+    nodes = forest.fit_forest(ensemble.binned_bags(train, "strt", nums, cuts), plan, nums, cuts, 3).nodes
+    names = F.array(*[F.lit(c) for c in nums])
+    values = F.array(*[F.array(*[F.lit(float(v)) for v in c]) if len(c) else F.array().cast("array<double>") for c in cuts])
+    top = nodes.where("f >= 0").select("lo", "hi", F.element_at(names, F.col("f") + 1).alias("feature"),
+                                       F.element_at(F.element_at(values, F.col("f") + 1), F.col("b")).alias("cut"))
+    side = nodes.select(F.col("node"), *[r6(F.col("sums")[c]).alias(f"w{c}") for c in range(3)])
+    return top.select("feature", "cut", F.explode(F.create_map(F.lit("left"), F.col("lo"), F.lit("right"), F.col("hi"))).alias("side", "node")).join(
+        side, "node").drop("node")
+
+
 @query
 def q_bag_boost(spark, sf_dir, bags=FINAL_BAGS, rounds=FINAL_ROUNDS):
     """L4 + L5: bagging of SAMME-boosted trees with the final configuration's strata, bags and rounds."""
@@ -642,7 +660,7 @@ SEARCH_SCHEMA = ("class_weight map<string,double>, sampling_strategy map<string,
                  "max_features string, min_samples_leaf int, min_samples_split int")
 SEARCH_PARAMS = ["class_weight", "bags", "bootstrap", "depth", "max_features", "min_samples_leaf", "min_samples_split"]
 # Random draws from the grid's 3456 configurations (the study's first search draws 500); each is 5 folds x 250 to 450 trees.
-SEARCH_DRAWS = 16
+SEARCH_DRAWS = 8
 BOOST_DRAWS = 4         # of 5760 for bagged boosting (the study: 750), each 5 folds x 200 to 450 bags x 10 to 30 rounds
 
 

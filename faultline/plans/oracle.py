@@ -521,6 +521,23 @@ ts AS (SELECT * FROM (VALUES (0, 0.8e0), (1, 0.85e0), (2, 0.9e0), (3, 0.95e0), (
        UNION ALL SELECT 5, threshold FROM best WHERE threshold IS NOT NULL)""")
 
 
+# ---- a tree's first split: cuts at 256 quantiles of the distinct values, every one tried -----------
+_NUMS = M_NODUP + CH_KEEP_COLS + PLAN_SR
+_W = {0: "0.1e0", 1: "0.6e0", 2: "0.3e0"}
+sql("q_tree_stump", f"""SELECT feature, cut, side, {r6("w0")} AS w0, {r6("w1")} AS w1, {r6("w2")} AS w2 FROM (
+  SELECT feature, cut, 'left' AS side, l0 AS w0, l1 AS w1, l2 AS w2 FROM best UNION ALL SELECT feature, cut, 'right', r0, r1, r2 FROM best) b""",
+    FEATURES + f""", trn AS (SELECT * FROM (SELECT *, {SPLIT} AS split FROM fin) s WHERE split = 'train'),
+lf AS ({unpivot('trn', ['device', 'date', 'strt'], _NUMS, 'feature', 'v', 'DOUBLE')}),
+dv AS (SELECT feature, list(v ORDER BY v) AS vs FROM (SELECT DISTINCT feature, v FROM lf WHERE v IS NOT NULL) d GROUP BY feature),
+ct AS (SELECT DISTINCT feature, vs[CAST(ceil((i + 1) / 256e0 * len(vs)) AS BIGINT)] AS cut, vs[len(vs)] AS top FROM dv, (SELECT unnest(range(256)) AS i) g),
+sides AS (SELECT ct.feature, cut, """ + ", ".join(
+        f"{_W[c]} * count_if(strt = {c} AND NOT coalesce(v > cut, false)) AS l{c}, {_W[c]} * count_if(strt = {c} AND v > cut) AS r{c}" for c in range(3))
+    + """ FROM ct JOIN lf USING (feature) WHERE cut < top GROUP BY ct.feature, cut),
+gains AS (SELECT *, (l0*l0 + l1*l1 + l2*l2) / (l0 + l1 + l2) + (r0*r0 + r1*r1 + r2*r2) / (r0 + r1 + r2) AS gain,
+          list_position([""" + ", ".join(f"'{c}'" for c in _NUMS) + """], feature) AS place FROM sides),
+best AS (SELECT * FROM gains WHERE gain >= (SELECT max(gain) FROM gains) * (1 - 1e-9) ORDER BY place, cut LIMIT 1)""")
+
+
 # ---- small report aggregates -----------------------------------------------------
 sql("q_distinct_levels", f"SELECT DISTINCT L12 FROM (SELECT {DEVICE_COLS} FROM panel) d")
 sql("q_score_range", 'SELECT max(y_proba) AS "max", min(y_proba) AS "min", max(y_proba) - min(y_proba) AS "range" FROM sc', SCORED)

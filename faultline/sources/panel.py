@@ -20,23 +20,27 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def read_panel_csv(spark: SparkSession, path: str, date_format: str = "yyyy-MM-dd") -> DataFrame:
-    """Header CSV, Latin-1, explicit types (no inference pass over the data).
+def read_panel_csv(spark: SparkSession, path: str, date_format: str = "yyyy-MM-dd", infer: bool = False) -> DataFrame:
+    """Header CSV, Latin-1, the study's types.
 
     The file's column order is not fixed, so only the header line is read
-    first; the declared types are then laid out in that order.
+    first; the declared types are then laid out in that order.  Metrics are whole numbers,
+    and a decimal stops the load; with ``infer`` one pass over the metrics finds those
+    that have decimals, which are doubles then.
     """
     from pyspark.sql import types as T
-    header = (spark.read.option("header", True).option("encoding", "ISO-8859-1")
-              .option("inferSchema", False).csv(path).columns)
+    options = {"header": True, "encoding": "ISO-8859-1", "dateFormat": date_format, "mode": "FAILFAST"}
+    header = spark.read.options(**options).option("inferSchema", False).csv(path).columns
     declared = {f.name: f for f in RAW_CSV_SCHEMA.fields}
+    if infer:
+        metrics = [c for c in header if c.startswith("attribute")]
+        text = T.StructType([T.StructField(c, T.StringType()) for c in header])
+        whole = r"\s*[+-]?\d+\s*"
+        found = spark.read.options(**options).schema(text).csv(path).agg(
+            *[F.max((~F.col(f"`{c}`").rlike(f"^{whole}$")).cast("int")).alias(c) for c in metrics]).first()
+        declared |= {c: T.StructField(c, T.DoubleType()) for c in metrics if found[c] == 1}
     schema = T.StructType([declared.get(c, T.StructField(c, T.StringType())) for c in header])
-    return (spark.read.schema(schema)
-            .option("header", True)
-            .option("encoding", "ISO-8859-1")
-            .option("dateFormat", date_format)
-            .option("mode", "FAILFAST")
-            .csv(path))
+    return spark.read.options(**options).schema(schema).csv(path)
 
 
 def tidy_panel(raw: DataFrame) -> tuple[DataFrame, PanelSchema]:

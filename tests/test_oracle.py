@@ -18,7 +18,7 @@ FAST = ["q_panel", "q_target_share", "q_strata_share", "q_zero_pct", "q_full_zer
         "q_confusion", "q_scores", "q_pr_curve", "q_best_threshold", "q_auc", "q_threshold_sweep",
         "q_rug_sample", "q_bootstrap", "q_pca_trace", "q_distinct_levels", "q_score_range",
         "q_best_day_metric", "q_shape", "q_undersample_counts_cv", "q_yeo_johnson", "q_pca", "q_scree", "q_prepared",
-        "q_rename", "q_rows_for_keys", "q_abbreviated", "q_strata_scores", "q_pr_points", "q_csv_panel", "q_csv_results"]
+        "q_tree_stump", "q_rename", "q_rows_for_keys", "q_abbreviated", "q_strata_scores", "q_pr_points", "q_csv_panel", "q_csv_results"]
 
 
 def _norm(v):

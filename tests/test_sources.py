@@ -87,3 +87,19 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.ensure_checkpoint_dir(Session())
+
+
+def test_decimals_are_found_if_asked_for(spark, tmp_path):
+    from faultline.sources.panel import read_panel_csv, tidy_panel
+    path = str(tmp_path / "panel.csv")
+    head = "date,device,failure," + ",".join(f"attribute{i}" for i in range(1, 10))
+    rows = ["2015-01-01,S1F0,0,5,0.5,3,4,5,6,7,8,9", "2015-01-02,S1F0,1,-6,2,,4,5,6,7,8,9"]
+    with open(path, "w", encoding="latin-1") as f:
+        f.write("\n".join([head, *rows, ""]))
+    with pytest.raises(Exception):
+        read_panel_csv(spark, path).collect()
+    got = read_panel_csv(spark, path, infer=True)
+    types = dict(got.dtypes)
+    assert types["attribute1"] == "bigint" and types["attribute2"] == "double" and types["attribute3"] == "bigint"
+    panel, _ = tidy_panel(got)
+    assert sorted((r.m1, r.m2, r.m3) for r in panel.collect()) == [(-6, 2.0, None), (5, 0.5, 3)]
