@@ -55,6 +55,34 @@ def test_global_backfill_crosses_devices(spark):
     assert got[("A", 1)] == 1
 
 
+def test_global_backfill_goes_through_a_range_once(spark):
+    df, schema = lag_table(spark)
+    plan = features.elapsed_days(df, schema, fill="global")._jdf.queryExecution().optimizedPlan().toString()
+    assert "unboundedfollowing" not in plan.lower()
+
+
+def test_global_backfill_equals_one_pass_over_the_sorted_rows(spark):
+    import random
+    rnd, rows = random.Random(4), []
+    for i in range(120):
+        days = sorted(rnd.sample(range(1, 29), rnd.choice([1, 1, 1, 3])))
+        rows += [(f"d{i:03d}", dt.date(2015, 1, d), 0) for d in days]
+    gaps, nxt, want = {}, None, {}
+    for (a, x, _), (b, y, _) in zip(rows, rows[1:]):
+        gaps[b, y] = (y - x).days if a == b else None
+    for device, day, _ in reversed(rows):
+        nxt = gaps.get((device, day)) or nxt
+        want[device, day] = nxt
+    df = spark.createDataFrame(rows, "device string, date date, m1 long").repartition(5)
+    for parts in ("1", "6"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            got = features.elapsed_days(df, PanelSchema(num_cols=("m1",)), fill="global").collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "8")
+        assert {(r.device, r.date): r.elapsed for r in got} == want and len(got) == len(rows)
+
+
 def test_rank_min_method(spark):
     vals = [0, 0, 0, 3, 3, 7, None, 1]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "k int, m1 long")
