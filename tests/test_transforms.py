@@ -139,3 +139,24 @@ def test_scratch_tables_go(spark):
             assert cut_lineage(spark.range(3)).count() == 3
         assert outer.count() == 5 and len(set(os.listdir(folder)) - before) == 1
     assert set(os.listdir(folder)) == before
+
+
+def test_yeo_johnson_reads_each_value_once(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    v = np.concatenate([np.zeros(300), rng.exponential(30, 200).round(1), -rng.exponential(5, 60).round(1)])
+    df = spark.createDataFrame([(float(a), None if i % 9 == 0 else float(i % 4), 2.0) for i, a in enumerate(v)], "a double, b double, c double").repartition(5)
+    read, plain = [], transforms._yj_table
+
+    def table(*args):
+        read.append(plain(*args))
+        return read[-1]
+    monkeypatch.setattr(transforms, "_yj_table", table)
+    got = transforms.fit_yeo_johnson(df, ["a", "b", "c"])
+    assert len(read) == 1 and read[0].count() == len(set(v)) + 4 + 1 and read[0].agg(F.sum("n")).first()[0] == df.count() * 2 + df.where("b IS NOT NULL").count()
+    for name, x in (("a", v), ("b", np.array([i % 4 for i in range(len(v)) if i % 9], float))):
+        def llf(lam):
+            return -len(x) / 2 * math.log(transforms.yeo_johnson_values(x, lam).var()) + (lam - 1) * (np.sign(x) * np.log1p(np.abs(x))).sum()
+        assert all(llf(got[name]) >= llf(got[name] + d) - 1e-9 for d in (-0.05, -1e-3, 1e-3, 0.05))
+    assert got["c"] == 1.0
+    shown = df.select("a", transforms.yeo_johnson_expr(F.col("a"), 0.3).alias("y")).collect()
+    assert np.allclose([r.y for r in shown], transforms.yeo_johnson_values(np.array([r.a for r in shown]), 0.3))
